@@ -24,8 +24,9 @@ TOTALS = f"""totals AS (
          CAST(sum(({_NUM} * {_PRICE} * CAST(round(l_tax * 100) AS BIGINT)) // 100) AS BIGINT) AS freight_c
   FROM lineitem GROUP BY l_orderkey),
 infos AS (
-  SELECT heads.*, original_c, benefit_c, freight_c, original_c - benefit_c + freight_c AS final_c
-  FROM heads JOIN totals ON id = l_orderkey)"""
+  SELECT heads.*, coalesce(original_c, 0) AS original_c, coalesce(benefit_c, 0) AS benefit_c, coalesce(freight_c, 0) AS freight_c,
+         coalesce(original_c - benefit_c + freight_c, 0) AS final_c
+  FROM heads LEFT JOIN totals ON id = l_orderkey)"""
 
 USERS = """users AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS user_level,
@@ -101,7 +102,7 @@ FROM shares"""
 FIRST_START = """
 WITH logs AS (
   SELECT 'm' || user_id AS mid, CAST(user_id AS VARCHAR) AS uid, json_extract_string(props, '$.k') AS ar, event_type AS ba,
-         'store' AS ch, 'model' AS md, 'Android 11' AS os, 'v2.1' AS vc, epoch_ms(ts) AS ts,
+         'store' AS ch, 'model' AS md, 'Android 11' AS os, 'v2.1' AS vc, epoch_us(ts) // 1000 AS ts,
          strftime(ts, '%Y-%m-%d') AS log_date, strftime(ts, '%H') AS log_hour
   FROM events)
 SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY log_date, mid ORDER BY ts, uid, ar, ba) = 1"""
@@ -192,7 +193,7 @@ FROM details JOIN skus ON p_partkey = sku_id GROUP BY 2""",
     "dau_first_start": FIRST_START,
     "dau_index_upsert": """
 WITH logs AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events)
-SELECT 'dau_' || day AS index_name, 'm' || user_id AS doc_id, epoch_ms(ts) AS ts, event_id FROM logs
+SELECT 'dau_' || day AS index_name, 'm' || user_id AS doc_id, epoch_us(ts) // 1000 AS ts, event_id FROM logs
 QUALIFY row_number() OVER (PARTITION BY day, user_id ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) = 1""",
     "offset_ledger": """
 WITH ends AS (
@@ -200,4 +201,15 @@ WITH ends AS (
   FROM events GROUP BY ALL)
 SELECT 'dau' AS group_id, topic, partition_id, partition_offset FROM ends
 QUALIFY row_number() OVER (PARTITION BY topic, partition_id ORDER BY later DESC) = 1""",
+    "order_wide_stream": f"""
+WITH {HEADS}, {DETAILS}
+SELECT h.id AS order_id, d.id AS order_detail_id, user_id, sku_id, sku_num FROM heads h JOIN details d ON h.id = d.order_id""",
+    "order_wide_share_stream": f"""
+WITH {WIDE_PLAIN}, {SHARES}
+SELECT order_id, order_detail_id, CAST(final_c AS DOUBLE) / 100 AS final_total_amount,
+       CAST(original_c AS DOUBLE) / 100 AS original_total_amount, CAST(price_c AS DOUBLE) / 100 AS sku_price, sku_num,
+       CAST(share_c AS DOUBLE) / 100 AS final_detail_amount
+FROM shares""",
+    "dau_first_start_stream": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS log_date, 'm' || user_id AS mid FROM events",
 }
+ORACLES["order_wide_windowed_stream"] = ORACLES["order_wide_windowed"]

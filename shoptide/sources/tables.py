@@ -38,9 +38,10 @@ class ShopTables:
         ))
 
     def order_info(self) -> DataFrame:
-        """Orders with the amounts of their lines; an order without lines has none and is left out."""
+        """Orders with the amounts of their lines; an order without lines has zero amounts."""
         totals = self.order_totals()
-        return self.order_heads().join(totals, F.col("id") == F.col("l_orderkey")).select(
+        return self.order_heads().join(totals, F.col("id") == F.col("l_orderkey"), "left").fillna(
+            0, ["original", "benefit", "freight"]).select(
             "id", "province_id", "order_status", "user_id",
             amount(F.col("original") - F.col("benefit") + F.col("freight")).alias("final_total_amount"),
             amount(F.col("benefit")).alias("benefit_reduce_amount"),
