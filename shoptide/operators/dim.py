@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoptide.schemas import SKU_INFO, names
@@ -45,11 +45,11 @@ def enrich_sku(sku: DataFrame, spu: DataFrame, category3: DataFrame, trademark:
                 .select(*names(SKU_INFO)))
 
 
-def latest(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """Newest row per key.
 
     The rank filter is applied on the map side too, so a key with very many versions
     sends at most one row per input partition.
     """
-    newest_first = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order_by])
+    newest_first = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order_by])
     return df.withColumn("_rank", F.row_number().over(newest_first)).where("_rank = 1").drop("_rank")

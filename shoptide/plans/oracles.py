@@ -5,7 +5,16 @@ from __future__ import annotations
 _ID = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 _PRICE = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 _NUM = "CAST(round(l_quantity) AS BIGINT)"
-_DETAIL_ID = _ID.format(f"concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, {_NUM}, {_PRICE})")
+
+
+def _remainder(factor: int, prime: int) -> str:
+    total = "0"
+    for part in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _NUM, _PRICE):
+        total = f"(({total} * {factor} + {part}) % {prime})"
+    return total
+
+
+_DETAIL_ID = f"CAST({_remainder(728191213, 1073741789)} * 1073741824 + {_remainder(523481377, 1073741783)} AS BIGINT)"
 
 DETAILS = f"""details AS (
   SELECT {_DETAIL_ID} AS id, l_orderkey AS order_id, l_partkey AS sku_id, {_PRICE} AS price_c, {_NUM} AS sku_num,

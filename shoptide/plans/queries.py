@@ -102,10 +102,10 @@ def dim_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     users = ShopTables(spark, folder).user_info()
     table = KeyedTable(spark, files.shared_folder(spark), ["id"], "`id` string, `user_level` string, `version` int")
     first = (users.select("id", "user_level", F.explode(F.array(F.lit(1), F.lit(3), F.lit(2))).alias("version")))
-    table.upsert(first, 0, [F.col("version")])
+    table.upsert(first, 0, ["version"])
     second = users.where(F.col("id").cast("bigint") % 3 == 0).select("id", F.lower("user_level").alias("user_level"), F.lit(4).alias("version"))
-    table.upsert(second, 1, [F.col("version")])
-    table.upsert(second, 1, [F.col("version")])
+    table.upsert(second, 1, ["version"])
+    table.upsert(second, 1, ["version"])
     return table.read()
 
 
@@ -230,7 +230,7 @@ def dau_index_upsert(spark: SparkSession, folder: str) -> DataFrame:
     logs = dau.parse_startup(ShopTables(spark, folder).startup_log(), keep=("event_id",))
     store = index.index_store(spark, files.shared_folder(spark))
     for batch, half in enumerate((F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1)):
-        index.index_upsert(store, logs.where(half), "dau", batch, F.col("log_date"), "mid", [F.col("ts"), F.col("event_id")])
+        index.index_upsert(store, logs.where(half), "dau", batch, F.col("log_date"), "mid", ("ts", "event_id"))
     docs = store.read()
     return docs.select("index_name", "doc_id", F.get_json_object("source", "$.ts").cast("bigint").alias("ts"),
                        F.get_json_object("source", "$.event_id").cast("bigint").alias("event_id"))

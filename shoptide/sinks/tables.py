@@ -65,7 +65,7 @@ class KeyedTable:
         self.keys, self.compact_every, self.keep = keys, compact_every, keep
         self.batches = BatchTables(spark, root, {"rows": columns})
 
-    def upsert(self, df: DataFrame, batch_id: int, order_by: list[Column] | None = None) -> bool:
+    def upsert(self, df: DataFrame, batch_id: int, order_by: list[str] | None = None) -> bool:
         base, batches = self.batches._committed(batch_id)
         if len(batches) >= self.compact_every:
             self.compact(batches[-1])
@@ -77,7 +77,7 @@ class KeyedTable:
         base, batches = self.batches._committed(before)
         rows = self.batches.read("rows", before)
         if len(batches) + (base is not None) > 1:
-            rows = latest(rows, self.keys, [F.col("batch_id")])
+            rows = latest(rows, self.keys, ["batch_id"])
         return rows.drop("batch_id")
 
     def compact(self, upto: int) -> None:

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shoptide.functions.entities import order_times
 from shoptide.functions.money import amount
 from shoptide.functions.times import after_seconds, epoch_ms
 
 
+# (factor, prime below 2**30)
+ROW_ID_TERMS = [(728_191_213, 1_073_741_789), (523_481_377, 1_073_741_783)]
+
+
 class ShopTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; its schema is looked up once."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def order_totals(self) -> DataFrame:
         """Original amount, discount and freight per order in cents, discount and freight floored per line."""
@@ -128,8 +138,21 @@ def text_id(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def row_id(parts: list[Column]) -> Column:
+    """A 60-bit id of whole numbers: two polynomial remainders side by side, in plain BIGINT arithmetic."""
+    high, low = (_remainder(parts, factor, prime) for factor, prime in ROW_ID_TERMS)
+    return high * F.lit(1 << 30) + low
+
+
+def _remainder(parts: list[Column], factor: int, prime: int) -> Column:
+    total = F.lit(0).cast("bigint")
+    for part in parts:
+        total = (total * factor + part) % prime
+    return total
+
+
 def _whole(column: Column) -> Column:
-    return F.round(column).cast("bigint")
+    return F.rint(column).cast("bigint")
 
 
 def _detail_columns() -> list[Column]:
@@ -137,7 +160,7 @@ def _detail_columns() -> list[Column]:
     parts = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     parts += [_whole(F.col("l_quantity")), _whole(F.col("l_extendedprice") * 100)]
     return [
-        text_id(F.concat_ws("|", *[p.cast("string") for p in parts])).alias("id"),
+        row_id(parts).alias("id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("sku_id"),
         amount(_whole(F.col("l_extendedprice") * 100)).alias("order_price"),

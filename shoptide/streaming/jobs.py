@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoptide.functions.entities import order_times, parse_lenient, parse_strict, to_value
 from shoptide.operators import ads, dau, dim, dwd, dws, ods
+from shoptide.plans.skew import hot_groups
 from shoptide.schemas import (BASE_CATEGORY3, BASE_TRADEMARK, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PROVINCE_INFO,
                               SKU_INFO, SPU_INFO, USER_INFO, ddl, names)
 from shoptide.sinks import index, ledger
@@ -18,7 +19,7 @@ from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources.messages import read_stream, read_streams
 from shoptide.streaming.runner import Pipeline, held
 
-NEWEST = [F.col("timestamp"), F.col("offset")]
+NEWEST = ["timestamp", "offset"]
 USER_ROW = ddl([*USER_INFO, ("age_group", "string", None), ("gender_name", "string", None)])
 TRADEMARK_ROW = "`id` string, `tm_name` string"
 CARRIED = "`order_id` bigint, `origin_cents` bigint, `pay_cents` bigint, `touched` timestamp"
@@ -158,7 +159,8 @@ def share_batches(w: Warehouse, group: str):
     """Allocation of each batch on top of the totals carried from the ones before."""
     def each_batch(wide: DataFrame, batch_id: int) -> None:
         carried = w.carried.read(batch_id)
-        with held(wide), held(dws.batch_shares(wide, carried)) as shares:
+        with held(wide), held(hot_groups(wide, "order_id", "order_detail_id")) as hot, \
+                held(dws.batch_shares(wide, carried, None if hot.isEmpty() else hot)) as shares:
             w.send(to_value(dws.wide_rows(shares), "dws_order_wide"), batch_id, group)
             totals = dws.carried_totals(shares, carried).withColumn("touched", F.current_timestamp())
             w.carried.upsert(totals, batch_id)
