@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from shoptide.schemas import ddl
 
 
+def json_columns(df: DataFrame, schema: str, keep: tuple[str, ...] = (), value: str = "value",
+                 mode: str = "PERMISSIVE") -> DataFrame:
+    """The fields of a JSON text as columns, next to the ``keep`` columns.
+
+    ``inline`` makes them the output of a generator: a later filter or join key cannot be pushed below the parse,
+    where it would parse each message once more.
+    """
+    return df.select(*keep, F.inline(F.array(F.from_json(value, schema, {"mode": mode}))))
+
+
 def parse_strict(df: DataFrame, entity: list, keep: tuple[str, ...] = (), value: str = "value") -> DataFrame:
     """Typed ``from_json``; absent fields get their declared default."""
-    parsed = df.select(*keep, F.from_json(value, ddl(entity)).alias("_e"))
-    return parsed.select(*keep, *[_with_default(F.col(f"_e.{name}"), kind, default).alias(name)
-                                  for name, kind, default in entity])
+    parsed = json_columns(df, ddl(entity), keep, value)
+    return parsed.select(*keep, *[_with_default(F.col(name), kind, default).alias(name) for name, kind, default in entity])
 
 
 def parse_lenient(df: DataFrame, entity: list, keep: tuple[str, ...] = (), value: str = "value") -> DataFrame:
@@ -22,10 +31,10 @@ def parse_lenient(df: DataFrame, entity: list, keep: tuple[str, ...] = (), value
     ``decimal`` fields accept both forms exactly.
     """
     read_as = ", ".join(f"`{name}` {'string' if kind == 'bigint' else kind}" for name, kind, _ in entity)
-    parsed = df.select(*keep, F.from_json(value, read_as).alias("_e"))
+    parsed = json_columns(df, read_as, keep, value)
     columns = []
     for name, kind, default in entity:
-        column = F.col(f"_e.{name}")
+        column = F.col(name)
         if kind == "bigint":
             column = column.try_cast("bigint")
         columns.append(_with_default(column, kind, default).alias(name))

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Two factors up to this size multiply without leaving BIGINT.
-SAFE_FACTOR = 3_000_000_000
-
-
 def cents(amount: Column) -> Column:
     return (amount * 100).cast("bigint")
 
@@ -20,20 +16,18 @@ def amount(cents_column: Column) -> Column:
 def half_even_share(part: Column, pay: Column, whole: Column) -> Column:
     """``part * pay / whole`` in cents, ties to the even cent; NULL when ``whole`` is 0.
 
-    Ordinary amounts stay in BIGINT; a product that could overflow takes the DECIMAL branch.
+    Ordinary amounts stay in BIGINT; a product beyond it, or a negative one, takes the DECIMAL form. Kept short: the
+    compiled method of a wide row must stay below the size the JVM still optimises.
     """
     divisor = F.nullif(whole, F.lit(0))
-    narrow = (part <= SAFE_FACTOR) & (F.abs(pay) <= SAFE_FACTOR)
-    wide = part.cast("decimal(19,0)") * pay.cast("decimal(19,0)")
-    return (F.when(narrow, _half_even_quotient(part * pay, divisor))
-             .otherwise(_half_even_quotient(wide, divisor.cast("decimal(19,0)"))))
-
-
-def _half_even_quotient(product: Column, divisor: Column) -> Column:
-    size = F.abs(product)
-    quotient = F.call_function("div", size, divisor)
-    rest = size % divisor
-    gap = divisor - rest
-    up = (rest > gap) | ((rest == gap) & (quotient % 2 == 1))
-    rounded = quotient + F.when(up, 1).otherwise(0)
-    return F.when(product < 0, -rounded).otherwise(rounded).cast("bigint")
+    plain = _half_even_quotient(F.when(pay >= 0, F.try_multiply(part, pay)), divisor, whole)
+    sign = F.when(pay < 0, -1).otherwise(1)
+    large = F.abs(part.cast("decimal(19,0)") * pay.cast("decimal(19,0)"))
+    return F.coalesce(plain, _half_even_quotient(large, divisor.cast("decimal(19,0)"), whole) * sign)
+
+
+def _half_even_quotient(product: Column, divisor: Column, whole: Column) -> Column:
+    """Rounds up when twice the rest exceeds the divisor, or equals it and the quotient is odd."""
+    quotient = F.call_function("div", product, divisor)
+    rest = (product % divisor).cast("bigint")
+    return quotient + (rest > whole - rest - quotient.bitwiseAND(F.lit(1))).cast("int")

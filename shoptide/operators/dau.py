@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoptide.functions.entities import json_columns
 from shoptide.functions.times import local_time
 from shoptide.schemas import STARTUP_LOG, ddl, names
 
@@ -12,8 +13,7 @@ from shoptide.schemas import STARTUP_LOG, ddl, names
 def parse_startup(messages: DataFrame, zone: str = "UTC", keep: tuple[str, ...] = ()) -> DataFrame:
     """Flattens ``common``, takes the top-level ``ts`` and derives date and hour in ``zone``."""
     common = ddl([c for c in STARTUP_LOG if c[0] != "ts"])
-    parsed = messages.select(*keep, F.from_json("value", f"`common` struct<{_fields(common)}>, `ts` bigint").alias("_e"))
-    logs = parsed.select(*keep, "_e.common.*", "_e.ts")
+    logs = json_columns(messages, f"`common` struct<{_fields(common)}>, `ts` bigint", keep).select(*keep, "common.*", "ts")
     when = local_time(F.col("ts"), zone).cast("string")
     return logs.withColumns({"log_date": F.substring(when, 1, 10), "log_hour": F.substring(when, 12, 2)})
 

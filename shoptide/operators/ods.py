@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoptide.functions.entities import json_columns
+
 # Tables that are routed, and operations that are kept per envelope.
 TABLES = [
     "order_info",
@@ -19,30 +21,28 @@ TABLES = [
 ARRAY_OPS = ["insert", "update"]
 OBJECT_OPS = ["insert", "update", "bootstrap-insert"]
 
+NAMED = "`table` IS NOT NULL AND `type` IS NOT NULL"
 ARRAY_ENVELOPE = "`table` string, `type` string, `data` array<string>"
 OBJECT_ENVELOPE = "`table` string, `type` string, `data` string"
 
 
 def parse_array(messages: DataFrame, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """``{table, type, data: [...]}``: one row per array element; NULL or empty ``data`` gives none."""
-    rows = _envelope(messages, ARRAY_ENVELOPE, keep, strict).where(_named())
-    return rows.select(*keep, F.lower("_e.table").alias("table"), F.lower("_e.type").alias("op"),
-                       F.explode("_e.data").alias("value"))
+    rows = json_columns(messages, ARRAY_ENVELOPE, keep, mode=_mode(strict)).where(NAMED)
+    return rows.select(*keep, F.lower("table").alias("table"), F.lower("type").alias("op"), F.explode("data").alias("value"))
 
 
 def parse_object(messages: DataFrame, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """``{table, type, data: {...}}``: one row per message."""
-    rows = _envelope(messages, OBJECT_ENVELOPE, keep, strict).where(_named() & F.col("_e.data").isNotNull())
-    return rows.select(*keep, F.lower("_e.table").alias("table"), F.lower("_e.type").alias("op"),
-                       F.col("_e.data").alias("value"))
+    rows = json_columns(messages, OBJECT_ENVELOPE, keep, mode=_mode(strict)).where(f"{NAMED} AND data IS NOT NULL")
+    return rows.select(*keep, F.lower("table").alias("table"), F.lower("type").alias("op"), F.col("data").alias("value"))
 
 
 def malformed(messages: DataFrame, envelope: str) -> DataFrame:
     """The messages the parsers leave out because they are no readable envelope."""
-    bad = ~F.coalesce(_named(F.from_json("value", envelope)), F.lit(False))
-    if envelope == OBJECT_ENVELOPE:
-        bad = bad | F.from_json("value", envelope)["data"].isNull()
-    return messages.where(bad)
+    complete = NAMED if envelope == ARRAY_ENVELOPE else f"{NAMED} AND data IS NOT NULL"
+    rows = json_columns(messages, envelope, tuple(messages.columns))
+    return rows.where(f"NOT ({complete})").select(*messages.columns)
 
 
 def route(rows: DataFrame, ops: list[str]) -> DataFrame:
@@ -55,11 +55,5 @@ def route(rows: DataFrame, ops: list[str]) -> DataFrame:
     return rows.where(wanted & order_rule).withColumn("topic", F.concat(F.lit("ods_"), "table")).drop("table", "op")
 
 
-def _envelope(messages: DataFrame, envelope: str, keep: tuple[str, ...], strict: bool) -> DataFrame:
-    mode = "FAILFAST" if strict else "PERMISSIVE"
-    return messages.select(*keep, F.from_json("value", envelope, {"mode": mode}).alias("_e"))
-
-
-def _named(envelope: Column | None = None) -> Column:
-    envelope = F.col("_e") if envelope is None else envelope
-    return envelope["table"].isNotNull() & envelope["type"].isNotNull()
+def _mode(strict: bool) -> str:
+    return "FAILFAST" if strict else "PERMISSIVE"
