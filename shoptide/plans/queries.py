@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoptide.functions.entities import order_times, parse_lenient, parse_strict, to_value
 from shoptide.operators import ads, dau, dim, dwd, dws, ods
-from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, SKU_INFO, USER_INFO, names
+from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, only
 from shoptide.sinks import files, index, ledger
 from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources.tables import ShopTables
@@ -51,13 +51,13 @@ def cdc_object_route(spark: SparkSession, folder: str) -> DataFrame:
                              customers.drop("_k"), customers)
     messages = order_envelopes(shop).unionByName(users)
     rows = ods.route(ods.parse_object(messages), ods.OBJECT_OPS)
-    parsed = parse_lenient(rows, ORDER_INFO, keep=("topic",))
+    parsed = parse_lenient(rows, only(ORDER_INFO, "id", "user_id", "final_total_amount"), keep=("topic",))
     return parsed.select("topic", "id", "user_id", F.col("final_total_amount").cast("double").alias("amount"))
 
 
 def cdc_array_route(spark: SparkSession, folder: str) -> DataFrame:
     rows = ods.route(ods.parse_array(detail_envelopes(ShopTables(spark, folder))), ods.ARRAY_OPS)
-    parsed = parse_lenient(rows, ORDER_DETAIL, keep=("topic",))
+    parsed = parse_lenient(rows, only(ORDER_DETAIL, "id", "order_id", "sku_num", "order_price"), keep=("topic",))
     return parsed.select("topic", "id", "order_id", "sku_num", F.col("order_price").cast("double").alias("price"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from shoptide.functions.entities import parse_strict
 from shoptide.operators import dau, dws
 from shoptide.plans.queries import _money_as_double, with_no_dimensions, with_no_sku
-from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
+from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, only
 from shoptide.sinks import files
-from shoptide.sinks.messages import write_batch
+from shoptide.sinks.messages import publish_wave, stage_waves
 from shoptide.sources.messages import read_topic
 from shoptide.sources.tables import ShopTables
 from shoptide.streaming.jobs import Warehouse, share_batches
@@ -20,6 +20,7 @@ from shoptide.streaming.runner import Pipeline, settings
 ORDER_CUTS = ["1997-03-01 00:00:00", "1999-06-01 00:00:00"]
 START_CUTS = ["2024-01-10 13:00:00", "2024-01-20 07:00:00"]
 DETAIL_ID_RANGE = 1 << 60
+WAVES = 3
 
 
 def order_wide_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,12 +39,12 @@ def order_wide_share_stream(spark: SparkSession, folder: str) -> DataFrame:
     shop = ShopTables(spark, folder)
     w = _warehouse(spark)
     wide = dws.wide_join(with_no_dimensions(shop.order_info()), with_no_sku(shop.order_detail()))
-    third = F.call_function("div", F.col("order_detail_id"), F.lit(DETAIL_ID_RANGE // 3 + 1))
+    third = F.call_function("div", F.col("order_detail_id"), F.lit(DETAIL_ID_RANGE // WAVES + 1))
     share = Pipeline("share", "5 seconds", lambda: parse_strict(w.stream("joined"), ORDER_WIDE), share_batches(w, "share"))
     _run_in_waves(w, [(wide.withColumn("timestamp", F.current_timestamp()), "joined", third)], share)
-    shares = parse_strict(read_topic(spark, w.path, "dws_order_wide"), ORDER_WIDE)
-    return _money_as_double(shares.select("order_id", "order_detail_id", "final_total_amount", "original_total_amount",
-                                          "sku_price", "sku_num", "final_detail_amount"))
+    wanted = only(ORDER_WIDE, "order_id", "order_detail_id", "final_total_amount", "original_total_amount", "sku_price",
+                  "sku_num", "final_detail_amount")
+    return _money_as_double(parse_strict(read_topic(spark, w.path, "dws_order_wide"), wanted))
 
 
 def dau_first_start_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,8 +74,8 @@ def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, j
 
     cut = _cut(F.col("timestamp"), ORDER_CUTS)
     _run_in_waves(w, [(orders, "order", cut), (details, "detail", cut)], Pipeline("join", "5 seconds", source, each_batch))
-    wide = parse_strict(read_topic(spark, w.path, "wide"), ORDER_WIDE)
-    return wide.select("order_id", "order_detail_id", "user_id", "sku_id", "sku_num")
+    wanted = only(ORDER_WIDE, "order_id", "order_detail_id", "user_id", "sku_id", "sku_num")
+    return parse_strict(read_topic(spark, w.path, "wide"), wanted)
 
 
 def _warehouse(spark: SparkSession) -> Warehouse:
@@ -83,12 +84,15 @@ def _warehouse(spark: SparkSession) -> Warehouse:
 
 
 def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job: Pipeline) -> None:
-    """Writes each wave of messages and runs the job on it, with its checkpoint from the wave before."""
-    for wave in range(3):
-        for rows, topic, number in inputs:
-            part = rows.where(number == wave)
-            value = F.col("value") if "value" in rows.columns else F.to_json(F.struct(*[c for c in rows.columns if c != "timestamp"]))
-            write_batch(part.select(F.lit(topic).alias("topic"), value.alias("value"), "timestamp"), wave, f"in_{topic}", "files", w.path)
+    """Writes the messages once, then gives out wave by wave and runs the job on it, from its own checkpoint."""
+    staged = None
+    for rows, topic, wave in inputs:
+        value = F.col("value") if "value" in rows.columns else F.to_json(F.struct(*[c for c in rows.columns if c != "timestamp"]))
+        part = rows.select(F.lit(topic).alias("topic"), value.alias("value"), "timestamp", wave.alias("wave"))
+        staged = part if staged is None else staged.unionByName(part)
+    stage_waves(staged, w.path, "in")
+    for wave in range(WAVES):
+        publish_wave(w.spark, w.path, "in", wave)
         # Joins and dedupe emit nothing in a batch without data, so it can be left to the next wave to drop old state.
         with settings(w.spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
             job.drain(w.spark, f"{w.root}/checkpoints", state_partitions=w.spark.sparkContext.defaultParallelism)

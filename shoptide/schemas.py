@@ -108,3 +108,8 @@ def names(entity: list) -> list[str]:
 
 def ddl(entity: list) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind, _ in entity)
+
+
+def only(entity: list, *wanted: str) -> list:
+    """The named fields of an entity, so that a reader parses no others."""
+    return [field for field in entity if field[0] in wanted]

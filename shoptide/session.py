@@ -10,14 +10,17 @@ SETTINGS = {
     # Adaptive execution splits skewed join partitions and turns joins with a really small side into broadcasts.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # State of long joins and dedupe stays off the heap.
+}
+
+# For streams with large state: it stays off the heap, and a batch saves its changes only.
+STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    for name, value in SETTINGS.items():
+def configure(builder: SparkSession.Builder, large_state: bool = False) -> SparkSession.Builder:
+    for name, value in {**SETTINGS, **(STATE_SETTINGS if large_state else {})}.items():
         builder = builder.config(name, value)
     return builder

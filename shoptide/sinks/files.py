@@ -44,6 +44,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(hadoop))
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, hadoop = _path(spark, old)
+    target = spark._jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(hadoop, target):
+        raise OSError(f"could not rename {old} to {new}")
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file so that readers see all of it or nothing."""
     fs, hadoop = _path(spark, path)

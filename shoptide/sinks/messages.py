@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptide.schemas import MESSAGE
@@ -28,7 +28,18 @@ def write_batch(messages: DataFrame, batch_id: int, job: str, kind: str = "kafka
     _stored_columns(messages, batch_id).write.mode("overwrite").partitionBy("topic").parquet(folder)
 
 
-def _stored_columns(messages: DataFrame, batch_id: int) -> DataFrame:
+def stage_waves(messages: DataFrame, path: str, name: str) -> None:
+    """Writes messages once, cut by their ``wave`` number; no reader sees a wave before :func:`publish_wave`."""
+    _stored_columns(messages, 0, "wave").write.partitionBy("wave", "topic").parquet(f"{path}/_staged/{name}")
+
+
+def publish_wave(spark: SparkSession, path: str, name: str, wave: int) -> None:
+    staged = f"{path}/_staged/{name}/wave={wave}"
+    if files.exists(spark, staged):
+        files.rename(spark, staged, f"{path}/{name}/batch={wave:012d}")
+
+
+def _stored_columns(messages: DataFrame, batch_id: int, *keep: str) -> DataFrame:
     """Fills the source columns a broker would set: offsets grow with the batch within a partition."""
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     made = {
@@ -39,4 +50,4 @@ def _stored_columns(messages: DataFrame, batch_id: int) -> DataFrame:
         "timestampType": F.lit(0),
     }
     return messages.select(*[(F.col(name) if name in messages.columns else made[name]).cast(kind).alias(name)
-                             for name, kind, _ in MESSAGE])
+                             for name, kind, _ in MESSAGE], *keep)

@@ -71,7 +71,7 @@ class ShopTables:
         heads = self.table("orders").select("o_orderkey", order_time().alias("_created"))
         arrived = after_seconds(F.col("_created"), F.col("l_linenumber") * seconds_per_line + offset)
         joined = self.table("lineitem").join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
-        return joined.select(*_detail_columns(), F.to_timestamp(arrived.cast("string")).alias("timestamp"))
+        return joined.select(*_detail_columns(), arrived.cast("timestamp").alias("timestamp"))
 
     def user_info(self) -> DataFrame:
         key = F.col("c_custkey")

@@ -12,7 +12,7 @@ from shoptide.functions.entities import order_times, parse_lenient, parse_strict
 from shoptide.operators import ads, dau, dim, dwd, dws, ods
 from shoptide.plans.skew import hot_groups
 from shoptide.schemas import (BASE_CATEGORY3, BASE_TRADEMARK, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PROVINCE_INFO,
-                              SKU_INFO, SPU_INFO, USER_INFO, ddl, names)
+                              SKU_INFO, SPU_INFO, USER_INFO, ddl, only)
 from shoptide.sinks import index, ledger
 from shoptide.sinks.messages import write_batch
 from shoptide.sinks.tables import BatchTables, KeyedTable
@@ -172,7 +172,7 @@ def trademark_amounts(w: Warehouse, group: str = "ads_order_wide") -> Pipeline:
     """Sum of each batch by trademark, saved together with the offsets it was read up to."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            amounts = ads.trademark_amount(parse_strict(batch, ORDER_WIDE))
+            amounts = ads.trademark_amount(parse_strict(batch, only(ORDER_WIDE, "tm_id", "tm_name", "final_detail_amount")))
             w.results.commit(batch_id, {"tm_amount": amounts, "ads_offset": ledger.offset_ranges(batch, group)})
 
     return Pipeline(group, "5 seconds", lambda: w.stream("dws_order_wide"), each_batch)
