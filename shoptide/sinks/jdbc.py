@@ -55,7 +55,7 @@ def execute(spark: SparkSession, url: str, driver: str, statements: list[str]) -
     """Runs statements in one transaction on a connection of the driver program."""
     jvm = spark._jvm
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    connector = jvm.java.lang.Class.forName(driver, True, loader).getDeclaredConstructor().newInstance()
+    connector = jvm.java.lang.Class.forName(driver, True, loader).newInstance()
     connection = connector.connect(url, jvm.java.util.Properties())
     try:
         connection.setAutoCommit(False)
