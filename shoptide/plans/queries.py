@@ -183,13 +183,14 @@ def trademark_amount(spark: SparkSession, folder: str) -> DataFrame:
     """The whole way: dimensions, wide join, allocation, sum by trademark."""
     shop = ShopTables(spark, folder)
     details = dwd.enrich_detail(shop.order_detail(), enriched_sku(shop))
-    shares = dws.order_shares(enriched(shop, shop.order_info()), details)
+    shares = dws.order_shares(enriched(shop, shop.order_info()), details, shop.order_detail())
     return _money_as_double(ads.trademark_amount(shares, F.lit("2021-01-01 00:00:00")))
 
 
 def trademark_amount_windows(spark: SparkSession, folder: str) -> DataFrame:
     shop = ShopTables(spark, folder)
-    shares = dws.order_shares(with_no_dimensions(shop.order_info()), dwd.enrich_detail(shop.order_detail(), enriched_sku(shop)))
+    details = dwd.enrich_detail(shop.order_detail(), enriched_sku(shop))
+    shares = dws.order_shares(with_no_dimensions(shop.order_info()), details, shop.order_detail())
     timed = shares.withColumn("_created", F.to_timestamp_ntz("create_time"))
     sums = ads.trademark_amount_windows(timed, "_created", "5 seconds")
     return _money_as_double(sums.withColumn("window_start", F.col("window_start").cast("string")))

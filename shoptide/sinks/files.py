@@ -52,6 +52,11 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"could not rename {old} to {new}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _path(spark, path)
+    fs.delete(hadoop, True)
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file so that readers see all of it or nothing."""
     fs, hadoop = _path(spark, path)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shoptide.operators.dim import latest
 from shoptide.sinks import files
@@ -46,6 +47,18 @@ class BatchTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
+    def drop_older(self, base: int) -> None:
+        """Removes the batches merged into ``base`` and the bases before it: marks first, then data."""
+        for mark in files.children(self.spark, f"{self.root}/commits"):
+            if mark.startswith(("_", ".")):
+                continue
+            kind, number = mark.split("-")
+            if int(number) < base or (kind == "batch" and int(number) == base):
+                folders = json.loads(files.get_text(self.spark, f"{self.root}/commits/{mark}"))
+                files.remove(self.spark, f"{self.root}/commits/{mark}")
+                for folder in folders.values():
+                    files.remove(self.spark, folder)
+
     def _committed(self, before: int | None) -> tuple[int | None, list[int]]:
         found = [m.split("-") for m in files.children(self.spark, f"{self.root}/commits") if not m.startswith(("_", "."))]
         found = [(kind, int(number)) for kind, number in found if before is None or int(number) < before]
@@ -63,6 +76,7 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, root: str, keys: list[str], columns: str,
                  compact_every: int = 50, keep: Column | None = None):
         self.keys, self.compact_every, self.keep = keys, compact_every, keep
+        self.columns = StructType.fromDDL(columns).names
         self.batches = BatchTables(spark, root, {"rows": columns})
 
     def upsert(self, df: DataFrame, batch_id: int, order_by: list[str] | None = None) -> bool:
@@ -70,8 +84,7 @@ class KeyedTable:
         if len(batches) >= self.compact_every:
             self.compact(batches[-1])
         rows = latest(df, self.keys, order_by) if order_by else df.dropDuplicates(self.keys)
-        columns = [c for c in self.batches.read("rows").columns if c != "batch_id"]
-        return self.batches.commit(batch_id, {"rows": rows.select(*columns)})
+        return self.batches.commit(batch_id, {"rows": rows.select(*self.columns)})
 
     def read(self, before: int | None = None) -> DataFrame:
         base, batches = self.batches._committed(before)
@@ -81,8 +94,14 @@ class KeyedTable:
         return rows.drop("batch_id")
 
     def compact(self, upto: int) -> None:
-        """Merges the batches up to ``upto`` into one base; the merged ones stay on disk."""
+        """Merges the batches up to ``upto`` into one base.
+
+        What the base before still needs stays on disk for readers that have just begun; older files go.
+        """
+        before, _ = self.batches._committed(upto)
         rows = self.read(upto + 1)
         if self.keep is not None:
             rows = rows.where(self.keep)
         self.batches.commit(upto, {"rows": rows}, kind="base")
+        if before is not None:
+            self.batches.drop_older(before)

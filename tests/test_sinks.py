@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from shoptide.sinks import index, jdbc, ledger
+from shoptide.sinks import files, index, jdbc, ledger
 from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources import jdbc as jdbc_source
 from shoptide.sources.messages import kafka_options, starting_offsets
@@ -135,3 +135,12 @@ def test_jdbc_append_and_views(spark, database):
     assert spark.sql("SELECT count(*) n, max(partition_offset) m FROM offs").first().asDict() == {"n": 300, "m": 299}
     split = jdbc_source.read_table(spark, database, "ads_offset", "PARTITION_ID", (0, 300), 3, driver=DERBY)
     assert split.rdd.getNumPartitions() == 3 and split.count() == 300
+
+
+def test_merged_batches_leave_the_disk(spark, folder):
+    t = KeyedTable(spark, folder, ["k"], "`k` string, `v` int", compact_every=2)
+    for batch in range(9):
+        t.upsert(rows(spark, ("a", batch), (f"k{batch}", batch)), batch)
+        assert ("a", batch) in content(t.read()) and len(content(t.read())) == batch + 2
+    marks = files.children(spark, f"{folder}/commits")
+    assert len(marks) <= 6 and len(files.children(spark, f"{folder}/data/rows")) == len(marks)
