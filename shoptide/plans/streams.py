@@ -40,7 +40,7 @@ def order_wide_share_stream(spark: SparkSession, folder: str) -> DataFrame:
     w = _warehouse(spark)
     wide = dws.wide_join(with_no_dimensions(shop.order_info()), with_no_sku(shop.order_detail()))
     third = F.call_function("div", F.col("order_detail_id"), F.lit(DETAIL_ID_RANGE // WAVES + 1))
-    share = Pipeline("share", "5 seconds", lambda: parse_strict(w.stream("joined"), ORDER_WIDE), share_batches(w, "share"))
+    share = Pipeline("share", "5 seconds", lambda: parse_strict(w.stream("share", "joined"), ORDER_WIDE), share_batches(w, "share"))
     _run_in_waves(w, [(wide.withColumn("timestamp", F.current_timestamp()), "joined", third)], share)
     wanted = only(ORDER_WIDE, "order_id", "order_detail_id", "final_total_amount", "original_total_amount", "sku_price",
                   "sku_num", "final_detail_amount")
@@ -55,7 +55,7 @@ def dau_first_start_stream(spark: SparkSession, folder: str) -> DataFrame:
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         w.send(batch.select(F.lit("dau").alias("topic"), F.to_json(F.struct("*")).alias("value")), batch_id, "dau")
 
-    first = Pipeline("dau", "3 seconds", lambda: dau.first_start_stream(dau.parse_startup(w.stream("start"))), each_batch)
+    first = Pipeline("dau", "3 seconds", lambda: dau.first_start_stream(dau.parse_startup(w.stream("dau", "start"))), each_batch)
     _run_in_waves(w, [(logs, "start", _cut(F.col("timestamp"), START_CUTS))], first)
     kept = read_topic(spark, w.path, "dau").select(F.from_json("value", "log_date string, mid string").alias("v"))
     return kept.select("v.log_date", "v.mid")
@@ -65,7 +65,7 @@ def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, j
     w = _warehouse(spark)
 
     def source() -> DataFrame:
-        streams = w.streams("order", "detail")
+        streams = w.streams("join", "order", "detail")
         return join(parse_strict(streams["order"], ORDER_INFO, keep=("timestamp",)),
                     parse_strict(streams["detail"], ORDER_DETAIL, keep=("timestamp",)))
 

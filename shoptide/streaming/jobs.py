@@ -16,7 +16,7 @@ from shoptide.schemas import (BASE_CATEGORY3, BASE_TRADEMARK, ORDER_DETAIL, ORDE
 from shoptide.sinks import index, ledger
 from shoptide.sinks.messages import write_batch
 from shoptide.sinks.tables import BatchTables, KeyedTable
-from shoptide.sources.messages import read_stream, read_streams
+from shoptide.sources.messages import read_stream, starting_offsets
 from shoptide.streaming.runner import Pipeline, held
 
 NEWEST = ["timestamp", "offset"]
@@ -64,17 +64,22 @@ class Warehouse:
         """A ledger per group, since batch ids count per query."""
         return ledger.ledger_table(self.spark, f"{self.root}/offsets/{group}")
 
-    def stream(self, *topics: str) -> DataFrame:
-        return read_stream(self.spark, list(topics), **self._source())
+    def stream(self, group: str, *topics: str) -> DataFrame:
+        return read_stream(self.spark, list(topics), **self._source(group, list(topics)))
 
-    def streams(self, *topics: str) -> dict[str, DataFrame]:
-        return read_streams(self.spark, list(topics), **self._source())
+    def streams(self, group: str, *topics: str) -> dict[str, DataFrame]:
+        """One stream per topic."""
+        return {topic: self.stream(group, topic) for topic in topics}
 
     def send(self, messages: DataFrame, batch_id: int, job: str) -> None:
         write_batch(messages, batch_id, job, self.kind, self.path, self.servers)
 
-    def _source(self) -> dict:
-        return {"kind": self.kind, "path": self.path, "servers": self.servers, "per_trigger": self.per_trigger}
+    def _source(self, group: str, topics: list[str]) -> dict:
+        """A first start without a checkpoint goes on from the group's ledger; later ones from the checkpoint."""
+        source = {"kind": self.kind, "path": self.path, "servers": self.servers, "per_trigger": self.per_trigger}
+        if self.kind == "kafka":
+            source["starting"] = starting_offsets(self.ledger(group).read(), group, topics)
+        return source
 
 
 def route_arrays(w: Warehouse, topic: str, group: str = "ods_array") -> Pipeline:
@@ -84,7 +89,7 @@ def route_arrays(w: Warehouse, topic: str, group: str = "ods_array") -> Pipeline
             w.send(ods.route(ods.parse_array(batch, keep=("timestamp",)), ods.ARRAY_OPS), batch_id, group)
             ledger.save_offsets(w.ledger(group), batch, group, batch_id)
 
-    return Pipeline(group, "3 seconds", lambda: w.stream(topic), each_batch)
+    return Pipeline(group, "3 seconds", lambda: w.stream(group, topic), each_batch)
 
 
 def route_objects(w: Warehouse, topic: str, group: str = "ods_object") -> Pipeline:
@@ -94,7 +99,7 @@ def route_objects(w: Warehouse, topic: str, group: str = "ods_object") -> Pipeli
             w.send(ods.route(ods.parse_object(batch, keep=("timestamp",)), ods.OBJECT_OPS), batch_id, group)
             ledger.save_offsets(w.ledger(group), batch, group, batch_id)
 
-    return Pipeline(group, "3 seconds", lambda: w.stream(topic), each_batch)
+    return Pipeline(group, "3 seconds", lambda: w.stream(group, topic), each_batch)
 
 
 def sync_dimensions(w: Warehouse, group: str = "dim_sync") -> Pipeline:
@@ -114,7 +119,7 @@ def sync_dimensions(w: Warehouse, group: str = "dim_sync") -> Pipeline:
             ledger.save_offsets(w.ledger(group), batch, group, batch_id)
 
     topics = ("ods_user_info", "ods_base_province", "ods_sku_info", "ods_spu_info", "ods_base_category3", "ods_base_trademark")
-    return Pipeline(group, "60 seconds", lambda: w.stream(*topics), each_batch)
+    return Pipeline(group, "60 seconds", lambda: w.stream(group, *topics), each_batch)
 
 
 def detail_facts(w: Warehouse, group: str = "dwd_order_detail") -> Pipeline:
@@ -125,7 +130,7 @@ def detail_facts(w: Warehouse, group: str = "dwd_order_detail") -> Pipeline:
             w.send(to_value(details, "dwd_order_detail"), batch_id, group)
             ledger.save_offsets(w.ledger(group), batch, group, batch_id)
 
-    return Pipeline(group, "5 seconds", lambda: w.stream("ods_order_detail"), each_batch)
+    return Pipeline(group, "5 seconds", lambda: w.stream(group, "ods_order_detail"), each_batch)
 
 
 def order_facts(w: Warehouse, group: str = "dwd_order_info") -> Pipeline:
@@ -141,13 +146,13 @@ def order_facts(w: Warehouse, group: str = "dwd_order_info") -> Pipeline:
             w.user_status.upsert(dwd.user_status_rows(enriched), batch_id)
             ledger.save_offsets(w.ledger(group), batch, group, batch_id)
 
-    return Pipeline(group, "3 seconds", lambda: w.stream("ods_order_info"), each_batch)
+    return Pipeline(group, "3 seconds", lambda: w.stream(group, "ods_order_info"), each_batch)
 
 
 def wide_orders(w: Warehouse, group: str = "dws_order_wide", **waits: str) -> Pipeline:
     """Orders joined with details and the paid amount allocated, in one query."""
     def source() -> DataFrame:
-        streams = w.streams("dwd_order_info", "dwd_order_detail")
+        streams = w.streams(group, "dwd_order_info", "dwd_order_detail")
         orders = parse_strict(streams["dwd_order_info"], ORDER_INFO, keep=("timestamp",))
         details = parse_strict(streams["dwd_order_detail"], ORDER_DETAIL, keep=("timestamp",))
         return dws.wide_join_stream(orders, details, **waits)
@@ -175,7 +180,7 @@ def trademark_amounts(w: Warehouse, group: str = "ads_order_wide") -> Pipeline:
             amounts = ads.trademark_amount(parse_strict(batch, only(ORDER_WIDE, "tm_id", "tm_name", "final_detail_amount")))
             w.results.commit(batch_id, {"tm_amount": amounts, "ads_offset": ledger.offset_ranges(batch, group)})
 
-    return Pipeline(group, "5 seconds", lambda: w.stream("dws_order_wide"), each_batch)
+    return Pipeline(group, "5 seconds", lambda: w.stream(group, "dws_order_wide"), each_batch)
 
 
 def daily_actives(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau") -> Pipeline:
@@ -183,6 +188,6 @@ def daily_actives(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         index.index_upsert(w.index, batch, "dau", batch_id, None, "mid")
 
-    return Pipeline(group, "3 seconds", lambda: dau.first_start_stream(dau.parse_startup(w.stream(topic), zone)), each_batch)
+    return Pipeline(group, "3 seconds", lambda: dau.first_start_stream(dau.parse_startup(w.stream(group, topic), zone)), each_batch)
 
 

@@ -89,7 +89,7 @@ def test_whole_way(warehouse):
 def joined_ids(w, batches):
     """Runs the stream join over batches of ``(orders, details)`` as ``(id, seconds)``."""
     seen = []
-    streams = w.streams("dwd_order_info", "dwd_order_detail")
+    streams = w.streams("g", "dwd_order_info", "dwd_order_detail")
     wide = dws.wide_join_stream(parse_strict(streams["dwd_order_info"], ORDER_INFO, keep=("timestamp",)),
                                 parse_strict(streams["dwd_order_detail"], ORDER_DETAIL, keep=("timestamp",)), lateness="0 seconds")
     for number, (orders, details) in enumerate(batches):
