@@ -30,7 +30,7 @@ def order_envelopes(shop: ShopTables) -> DataFrame:
 
 def detail_envelopes(shop: ShopTables) -> DataFrame:
     """One array envelope per line with the line and a free gift line; some with no or other rows, some not readable."""
-    details = shop.order_detail()
+    details = shop.order_detail(spread=True)
     as_text = [c for c in details.columns]
     line = F.struct(*[F.col(c).cast("string").alias(c) for c in as_text])
     gift = F.struct((F.col("id") + 1).cast("string").alias("id"),
@@ -77,7 +77,7 @@ def order_info_typed(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_detail_typed(spark: SparkSession, folder: str) -> DataFrame:
     """Details written as JSON and read back with the strict schema."""
-    text = to_value(ShopTables(spark, folder).order_detail(), "dwd_order_detail")
+    text = to_value(ShopTables(spark, folder).order_detail(spread=True), "dwd_order_detail")
     return _money_as_double(parse_strict(text, ORDER_DETAIL).select(
         "id", "order_id", "sku_id", "order_price", "sku_num", "sku_name", "create_time", "spu_id", "tm_id", "category3_id"))
 

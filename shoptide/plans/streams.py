@@ -38,7 +38,7 @@ def order_wide_share_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Allocation with carried totals; waves are cut by detail id, so most orders are spread over them."""
     shop = ShopTables(spark, folder)
     w = _warehouse(spark)
-    wide = dws.wide_join(with_no_dimensions(shop.order_info()), with_no_sku(shop.order_detail()))
+    wide = dws.wide_join(with_no_dimensions(shop.order_info()), with_no_sku(shop.order_detail(spread=True)))
     third = F.call_function("div", F.col("order_detail_id"), F.lit(DETAIL_ID_RANGE // WAVES + 1))
     share = Pipeline("share", "5 seconds", lambda: parse_strict(w.stream("share", "joined"), ORDER_WIDE), share_batches(w, "share"))
     _run_in_waves(w, [(wide.withColumn("timestamp", F.current_timestamp()), "joined", third)], share)
