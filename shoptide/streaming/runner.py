@@ -76,19 +76,20 @@ def progress_offsets(sources: list[dict], group: str) -> list[tuple[str, str, in
 class OffsetListener(StreamingQueryListener):
     """Keeps the ledger for queries with state, whose batches no longer hold the source columns."""
 
-    def __init__(self, spark: SparkSession, ledger: KeyedTable, groups: set[str]):
-        self.spark, self.ledger, self.groups = spark, ledger, groups
+    def __init__(self, spark: SparkSession, ledgers: dict[str, KeyedTable]):
+        """``ledgers`` by consumer group, which is the query's name."""
+        self.spark, self.ledgers = spark, ledgers
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress
-        if progress.name not in self.groups:
+        if progress.name not in self.ledgers:
             return
         rows = progress_offsets([{"endOffset": s.endOffset} for s in progress.sources], progress.name)
         if rows:
-            self.ledger.upsert(self.spark.createDataFrame(rows, LEDGER), progress.batchId)
+            self.ledgers[progress.name].upsert(self.spark.createDataFrame(rows, LEDGER), progress.batchId)
 
     def onQueryIdle(self, event) -> None:
         pass

@@ -1,5 +1,6 @@
 import json
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from shoptide.sinks import files, index, jdbc, ledger
 from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources import jdbc as jdbc_source
 from shoptide.sources.messages import kafka_options, starting_offsets
-from shoptide.streaming.runner import progress_offsets
+from shoptide.streaming.runner import OffsetListener, progress_offsets
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
@@ -89,6 +90,17 @@ def test_progress_offsets():
     assert progress_offsets(sources, "g") == [("g", "t", 0, 5), ("g", "t", 1, 6), ("g", "u", 0, 7)]
 
 
+def test_listener_keeps_the_ledger(spark, folder):
+    def event(batch, end):
+        source = SimpleNamespace(endOffset=json.dumps({"t": end}))
+        return SimpleNamespace(progress=SimpleNamespace(name="g", batchId=batch, sources=[source]))
+    table = ledger.ledger_table(spark, folder)
+    listener = OffsetListener(spark, {"g": table})
+    listener.onQueryProgress(event(0, {"0": 5, "1": 6}))
+    listener.onQueryProgress(event(1, {"0": 9, "1": 6}))
+    assert content(table.read()) == [("g", "t", 0, 9), ("g", "t", 1, 6)]
+
+
 @pytest.fixture
 def database(spark, request):
     """An in-memory database inside the session's own process."""
