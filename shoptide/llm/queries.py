@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptide.llm import chat, language, mixing, pieces
+from shoptide.llm import chat, language, licences, mixing, pieces, secret_scan
 from shoptide.llm.common import table
 
 
@@ -34,6 +34,19 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["place"] == secret_scan.KINDS.index(kind))).cast("bigint")
+    base = F.filter("spans", lambda s: s["place"] < secret_scan.KINDS.index("random"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.written(F.col("spans")).alias("spans"))
+
+
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -41,4 +54,4 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more)))
 
 
-QUERIES = {q.__name__: q for q in (op1_pieces, op3_language, op7_mixing, op10_chat)}
+QUERIES = {q.__name__: q for q in (op1_pieces, op3_language, op7_mixing, op8_secrets, op9_licences, op10_chat)}
