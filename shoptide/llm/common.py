@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,21 @@ def saved(df: DataFrame, partition_by: str | None = None) -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose values in ``column`` (text, bytes or lists) have about ``size`` bytes, so that memory is bounded by one row."""
+    for batch in batches:
+        values = batch.column(column)
+        kind = values.type
+        width = kind.value_type.bit_width // 8 if pa.types.is_list(kind) else 1
+        offsets = np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) else np.int32)
+        ends = (offsets[values.offset:values.offset + len(values) + 1].astype(np.int64) - offsets[values.offset]) * width if len(values) else [0]
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``edges (a, b)``: the smallest node reachable from it.
 

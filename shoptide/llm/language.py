@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoptide.llm.common import slices
+
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 
@@ -187,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in slices(batches, at):
             letters = batch.column(n).to_numpy(zero_copy_only=False)
             names, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             if known.languages and batch.num_rows:

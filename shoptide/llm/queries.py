@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptide.llm import chat, language, licences, mixing, pieces, secret_scan
+from shoptide.llm import chat, language, licences, mixing, near_vectors, neighbours, pieces, secret_scan, urls
 from shoptide.llm.common import table
 
 
@@ -30,6 +30,19 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -54,4 +67,4 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more)))
 
 
-QUERIES = {q.__name__: q for q in (op1_pieces, op3_language, op7_mixing, op8_secrets, op9_licences, op10_chat)}
+QUERIES = {q.__name__: q for q in (op1_pieces, op3_language, op4_neighbours, op5_near_vectors, op6_urls, op7_mixing, op8_secrets, op9_licences, op10_chat)}
