@@ -15,6 +15,7 @@ merge, as the library does. Repeated rows, empty tables and further columns pass
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache, cached_property
 
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoptide.llm.common import slices
+
 SPACE = "\u2581"
 MAX_CACHED = 400_000
 MAX_CACHED_LENGTH = 64
@@ -167,24 +170,42 @@ class Pieces:
         ids.reverse()
         return ids
 
+    @cached_property
+    def neighbours(self) -> set[str]:
+        """The pairs of characters that are side by side in some piece; no merge crosses any other place."""
+        return {text[i:i + 2] for text in self.id_of for i in range(len(text) - 1)}
+
+    def encode_parts(self, text: str) -> bytes:
+        """Like ``encode_stretch``, as bytes, cut where no piece can cross; parts are remembered."""
+        parts, start, neighbours, found = [], 0, self.neighbours, self._parts
+        for i in range(1, len(text)):
+            if text[i - 1:i + 1] not in neighbours:
+                parts.append(found[text[start:i]])
+                start = i
+        parts.append(found[text[start:]])
+        return b"".join(parts)
+
+    @cached_property
+    def _parts(self) -> _Remembered:
+        return _Remembered(lambda part: _packed(self.encode_stretch(part)))
+
     @cached_property
     def _known(self) -> dict[tuple[str, str], bool]:
         return {}
 
     @cached_property
-    def _stretches(self) -> _Stretches:
-        return _Stretches(self)
+    def _stretches(self) -> _Remembered:
+        return _Remembered(lambda stretch: self.encode_parts(stretch.replace(" ", SPACE)))
 
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit integers one after another, without the end id."""
         if not text:
             return b""
         if not self.falls_apart:
-            return np.array(self.encode_stretch(SPACE + text.replace(" ", SPACE)), dtype=np.int32).tobytes()
-        found = self._stretches
-        if len(found) > MAX_CACHED:
-            found.clear()
-        return b"".join(map(found.__getitem__, STRETCH.findall(" " + text.replace(SPACE, " "))))
+            return self.encode_parts(SPACE + text.replace(" ", SPACE))
+        self._stretches.trim()
+        self._parts.trim()
+        return b"".join(map(self._stretches.__getitem__, STRETCH.findall(" " + text.replace(SPACE, " "))))
 
     @cached_property
     def surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,17 +221,27 @@ class Pieces:
 STRETCH = re.compile(r"\n| *[^ \n]+| +")
 
 
-class _Stretches(dict):
-    def __init__(self, model: Pieces):
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"={len(ids)}i", *ids)
+
+
+class _Remembered(dict):
+    """Results by text, of bounded number and length of text."""
+
+    def __init__(self, make):
         super().__init__()
-        self.model = model
+        self.make = make
 
-    def __missing__(self, stretch: str) -> bytes:
-        found = np.array(self.model.encode_stretch(stretch.replace(" ", SPACE)), dtype=np.int32).tobytes()
-        if len(stretch) <= MAX_CACHED_LENGTH:
-            self[stretch] = found
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= MAX_CACHED_LENGTH:
+            self[text] = found
         return found
 
+    def trim(self) -> None:
+        if len(self) > MAX_CACHED:
+            self.clear()
+
 
 @cache
 def model(path: str) -> Pieces:
@@ -231,7 +262,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         tail = np.array([known.end_id], dtype=np.int32).tobytes() if end else b""
-        for batch in batches:
+        for batch in slices(batches, n):
             found = [known.encode(t or "") + tail for t in batch.column(n).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
@@ -250,7 +281,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         data, starts, lengths = known.surfaces
-        for batch in batches:
+        for batch in slices(batches, at, 1 << 20):
             column = batch.column(at)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
