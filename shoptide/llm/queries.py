@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptide.llm import chat, language, licences, mixing, near_vectors, neighbours, pieces, secret_scan, urls
+from shoptide.llm import chat, language, licences, mixing, near_texts, near_vectors, neighbours, pieces, secret_scan, urls
 from shoptide.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_near_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return near_texts.near_duplicates(table(spark, folder, "documents"))
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
@@ -67,4 +71,4 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more)))
 
 
-QUERIES = {q.__name__: q for q in (op1_pieces, op3_language, op4_neighbours, op5_near_vectors, op6_urls, op7_mixing, op8_secrets, op9_licences, op10_chat)}
+QUERIES = {q.__name__: q for q in (op1_pieces, op2_near_texts, op3_language, op4_neighbours, op5_near_vectors, op6_urls, op7_mixing, op8_secrets, op9_licences, op10_chat)}
