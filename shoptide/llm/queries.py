@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from shoptide.llm import chat, language, licences, mixing, near_texts, near_vectors, neighbours, pieces, secret_scan, urls
 from shoptide.llm.common import table
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+from shoptide.llm.stages import tokenizer_path
 
 
 def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
