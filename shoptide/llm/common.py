@@ -16,6 +16,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(taken: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that are no columns of ``taken``, in either case."""
+    used, found = {c.lower() for c in taken.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def saved(df: DataFrame, partition_by: str | None = None) -> tuple[DataFrame, str]:
     """The rows written to the shared folder and read back, so that no lost executor makes Spark redo what came before."""
     spark, folder = df.sparkSession, files.shared_folder(df.sparkSession)

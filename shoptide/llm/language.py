@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoptide.llm.common import slices
+from shoptide.llm.common import fresh, slices
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
@@ -181,10 +181,12 @@ def learn(docs: DataFrame, order: int = 4, per_language: int = 600, min_count: i
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; reads ``text`` only."""
+    """``docs`` with ``lang_pred`` and ``score``, in place of columns of these names; reads ``text`` only."""
+    docs = docs.drop("lang_pred", "score")
     spark, n = docs.sparkSession, len(docs.columns)
     sent = spark.sparkContext.broadcast(model)
-    found = docs.select(*[docs[c] for c in docs.columns], F.coalesce(docs["text"].rlike(LETTER), F.lit(False)).alias("_letters"))
+    letters, = fresh(docs, "letters")
+    found = docs.select(*[docs[c] for c in docs.columns], F.coalesce(docs["text"].rlike(LETTER), F.lit(False)).alias(letters))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

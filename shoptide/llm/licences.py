@@ -6,7 +6,7 @@ identifiers: the first rule that fits takes its identifiers, and the next one lo
 several lines are found by a second splitting that keeps lines of a paragraph together.
 
 A sentence without one of the words all known sentences share is not normalised at all. Nulls: a null text has no sentences. Texts are read whole;
-repeated rows each have their result; an empty table gives no rows; all other columns stay.
+repeated rows each have their result; an empty table gives no rows; all other columns stay, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoptide.llm.common import fresh
+
 #: Known sentences, normalised, with their identifiers.
 SENTENCES = {
     "MIT1": "released under the mit license",
@@ -78,7 +80,7 @@ RULES = (
 ANCHORS = "licen|permission|copyright|warrant|redistribut|reserved"
 SENTENCE_END = r"[.!?;:]+(?:[ \t\r\n]+|$)"
 BY_LINE = SENTENCE_END + r"|[\r\n]+"
-BY_PARAGRAPH = SENTENCE_END + r"|\n[ \t\r]*\n"
+BY_PARAGRAPH = SENTENCE_END + r"|\n[^A-Za-z0-9\n]*\n"
 
 
 def normalised(sentence: Column) -> Column:
@@ -99,17 +101,19 @@ def _rule_pattern(sequences: tuple[tuple[str, ...], ...]) -> str:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentences`` (identifiers), ``rules`` and ``licences``, each in order and joined by commas, and ``n_sentences``."""
     body = F.when(F.lower(docs[text]).rlike(ANCHORS), docs[text]).otherwise("")
-    split = docs.select("*", sentence_ids(body, BY_LINE).alias("_lines"), sentence_ids(body, BY_PARAGRAPH).alias("_paragraphs"))
-    ids = F.when(F.size("_lines") >= F.size("_paragraphs"), F.col("_lines")).otherwise(F.col("_paragraphs"))
-    listed = split.select(*[split[c] for c in docs.columns], ids.alias("_ids"))
-    left = F.concat(F.array_join("_ids", " "), F.lit(" "))
+    docs = docs.drop("n_sentences", "sentences", "rules", "licences")
+    lines, paragraphs, ids, matched = fresh(docs, "lines", "paragraphs", "ids", "matched")
+    split = docs.select("*", sentence_ids(body, BY_LINE).alias(lines), sentence_ids(body, BY_PARAGRAPH).alias(paragraphs))
+    longer = F.when(F.size(lines) >= F.size(paragraphs), F.col(lines)).otherwise(F.col(paragraphs))
+    listed = split.select(*[split[c] for c in docs.columns], longer.alias(ids))
+    left = F.concat(F.array_join(ids, " "), F.lit(" "))
     fits = []
     for name, licence, kind, sequences in RULES:
         pattern = _rule_pattern(sequences)
         fits.append(F.when(left.rlike(pattern), F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"))))
         left = F.regexp_replace(left, pattern, " ")
-    found = listed.select("*", F.array_compact(F.array(*fits)).alias("_fits"))
-    return found.select(*[found[c] for c in docs.columns], F.size("_ids").cast("bigint").alias("n_sentences"),
-                        F.array_join("_ids", ",").alias("sentences"),
-                        F.array_join(F.transform("_fits", lambda f: f["rule"]), ",").alias("rules"),
-                        F.array_join(F.array_distinct(F.transform("_fits", lambda f: f["licence"])), ",").alias("licences"))
+    found = listed.select("*", F.array_compact(F.array(*fits)).alias(matched))
+    return found.select(*[found[c] for c in docs.columns], F.size(ids).cast("bigint").alias("n_sentences"),
+                        F.array_join(ids, ",").alias("sentences"),
+                        F.array_join(F.transform(matched, lambda f: f["rule"]), ",").alias("rules"),
+                        F.array_join(F.array_distinct(F.transform(matched, lambda f: f["licence"])), ",").alias("licences"))

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoptide.llm.common import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 
@@ -92,8 +94,9 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     The times are joined back by document, size and source, so texts are not sorted; documents alike in all three are taken alike.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("drawn"))
+    doc, came, words, often, copy = fresh(docs, "doc", "came", "words", "often", "copy")
     times = _times(sized, weights, share, max_epochs).groupBy(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.col("size").alias("_size")).agg(F.max("times").alias("_times"))
-    kept = docs.join(times.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from"))
-                     & (word_count(F.col("text")) == F.col("_size")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+        F.col("doc_id").alias(doc), F.col("source").alias(came), F.col("size").alias(words)).agg(F.max("times").alias(often))
+    kept = docs.join(times.where(F.col(often) > 0), docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(came))
+                     & (word_count(docs["text"]) == F.col(words)))
+    return kept.select("*", F.explode(F.sequence(F.lit(1), F.col(often))).alias(copy)).select(*docs.columns)

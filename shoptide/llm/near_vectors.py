@@ -74,7 +74,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 20_0
     """``vec_id, n_links, component_id, kept`` of every row of ``rows (vec_id, embedding, label)``."""
     spark = rows.sparkSession
     key = ["label", "dim", "h1", "h2"]
-    plain = rows.select("vec_id", "embedding", "label")
+    plain = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", "label")
     usable = valid(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = with_key(plain.where(usable), "embedding")
     classes = keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))

@@ -72,8 +72,8 @@ def _hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, probes: int = 12, seed: int = 4, block: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found in ``rows (vec_id, embedding)`` for each row of ``queries``, itself left out."""
     key = ["dim", "h1", "h2"]
-    usable = with_key(rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))), "embedding")
-    asked = with_key(queries.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))), "embedding")
+    usable, asked = (with_key(x.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), "embedding"), "embedding") for x in (rows, queries))
     smallest = F.row_number().over(Window.partitionBy(*key).orderBy("vec_id"))
     few = usable.dropDuplicates([*key, "vec_id"]).withColumn("_place", smallest).where(F.col("_place") <= k + 1)
     classes = few.groupBy(*key).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("first"),

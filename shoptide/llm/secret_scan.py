@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoptide.llm.common import fresh
+
 #: What the patterns must be.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -167,16 +169,18 @@ def thresholds(docs: DataFrame, text: str = "text", rate: float = 0.05) -> list[
 
 
 def scan(docs: DataFrame, text: str = "text", rate: float = 0.05, spans: str = "spans") -> DataFrame:
-    """``docs`` with ``spans``: array of (start, place, end), sorted, ``place`` an index into ``KINDS``."""
+    """``docs`` with ``spans``, in place of a column of this name: array of (start, place, end), sorted, ``place`` an index into ``KINDS``."""
     body = F.coalesce(docs[text], F.lit(""))
     limits = F.array(*[F.lit(x) for x in thresholds(docs, text, rate)])
     base = base_spans(body)
     ordinary = lambda s: s["p"] <= F.get(limits, _length_class(s["end"] - s["start"]))
     random = F.transform(F.filter(_candidates(body), lambda s: ~ordinary(s)), lambda s: F.struct(
         s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end")))
-    both = docs.select("*", base.alias("_base"), random.alias("_random"))
-    added = F.filter("_random", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return both.select(*[both[c] for c in docs.columns], F.array_sort(F.concat("_base", added)).alias(spans))
+    docs = docs.drop(spans)
+    b_name, r_name = fresh(docs, "base", "random")
+    both = docs.select("*", base.alias(b_name), random.alias(r_name))
+    added = F.filter(both[r_name], lambda s: ~F.exists(both[b_name], lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return both.select(*[both[c] for c in docs.columns], F.array_sort(F.concat(both[b_name], added)).alias(spans))
 
 
 def written(spans: Column) -> Column:

@@ -5,8 +5,8 @@ no rule fits is judged by the template its path falls under:
 
 1. Per host the paths form a tree of segments. From the root down, segments of one shape (number, hexadecimal, date, word with digits) become a
    wildcard where they vary: many different values, none of them frequent. Words are variable only where there are very many.
-2. Literal branches of one node that do not differ by a G-test, in what follows them and in their labels, from all branches of the node taken
-   together are merged into one.
+2. Literal branches of one node are of one kind if the same shape mostly follows them and most of their labels have the same verdict; those that
+   do not differ by a G-test, in what follows and in their labels, from all branches of their kind taken together are merged into one.
 3. The pages that rules judge are the labels. A template's purity is its share of blocked labels, smoothed towards that of its host, and that
    towards that of all hosts; a template with enough labels and a high purity is rejected, all others are allowed.
 
@@ -100,17 +100,24 @@ def templates(paths: DataFrame, depth: int = 6, min_values: int = 5, max_share:
             F.struct(F.lit("allowed").alias("cell"), F.col("allowed").alias("c"), F.lit(1).alias("test")))).alias("x")).select(
                 "host", "template", "_here", "x.*").where("c > 0")
         counted = cells.groupBy("host", "template", "_here", "test", "cell").agg(F.sum("c").alias("c"))
+        # Only branches of one kind can be alike: what mostly follows them, and the verdict of most of their labels, if they have any.
+        kinds = counted.groupBy("host", "template", "_here").agg(
+            F.max_by("cell", F.when(F.col("test") == 0, F.struct("c", "cell"))).alias("_follows"),
+            F.max_by("cell", F.when(F.col("test") == 1, F.struct("c", "cell"))).alias("_label"))
+        kinds = kinds.withColumn("kind", F.concat_ws(", ", F.regexp_replace("_follows", "^follows ", ""), "_label"))
+        counted = counted.join(kinds.select("host", "template", "_here", "kind"), ["host", "template", "_here"])
         branch = counted.groupBy("host", "template", "_here", "test").agg(F.sum("c").alias("branch"))
-        pooled = counted.groupBy("host", "template", "test", "cell").agg(F.sum("c").alias("pool"))
-        pools = pooled.groupBy("host", "template", "test").agg(F.sum("pool").alias("all"), F.count(F.lit(1)).alias("kinds"))
-        g = (counted.join(branch, ["host", "template", "_here", "test"]).join(pooled, ["host", "template", "test", "cell"])
-             .join(pools, ["host", "template", "test"])
-             .groupBy("host", "template", "_here", "test", "kinds")
+        pooled = counted.groupBy("host", "template", "kind", "test", "cell").agg(F.sum("c").alias("pool"))
+        pools = pooled.groupBy("host", "template", "kind", "test").agg(F.sum("pool").alias("all"), F.count(F.lit(1)).alias("cells"))
+        g = (counted.join(branch, ["host", "template", "_here", "test"]).join(pooled, ["host", "template", "kind", "test", "cell"])
+             .join(pools, ["host", "template", "kind", "test"])
+             .groupBy("host", "template", "kind", "_here", "test", "cells")
              .agg((2 * F.sum(F.col("c") * F.log(F.col("c") * F.col("all") / (F.col("branch") * F.col("pool"))))).alias("g")))
-        # Branches with labels are never merged with branches that have none.
-        differs = F.when(F.col("kinds") > 1, _z(F.greatest("g", F.lit(0.0)), F.col("kinds") - 1) > similar_z).otherwise(F.lit(False))
-        alike = g.groupBy("host", "template", "_here").agg(F.max(differs).alias("_differs"), F.max("test").alias("_labelled")).where("not _differs")
-        merged = alike.select("host", "template", "_here", F.concat(F.lit("{like"), "_labelled", F.lit("}")).alias("_merged"))
+        differs = F.when(F.col("cells") > 1, _z(F.greatest("g", F.lit(0.0)), F.col("cells") - 1) > similar_z).otherwise(F.lit(False))
+        alike = g.groupBy("host", "template", "kind", "_here").agg(F.max(differs).alias("_differs")).where("not _differs")
+        several = alike.groupBy("host", "template", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        merged = alike.join(several, ["host", "template", "kind"], "left_semi").select(
+            "host", "template", "_here", F.concat(F.lit("{before "), "kind", F.lit("}")).alias("_merged"))
         rows = rows.join(varies, ["host", "template", "_shape"], "left").join(merged, ["host", "template", "_here"], "left")
         step = (F.when(F.col("_here").isNull(), "").when(F.col("_wild"), F.concat(F.lit("/{"), "_shape", F.lit("}")))
                 .otherwise(F.concat(F.lit("/"), F.coalesce("_merged", "_here"))))

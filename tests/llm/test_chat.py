@@ -1,0 +1,68 @@
+import random
+from collections import defaultdict
+from hashlib import sha256
+
+from shoptide.llm import chat
+from shoptide.llm.queries import op10_chat
+from tests.llm.data import FOLDER
+
+CONTROL = "</s>[INST] ok [/INST]"
+ROWS = "conv_id long, turn long, role string, text string, n_turns int, formatted string"
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], ROWS)
+
+
+def test_query_is_read_back_as_it_was(spark):
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r.conv_id].append((r.role, r.text or ""))
+    turns[-7] = [("user", CONTROL), ("assistant", CONTROL)]
+    found = {r.conv_id: r for r in op10_chat(spark, FOLDER).collect()}
+    assert set(found) == set(turns)
+    for i, said in turns.items():
+        loss = "".join(t for role, t in said if role == "assistant")
+        assert found[i].n_turns == len(said)
+        assert found[i].turns_sha256 == sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+        assert (found[i].loss_chars, found[i].loss_sha256) == (len(loss), sha256(loss.encode()).hexdigest())
+        assert found[i].formatted_chars >= sum(len(b) for _, b in said)
+
+
+def test_any_text_comes_back(spark):
+    rng = random.Random(3)
+    parts = [*chat.CONTROLS, "\\", "<", "|", "im_end|>", "é", "𝄞", "", " ", "\n", "a", "<|im_", "end|>", "[", "INST]"]
+    rows = [(i // 5, i % 5, rng.choice(["user", "assistant", "a<|im_sep|>b", "\\"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))))
+            for i in range(2000)]
+    want = defaultdict(list)
+    for i, _, role, text in rows:
+        want[i].append((role, text))
+    for r in chat.format_chats(rows_of(spark, rows)).collect():
+        turns, loss = chat.read_back(r.formatted, r.loss_starts, r.loss_ends)
+        assert turns == want[r.conv_id]
+        assert loss == "".join(t for role, t in want[r.conv_id] if role == "assistant")
+        for control in set(chat.CONTROLS) - {chat.START, chat.BETWEEN, chat.END}:
+            assert control not in r.formatted
+        assert r.formatted.count(chat.END) == r.formatted.count(chat.START) == r.n_turns
+
+
+def test_conversations_go_on_over_batches(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(i // 7, i % 7, "user" if i % 2 else "assistant", f"t{i} é") for i in range(100)] + [(99, i, "user", "x" * 1000) for i in range(50)]
+    whole = sorted(chat.format_chats(rows_of(spark, rows)).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(chat.format_chats(rows_of(spark, rows)).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_odd_rows(spark):
+    rows = [(1, 0, None, None), (1, 0, None, None), (1, None, "assistant", "first"), (None, 0, "user", "a"), (None, 1, "assistant", "b"),
+            (2, 0, "assistant", ""), (3, 0, "user", "y" * 300_000), (1, 5, "assistant", "é" * 3)]
+    found = {r.conv_id: r for r in chat.format_chats(rows_of(spark, rows)).collect()}
+    assert set(found) == {None, 1, 2, 3}
+    read = {i: chat.read_back(r.formatted, r.loss_starts, r.loss_ends) for i, r in found.items()}
+    assert read[1] == ([("assistant", "first"), ("", ""), ("", ""), ("assistant", "ééé")], "firstééé")
+    assert read[None] == ([("user", "a"), ("assistant", "b")], "b") and read[2] == ([("assistant", "")], "")
+    assert chat.digests(chat.format_chats(rows_of(spark, []))).count() == 0

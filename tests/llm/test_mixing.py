@@ -1,0 +1,69 @@
+from collections import Counter
+
+import pytest
+
+from shoptide.llm import mixing
+from shoptide.llm.oracles import ORACLES
+from shoptide.llm.queries import op7_mixing
+from tests.compare import differences
+from tests.llm.data import FOLDER, documents, empty, odd
+
+
+def water_filling(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """By the loop: share what is left among those below their caps until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, full = {}, set()
+    while True:
+        left = share * sum(sizes.values()) - sum(cap * sizes[s] for s in full)
+        free = sum(weight[s] for s in order if s not in full)
+        target = {s: cap * sizes[s] if s in full else left * weight[s] / free for s in order}
+        above = {s for s in order if s not in full and target[s] > cap * sizes[s] + 1e-9}
+        if not above:
+            return target
+        full |= above
+
+
+def test_query_equals_oracle(spark):
+    assert differences(op7_mixing(spark, FOLDER), ORACLES["op7_mixing"], FOLDER) is None
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1, 1000, 10], [5, 5, 5, 900, 1], [7], [0, 10, 0]])
+def test_targets_equal_the_loop(spark, sizes):
+    names = [*"abcdefgh"[:len(sizes) - 1], None]
+    table = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+    want = water_filling(dict(zip(names, sizes)))
+    for row in mixing.targets(table).collect():
+        assert row.target == pytest.approx(want[row.source])
+
+
+def test_taken_words_come_near_the_targets(spark):
+    rows = mixing.mix(spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("drawn", mixing.F.lit(1))).collect()
+    taken, largest = Counter(), Counter()
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    targets = {}
+    for r in rows:
+        source = docs[r.doc_id]
+        assert r.taken <= 2 * r.size
+        taken[source] += r.taken
+        largest[source] = max(largest[source], r.size)
+        targets[source] = r.target
+    assert all(abs(taken[s] - targets[s]) <= largest[s] / 2 + 1e-6 for s in targets)
+    assert sorted(rows) == sorted(mixing.mix(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect())
+
+
+def test_odd_rows(spark):
+    rows = odd()
+    found = mixing.mix(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert all(r.size == 0 and r.taken == 0 for r in found if r.doc_id in (2, 3, 4))
+    mixture = mixing.repeated(documents(spark, rows))
+    assert mixture.columns == documents(spark, []).columns
+    assert sum(len((r.text or '').split()) for r in mixture.collect()) > 0
+    assert mixing.mix(empty(spark)).count() == mixing.repeated(empty(spark)).count() == 0
+
+
+def test_the_mixture_has_each_row_as_often_as_the_mix_takes_it(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = Counter({r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.taken})
+    assert Counter(r.doc_id for r in mixing.repeated(docs).select("doc_id").collect()) == want
