@@ -49,9 +49,15 @@ def order_times(df: DataFrame) -> DataFrame:
     })
 
 
-def to_value(df: DataFrame, topic: str) -> DataFrame:
-    """One JSON message per row."""
-    return df.select(F.lit(topic).alias("topic"), F.to_json(F.struct("*")).alias("value"))
+def unreadable(rows: DataFrame, key: str) -> Column:
+    """Whether a parsed row lacks its key, which text that is no JSON, or not of this entity, does."""
+    return rows[key].isNull()
+
+
+def to_value(df: DataFrame, topic: str, key: str | None = None) -> DataFrame:
+    """One JSON message per row; with ``key`` a row sent again has the key of the one before."""
+    keys = [F.col(key).cast("string").alias("key")] if key else []
+    return df.select(F.lit(topic).alias("topic"), *keys, F.to_json(F.struct("*")).alias("value"))
 
 
 def _with_default(column: Column, kind: str, default: object) -> Column:

@@ -24,15 +24,16 @@ def first_start(logs: DataFrame) -> DataFrame:
     return logs.withColumn("_rank", F.row_number().over(by_day)).where("_rank = 1").drop("_rank")
 
 
-def first_start_stream(logs: DataFrame, horizon: str = "2 days", salts: int = 4) -> DataFrame:
-    """First record to arrive per day and device; state is kept for ``horizon``, which must exceed a day.
+def first_start_stream(logs: DataFrame, arrived: str = "timestamp", horizon: str = "2 days", salts: int = 4) -> DataFrame:
+    """First record to arrive per day and device; state is kept for ``horizon`` of arrival time, which must exceed a day.
+
+    Time goes by the arrival of messages, never by the clocks of devices: one that is wrong must not push out the others' records.
 
     A first pass works on ``salts`` parts of each device's records, so that a hot device does not go to one task whole.
     """
-    timed = (logs.withColumn("_started", F.timestamp_millis("ts")).withWatermark("_started", horizon)
-                 .withColumn("_part", F.pmod(F.hash("ts"), F.lit(salts))))
+    timed = logs.withWatermark(arrived, horizon).withColumn("_part", F.pmod(F.hash("ts"), F.lit(salts)))
     few = timed.dropDuplicatesWithinWatermark(["log_date", "mid", "_part"])
-    return few.dropDuplicatesWithinWatermark(["log_date", "mid"]).drop("_started", "_part")
+    return few.dropDuplicatesWithinWatermark(["log_date", "mid"]).drop(arrived, "_part")
 
 
 def _fields(columns: str) -> str:

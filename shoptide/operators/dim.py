@@ -18,11 +18,11 @@ MALE = "男"
 
 
 def derive_user(users: DataFrame, as_of: date | None = None) -> DataFrame:
-    """Adds age group, as of a day (default today), and gender name."""
+    """Adds age group, as of a day (default today), and gender name. An unknown birthday has no age group."""
     day = F.current_date() if as_of is None else F.lit(as_of)
-    age = F.floor(F.datediff(day, F.to_date("birthday", "yyyy-MM-dd")) / 365)
+    age = F.floor(F.datediff(day, F.try_to_timestamp("birthday", F.lit("yyyy-MM-dd")).cast("date")) / 365)
     return users.withColumns({
-        "age_group": F.when(age <= 20, AGE_TO_20).when(age <= 30, AGE_21_TO_30).otherwise(AGE_OVER_30),
+        "age_group": F.when(age <= 20, AGE_TO_20).when(age <= 30, AGE_21_TO_30).when(age > 30, AGE_OVER_30),
         "gender_name": F.when(F.col("gender") == "F", FEMALE).otherwise(MALE),
     })
 

@@ -60,6 +60,8 @@ FLAGS = """ranked AS (
   SELECT id AS ranked_id, row_number() OVER (PARTITION BY user_id ORDER BY create_time, id) = 1 AND user_id % 7 <> 0 AS is_first_order
   FROM heads)"""
 
+SKUS_ALL = SKUS.replace(" WHERE CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) % 13 <> 0", "")
+
 ENRICHED = f"""{HEADS}, {FLAGS}, {USERS},
 enriched AS (
   SELECT h.id, h.user_id, h.province_id, h.order_status, h.create_time, substr(h.create_time, 1, 10) AS create_date,
@@ -70,6 +72,8 @@ enriched AS (
   JOIN nation ON province_id = n_nationkey AND n_nationkey % 13 <> 0
   JOIN typed_users u ON user_id = c_custkey AND c_custkey % 13 <> 0)"""
 
+ENRICHED_ALL = ENRICHED.replace(" AND n_nationkey % 13 <> 0", "").replace(" AND c_custkey % 13 <> 0", "")
+
 SHARES = """priced AS (
   SELECT w.*, sku_num * price_c AS cur,
          coalesce(sum(sku_num * price_c) OVER earlier, 0) AS before_c
@@ -92,7 +96,7 @@ wide AS (SELECT i.id AS order_id, d.id AS order_detail_id, price_c, sku_num, ori
          FROM infos i JOIN details d ON i.id = d.order_id)"""
 
 ORDER_WIDE = f"""
-WITH {ENRICHED}, {TOTALS}, {DETAILS}, {SKUS}
+WITH {ENRICHED_ALL}, {TOTALS}, {DETAILS}, {SKUS_ALL}
 SELECT e.id AS order_id, e.province_id, e.order_status, e.user_id, CAST(final_c AS DOUBLE) / 100 AS final_total_amount,
        CAST(benefit_c AS DOUBLE) / 100 AS benefit_reduce_amount, CAST(original_c AS DOUBLE) / 100 AS original_total_amount,
        CAST(freight_c AS DOUBLE) / 100 AS feight_fee, e.create_time, '1970-01-01 00:00:00' AS operate_time, create_date,
@@ -167,9 +171,10 @@ WITH {ENRICHED}
 SELECT id, user_id, province_id, order_status, create_date, create_hour, is_first_order, province_name, province_area_code,
        province_iso_code, user_age_group, user_gender FROM enriched""",
     "user_status": f"""
-WITH {ENRICHED}
-SELECT CAST(user_id AS VARCHAR) AS user_id FROM enriched
-UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 7 = 0""",
+WITH {ENRICHED_ALL}
+SELECT CAST(user_id AS VARCHAR) AS user_id, bool_or(is_first_order) AS is_first_order FROM enriched GROUP BY user_id
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_custkey % 2 = 0 FROM customer
+WHERE c_custkey % 7 = 0 AND c_custkey NOT IN (SELECT user_id FROM enriched)""",
     "order_wide": ORDER_WIDE,
     "order_wide_windowed": f"""
 WITH {HEADS}, {DETAILS}
@@ -178,14 +183,14 @@ FROM heads h JOIN details d ON h.id = d.order_id
 WHERE abs((epoch_ms(created) // 1000) // 5 - (epoch_ms(created) // 1000 + l_linenumber * 5 - 5) // 5) <= 3""",
     "order_wide_share": ORDER_SHARE,
     "trademark_amount": f"""
-WITH {ENRICHED}, {TOTALS}, {DETAILS}, {SKUS},
+WITH {ENRICHED_ALL}, {TOTALS}, {DETAILS}, {SKUS_ALL},
 wide AS (SELECT i.id AS order_id, d.id AS order_detail_id, price_c, sku_num, original_c, final_c, tm_id, tm_name
          FROM enriched e JOIN infos i ON e.id = i.id JOIN details d ON i.id = d.order_id JOIN skus ON p_partkey = sku_id),
 {SHARES}
 SELECT '2021-01-01 00:00:00' AS stat_time, tm_id, tm_name, CAST(sum(share_c) AS DOUBLE) / 100 AS amount
 FROM shares GROUP BY tm_id, tm_name""",
     "trademark_amount_windows": f"""
-WITH {HEADS}, {TOTALS}, {DETAILS}, {SKUS},
+WITH {HEADS}, {TOTALS}, {DETAILS}, {SKUS_ALL},
 wide AS (SELECT i.id AS order_id, d.id AS order_detail_id, price_c, sku_num, original_c, final_c, created, tm_id, tm_name
          FROM infos i JOIN details d ON i.id = d.order_id JOIN skus ON p_partkey = sku_id),
 {SHARES}
@@ -193,12 +198,11 @@ SELECT strftime(time_bucket(INTERVAL 5 SECONDS, created, TIMESTAMP '1970-01-01')
        CAST(sum(share_c) AS DOUBLE) / 100 AS amount
 FROM shares GROUP BY ALL""",
     "trademark_amount_committed": f"""
-WITH {DETAILS}, {SKUS}
-SELECT '2021-01-01 00:00:0' || (order_id % 2) AS row, tm_id AS key, CAST(sum(price_c * sku_num) AS DOUBLE) / 100 AS value
-FROM details JOIN skus ON p_partkey = sku_id GROUP BY 1, 2
-UNION ALL
-SELECT 'dws_order_wide', order_id % 4, CAST(max(order_id) + 1 AS DOUBLE)
-FROM details JOIN skus ON p_partkey = sku_id GROUP BY 2""",
+WITH {DETAILS}, {SKUS_ALL}, sums AS (
+  SELECT tm_id, order_id % 2 = 1 AND tm_id % 3 <> 0 AS second, CAST(sum(price_c * sku_num) AS DOUBLE) / 100 AS value
+  FROM details JOIN skus ON p_partkey = sku_id GROUP BY 1, 2)
+SELECT '2021-01-01 00:00:00' AS row, tm_id AS key, value FROM sums QUALIFY row_number() OVER (PARTITION BY tm_id ORDER BY second DESC) = 1
+UNION ALL SELECT 'ads', CAST(0 AS BIGINT), CAST(1 AS DOUBLE)""",
     "dau_first_start": FIRST_START,
     "dau_index_upsert": """
 WITH logs AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events)
@@ -222,3 +226,30 @@ FROM shares""",
     "dau_first_start_stream": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS log_date, 'm' || user_id AS mid FROM events",
 }
 ORACLES["order_wide_windowed_stream"] = ORACLES["order_wide_windowed"]
+ORACLES["order_wide_share_chunked"] = f"SELECT order_id, order_detail_id, sku_num, is_last, final_detail_amount FROM ({ORDER_SHARE})"
+ORACLES["order_index_upsert"] = f"""
+WITH {HEADS}
+SELECT 'order_' || substr(create_time, 1, 10) AS index_name, CAST(id AS VARCHAR) AS doc_id,
+       CASE WHEN id % 4 = 0 THEN 'changed' ELSE order_status END AS order_status, user_id FROM heads"""
+ORACLES["cdc_route_stream"] = ORACLES["cdc_array_route"]
+ORACLES["cdc_quarantine"] = ORACLES["cdc_malformed"]
+ORACLES["dim_sync_stream"] = ORACLES["dim_sku"]
+ORACLES["order_enriched_stream"] = f"""
+WITH {ENRICHED}, waves AS (SELECT *, id % 3 AS wave FROM heads),
+known AS (SELECT user_id AS known_id, min(id % 3) AS first_wave FROM enriched GROUP BY 1),
+firsts AS (
+  SELECT id AS first_id, row_number() OVER (PARTITION BY user_id, wave ORDER BY create_time, id) = 1
+    AND NOT coalesce(first_wave < wave, false) AS first_of_user
+  FROM waves LEFT JOIN known ON user_id = known_id)
+SELECT id, user_id, province_id, create_date, create_hour, first_of_user AS is_first_order, province_name, user_age_group, user_gender
+FROM enriched JOIN firsts ON id = first_id"""
+ORACLES["unmatched_details"] = f"""
+WITH {DETAILS}
+SELECT id, order_id, sku_id, sku_num, CAST(price_c AS DOUBLE) / 100 AS order_price FROM details WHERE order_id % 13 = 0"""
+ORACLES["trademark_amount_stream"] = f"""
+WITH {DETAILS}, waves AS (
+  SELECT sku_id % 25 AS tm_id, CASE WHEN order_id % 3 = 1 AND sku_id % 25 % 2 = 1 THEN 2 ELSE order_id % 3 END AS wave, price_c * sku_num AS c FROM details),
+sums AS (SELECT tm_id, wave, sum(c) AS c FROM waves GROUP BY ALL)
+SELECT '2021-01-01 00:00:0' || (wave // 2) AS stat_time, tm_id, 'tm-' || tm_id AS tm_name, CAST(c AS DOUBLE) / 100 AS amount FROM sums
+QUALIFY row_number() OVER (PARTITION BY tm_id, wave // 2 ORDER BY wave DESC) = 1"""
+ORACLES["dau_index_stream"] = "SELECT 'm' || user_id AS doc_id, max(strftime(ts, '%Y-%m-%d')) AS log_date FROM events GROUP BY 1"

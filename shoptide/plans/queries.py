@@ -30,7 +30,7 @@ def order_envelopes(shop: ShopTables) -> DataFrame:
 
 def detail_envelopes(shop: ShopTables) -> DataFrame:
     """One array envelope per line with the line and a free gift line; some with no or other rows, some not readable."""
-    details = shop.order_detail(spread=True)
+    details = shop.order_detail()
     as_text = [c for c in details.columns]
     line = F.struct(*[F.col(c).cast("string").alias(c) for c in as_text])
     gift = F.struct((F.col("id") + 1).cast("string").alias("id"),
@@ -77,7 +77,7 @@ def order_info_typed(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_detail_typed(spark: SparkSession, folder: str) -> DataFrame:
     """Details written as JSON and read back with the strict schema."""
-    text = to_value(ShopTables(spark, folder).order_detail(spread=True), "dwd_order_detail")
+    text = to_value(ShopTables(spark, folder).order_detail(), "dwd_order_detail")
     return _money_as_double(parse_strict(text, ORDER_DETAIL).select(
         "id", "order_id", "sku_id", "order_price", "sku_num", "sku_name", "create_time", "spu_id", "tm_id", "category3_id"))
 
@@ -89,12 +89,13 @@ def dim_user(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dim_sku(spark: SparkSession, folder: str) -> DataFrame:
-    return enriched_sku(ShopTables(spark, folder))
+    return enriched_sku(ShopTables(spark, folder), gaps=True)
 
 
-def enriched_sku(shop: ShopTables) -> DataFrame:
-    """SKU rows completed from the lookups, of which every 13th trademark is missing."""
-    return dim.enrich_sku(shop.sku_info(), shop.spu_info(), shop.base_category3(), _without_every_13th(shop.base_trademark()))
+def enriched_sku(shop: ShopTables, gaps: bool = False) -> DataFrame:
+    """SKU rows completed from the lookups; with ``gaps`` every 13th trademark is missing."""
+    trademarks = shop.base_trademark()
+    return dim.enrich_sku(shop.sku_info(), shop.spu_info(), shop.base_category3(), _without_every_13th(trademarks) if gaps else trademarks)
 
 
 def dim_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +114,7 @@ def dim_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_detail_sku(spark: SparkSession, folder: str) -> DataFrame:
     shop = ShopTables(spark, folder)
-    return _money_as_double(dwd.enrich_detail(shop.order_detail(), enriched_sku(shop)))
+    return _money_as_double(dwd.enrich_detail(shop.order_detail(), enriched_sku(shop, gaps=True)))
 
 
 def order_first_flag(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +125,7 @@ def order_first_flag(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_enriched(spark: SparkSession, folder: str) -> DataFrame:
     shop = ShopTables(spark, folder)
-    return enriched_heads(shop).select("id", "user_id", "province_id", "order_status", "create_date", "create_hour",
+    return enriched(shop, shop.order_heads(), gaps=True).select("id", "user_id", "province_id", "order_status", "create_date", "create_hour",
                                        "is_first_order", "province_name", "province_area_code", "province_iso_code",
                                        "user_age_group", "user_gender")
 
@@ -134,8 +135,8 @@ def user_status(spark: SparkSession, folder: str) -> DataFrame:
     shop = ShopTables(spark, folder)
     table = KeyedTable(spark, files.shared_folder(spark), ["user_id"], "`user_id` string, `is_first_order` boolean")
     table.upsert(known_users(shop), 0)
-    table.upsert(dwd.user_status_rows(enriched_heads(shop, table.read())), 1)
-    return table.read().select("user_id")
+    table.upsert(dwd.user_status_rows(enriched(shop, shop.order_heads(), table.read())), 1)
+    return table.read()
 
 
 def known_users(shop: ShopTables) -> DataFrame:
@@ -144,14 +145,13 @@ def known_users(shop: ShopTables) -> DataFrame:
     return users.select(F.col("id").alias("user_id"), (F.col("gender") == "F").alias("is_first_order"))
 
 
-def enriched_heads(shop: ShopTables, status: DataFrame | None = None) -> DataFrame:
-    return enriched(shop, shop.order_heads(), status)
-
-
-def enriched(shop: ShopTables, orders: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """Orders flagged and enriched; every 13th province and user is missing."""
+def enriched(shop: ShopTables, orders: DataFrame, status: DataFrame | None = None, gaps: bool = False) -> DataFrame:
+    """Orders flagged and enriched; with ``gaps`` every 13th province and user is missing."""
     status = known_users(shop) if status is None else status
-    return dwd.enrich_order(orders, _without_every_13th(shop.province_info()), _without_every_13th(shop.user_info()), status, AS_OF)
+    provinces, users = shop.province_info(), shop.user_info()
+    if gaps:
+        provinces, users = _without_every_13th(provinces), _without_every_13th(users)
+    return dwd.enrich_order(orders, provinces, users, status, AS_OF)
 
 
 # --- wide orders ----------------------------------------------------------------------------------------------------
@@ -179,6 +179,13 @@ def order_wide_share(spark: SparkSession, folder: str) -> DataFrame:
                                           "sku_price", "sku_num", "is_last", "final_detail_amount"))
 
 
+def order_wide_share_chunked(spark: SparkSession, folder: str) -> DataFrame:
+    """The same allocation with a low limit for hot orders, so that a part of the orders goes by ranges of ids."""
+    shop = ShopTables(spark, folder)
+    shares = dws.order_shares(with_no_dimensions(shop.order_info()), with_no_sku(shop.order_detail()), min_rows=5)
+    return _money_as_double(shares.select("order_id", "order_detail_id", "sku_num", "is_last", "final_detail_amount"))
+
+
 def trademark_amount(spark: SparkSession, folder: str) -> DataFrame:
     """The whole way: dimensions, wide join, allocation, sum by trademark."""
     shop = ShopTables(spark, folder)
@@ -197,27 +204,23 @@ def trademark_amount_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trademark_amount_committed(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums and offsets of two batches, each visible together; the second batch is replayed."""
+    """Sums of two batches with one time, saved with the batch read up to: the second, which is replayed, replaces trademarks of the first."""
     shop = ShopTables(spark, folder)
     details = dwd.enrich_detail(shop.order_detail(), enriched_sku(shop))
-    tables = ads_tables(spark, files.shared_folder(spark))
+    root = files.shared_folder(spark)
     wide = details.select("order_id", "tm_id", "tm_name", (F.col("order_price") * F.col("sku_num")).cast("decimal(16,2)").alias("final_detail_amount"))
-    for batch in (0, 1, 1):
-        rows = wide.where(F.col("order_id") % 2 == batch)
-        ends = rows.groupBy((F.col("order_id") % 4).cast("int").alias("partition_id")).agg((F.max("order_id") + 1).alias("partition_offset"))
-        offsets = ends.select(F.lit("ads").alias("group_id"), F.lit("dws_order_wide").alias("topic"), "partition_id", "partition_offset")
-        tables.commit(batch, {"tm_amount": ads.trademark_amount(rows, F.lit(f"2021-01-01 00:00:0{batch}")), "ads_offset": offsets})
-    amounts = tables.read("tm_amount").select(F.col("stat_time").alias("row"), F.col("tm_id").alias("key"), F.col("amount").cast("double").alias("value"))
-    ends = tables.read("ads_offset").select(F.col("topic").alias("row"), F.col("partition_id").cast("bigint").alias("key"),
-                                            F.col("partition_offset").cast("double").alias("value"))
-    return amounts.unionByName(ends)
-
-
-def ads_tables(spark: SparkSession, root: str) -> BatchTables:
-    return BatchTables(spark, root, {
-        "tm_amount": "`stat_time` string, `tm_id` bigint, `tm_name` string, `amount` decimal(26,2)",
-        "ads_offset": ledger.LEDGER,
-    })
+    wide.write.parquet(f"{root}/wide")
+    wide = spark.read.schema(wide.schema).parquet(f"{root}/wide")
+    tables = BatchTables(spark, f"{root}/ads", {"tm_amount": "`stat_time` string, `tm_id` bigint, `tm_name` string, `amount` decimal(26,2)",
+                                                "ads_read": "`group_id` string, `last_batch` bigint"},
+                         {"tm_amount": ["stat_time", "tm_id"], "ads_read": ["group_id"]})
+    second = (F.col("order_id") % 2 == 1) & (F.col("tm_id") % 3 != 0)
+    for batch, rows in ((0, wide.where(~second)), (1, wide.where(second)), (1, wide.where(second))):
+        read = spark.createDataFrame([("ads", batch)], "group_id string, last_batch long")
+        tables.commit(batch, {"tm_amount": ads.trademark_amount(rows, F.lit("2021-01-01 00:00:00")), "ads_read": read})
+    amounts = tables.current("tm_amount").select(F.col("stat_time").alias("row"), F.col("tm_id").alias("key"), F.col("amount").cast("double").alias("value"))
+    read = tables.current("ads_read").select(F.col("group_id").alias("row"), F.lit(0).cast("bigint").alias("key"), F.col("last_batch").cast("double").alias("value"))
+    return amounts.unionByName(read)
 
 
 # --- daily actives and offsets --------------------------------------------------------------------------------------
@@ -237,6 +240,18 @@ def dau_index_upsert(spark: SparkSession, folder: str) -> DataFrame:
                        F.get_json_object("source", "$.event_id").cast("bigint").alias("event_id"))
 
 
+def order_index_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders put into daily indexes by id: changed ones replace the documents of the batch before."""
+    shop = ShopTables(spark, folder)
+    store = index.index_store(spark, files.shared_folder(spark))
+    orders = shop.order_heads().select("id", "user_id", "order_status", "create_date")
+    index.index_upsert(store, orders, "order", 0, F.col("create_date"), "id")
+    changed = orders.where("id % 4 = 0").withColumn("order_status", F.lit("changed"))
+    index.index_upsert(store, changed, "order", 1, F.col("create_date"), "id")
+    return store.read().select("index_name", "doc_id", F.get_json_object("source", "$.order_status").alias("order_status"),
+                               F.get_json_object("source", "$.user_id").cast("bigint").alias("user_id"))
+
+
 def offset_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Offsets of two batches over several topics, saved, read as topic maps and taken apart again."""
     messages = ShopTables(spark, folder).table("events").select(
@@ -284,5 +299,5 @@ def _money_as_double(df: DataFrame) -> DataFrame:
 BATCH_QUERIES = {f.__name__: f for f in (
     cdc_array_route, cdc_object_route, cdc_malformed, order_info_typed, order_detail_typed, dim_user, dim_sku,
     dim_upsert_latest, order_detail_sku, order_first_flag, order_enriched, user_status, order_wide, order_wide_windowed,
-    order_wide_share, trademark_amount, trademark_amount_windows, trademark_amount_committed, dau_first_start,
-    dau_index_upsert, offset_ledger)}
+    order_wide_share, order_wide_share_chunked, trademark_amount, trademark_amount_windows, trademark_amount_committed, dau_first_start,
+    dau_index_upsert, order_index_upsert, offset_ledger)}

@@ -6,23 +6,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptide.functions.entities import parse_strict
-from shoptide.operators import dau, dws
-from shoptide.plans.queries import _money_as_double, with_no_dimensions, with_no_sku
+from shoptide.operators import dim, dws
+from shoptide.plans.queries import (AS_OF, _money_as_double, _without_every_13th, detail_envelopes, with_no_dimensions, with_no_sku)
 from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, only
 from shoptide.sinks import files
 from shoptide.sinks.messages import publish_wave, stage_waves
 from shoptide.sources.messages import read_topic
 from shoptide.sources.tables import ShopTables
-from shoptide.streaming.jobs import Warehouse, share_batches
+from shoptide.streaming import jobs
+from shoptide.streaming.jobs import Warehouse
 from shoptide.streaming.runner import Pipeline, settings
 
-# Orders run from 1995 to mid 2001, starts over January 2024.
-ORDER_CUTS = ["1997-03-01 00:00:00", "1999-06-01 00:00:00"]
-START_CUTS = ["2024-01-10 13:00:00", "2024-01-20 07:00:00"]
 DETAIL_ID_RANGE = 1 << 60
 WAVES = 3
 
 
+def cdc_route_stream(spark: SparkSession, folder: str) -> DataFrame:
+    w = _routed(spark, folder)
+    wanted = only(ORDER_DETAIL, "id", "order_id", "sku_num", "order_price")
+    routed = read_topic(spark, w.path, "ods_order_detail")
+    lines = routed.select("topic", F.from_json("value", ", ".join(f"{n} string" for n, _, _ in wanted)).alias("v"))
+    return lines.select("topic", *[F.col(f"v.{c}").cast("bigint").alias(c) for c in ("id", "order_id", "sku_num")],
+                        F.col("v.order_price").cast("double").alias("price"))
+
+
+def cdc_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """What the routing job could not read."""
+    return _routed(spark, folder).quarantine("ods_array").read("messages").select("value")
+
+
+def dim_sync_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Dimension rows in waves, a row's older version after a newer one; SKUs come last, with every 13th trademark missing."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    old = F.struct(F.lit("2021-01-01").cast("timestamp").alias("timestamp"), F.lit(1).alias("wave"), F.lit("old ").alias("was"))
+    new = F.struct(F.lit("2021-01-02").cast("timestamp").alias("timestamp"), F.lit(1).alias("wave"), F.lit("").alias("was"))
+    spus = shop.spu_info().select("*", F.explode(F.array(new, old)).alias("_v")).select(
+        "id", F.concat("_v.was", "spu_name").alias("spu_name"), "_v.timestamp", "_v.wave")
+    once = lambda rows, wave: rows.withColumns({"timestamp": F.lit("2021-01-01").cast("timestamp"), "wave": F.lit(wave)})
+    trademarks = _without_every_13th(shop.base_trademark()).withColumnRenamed("id", "tm_id")
+    wave = F.col("wave")
+    _run_in_waves(w, [(once(shop.user_info(), 0), "ods_user_info", wave), (once(shop.province_info(), 0), "ods_base_province", wave),
+                      (once(shop.base_category3(), 0), "ods_base_category3", wave), (once(trademarks, 0), "ods_base_trademark", wave),
+                      (spus, "ods_spu_info", wave), (once(shop.sku_info(), 2), "ods_sku_info", wave)], jobs.sync_dimensions(w))
+    return w.skus.read()
+
+
+def order_enriched_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in waves by id; who has ordered in one wave is known in the next, whatever the times of the orders."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    w.provinces.upsert(_without_every_13th(shop.province_info()), 0)
+    w.users.upsert(dim.derive_user(_without_every_13th(shop.user_info()), AS_OF), 0)
+    rows = shop.order_heads().drop("create_date", "create_hour").withColumn("timestamp", F.to_timestamp("create_time"))
+    _run_in_waves(w, [(rows, "ods_order_info", F.pmod("id", F.lit(WAVES)))], jobs.order_facts(w))
+    wanted = only(ORDER_INFO, "id", "user_id", "province_id", "create_date", "create_hour", "is_first_order", "province_name", "user_age_group", "user_gender")
+    return parse_strict(read_topic(spark, w.path, "dwd_order_info"), wanted)
+
+
 def order_wide_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Stream-stream join; waves are cut by arrival, so some details come a wave after their order."""
     shop = ShopTables(spark, folder)
@@ -35,44 +74,104 @@ def order_wide_windowed_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_wide_share_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Allocation with carried totals; waves are cut by detail id, so most orders are spread over them."""
-    shop = ShopTables(spark, folder)
-    w = _warehouse(spark)
-    wide = dws.wide_join(with_no_dimensions(shop.order_info()), with_no_sku(shop.order_detail(spread=True)))
-    third = F.call_function("div", F.col("order_detail_id"), F.lit(DETAIL_ID_RANGE // WAVES + 1))
-    share = Pipeline("share", "5 seconds", lambda: parse_strict(w.stream("share", "joined"), ORDER_WIDE), share_batches(w, "share"))
-    _run_in_waves(w, [(wide.withColumn("timestamp", F.current_timestamp()), "joined", third)], share)
+    """Join and allocation over waves: orders come in any wave, details by id, and every 5th detail is sent again in the last wave."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    third = F.call_function("div", F.col("id"), F.lit(DETAIL_ID_RANGE // WAVES + 1))
+    _wide_orders(w, shop.order_info(), _twice(shop.order_detail(), third))
     wanted = only(ORDER_WIDE, "order_id", "order_detail_id", "final_total_amount", "original_total_amount", "sku_price",
                   "sku_num", "final_detail_amount")
     return _money_as_double(parse_strict(read_topic(spark, w.path, "dws_order_wide"), wanted))
 
 
+def unmatched_details(spark: SparkSession, folder: str) -> DataFrame:
+    """Details that still wait, where every 13th order has not come."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    _wide_orders(w, shop.order_info().where("id % 13 <> 0"), shop.order_detail().withColumn("wave", F.pmod("id", F.lit(WAVES)).cast("int")))
+    return jobs.unmatched_details(w).select("id", "order_id", "sku_id", "sku_num", F.col("order_price").cast("double").alias("order_price"))
+
+
+def trademark_amount_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Wide rows in waves, with a time for each two batches: a later batch replaces the sums of the same time and trademark."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    details = shop.order_detail().withColumn("tm", F.col("sku_id") % 25)
+    wave = F.pmod("order_id", F.lit(WAVES))
+    wave = F.when((wave == 1) & (F.col("tm") % 2 == 1), 2).otherwise(wave).cast("int")
+    wide = details.select(F.col("id").alias("order_detail_id"), F.col("tm").alias("tm_id"), F.concat(F.lit("tm-"), "tm").alias("tm_name"),
+                          (F.col("order_price") * F.col("sku_num")).cast("decimal(16,2)").alias("final_detail_amount"),
+                          F.current_timestamp().alias("timestamp"), wave.alias("wave"))
+    job = jobs.trademark_amounts(w, stamp=lambda batch_id: F.lit(f"2021-01-01 00:00:0{batch_id // 2}"))
+    _run_in_waves(w, [(wide, "dws_order_wide", F.col("wave"))], job)
+    return _money_as_double(w.results.current("tm_amount"))
+
+
 def dau_first_start_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """First starts per day and device, over starts in waves by user."""
+    w = _started(spark, folder)
+    kept = read_topic(spark, w.path, "dau").select(F.from_json("value", "log_date string, mid string").alias("v"))
+    return kept.select("v.log_date", "v.mid")
+
+
+def dau_index_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the processing day after all waves: of each device the last day it started on."""
     w = _warehouse(spark)
-    starts = ShopTables(spark, folder).startup_log().withColumn("_ts", F.get_json_object("value", "$.ts").cast("bigint"))
-    logs = starts.select("value", F.timestamp_millis("_ts").alias("timestamp"))
+    _run_in_waves(w, [(_starts(spark, folder), "start", F.col("wave"))], jobs.daily_actives(w, "start"))
+    docs = w.index.read()
+    return docs.select("doc_id", F.get_json_object("source", "$.log_date").alias("log_date"))
+
+
+def _routed(spark: SparkSession, folder: str) -> Warehouse:
+    w = _warehouse(spark)
+    lines = detail_envelopes(ShopTables(spark, folder))
+    timed = lines.select("value", F.current_timestamp().alias("timestamp"), F.pmod(F.xxhash64("value"), F.lit(WAVES)).cast("int").alias("wave"))
+    _run_in_waves(w, [(timed, "changes", F.col("wave"))], jobs.route_arrays(w, "changes"))
+    return w
+
+
+def _wide_orders(w: Warehouse, orders: DataFrame, details: DataFrame) -> None:
+    now = F.current_timestamp()
+    infos = with_no_dimensions(orders).withColumns({"timestamp": now, "wave": F.pmod("id", F.lit(WAVES)).cast("int")})
+    lines = with_no_sku(details).withColumn("timestamp", now)
+    _run_in_waves(w, [(infos, "dwd_order_info", F.col("wave")), (lines, "dwd_order_detail", F.col("wave"))], jobs.wide_orders(w))
+
+
+def _twice(details: DataFrame, wave: Column) -> DataFrame:
+    """Every 5th row comes once more in the last wave."""
+    waves = F.when(F.col("id") % 5 == 0, F.array(wave, F.lit(WAVES - 1).cast("bigint"))).otherwise(F.array(wave))
+    return details.withColumn("wave", F.explode(waves))
+
+
+def _starts(spark: SparkSession, folder: str) -> DataFrame:
+    starts = ShopTables(spark, folder).startup_log()
+    when = F.timestamp_millis(F.get_json_object("value", "$.ts").cast("bigint"))
+    return starts.select("value", when.alias("timestamp"), F.least(F.lit(WAVES - 1), F.call_function("div", F.dayofmonth(when) - 1, F.lit(10))).alias("wave"))
+
+
+def _started(spark: SparkSession, folder: str) -> Warehouse:
+    w = _warehouse(spark)
+    job = jobs.daily_actives(w, "start")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         w.send(batch.select(F.lit("dau").alias("topic"), F.to_json(F.struct("*")).alias("value")), batch_id, "dau")
 
-    first = Pipeline("dau", "3 seconds", lambda: dau.first_start_stream(dau.parse_startup(w.stream("dau", "start"))), each_batch)
-    _run_in_waves(w, [(logs, "start", _cut(F.col("timestamp"), START_CUTS))], first)
-    kept = read_topic(spark, w.path, "dau").select(F.from_json("value", "log_date string, mid string").alias("v"))
-    return kept.select("v.log_date", "v.mid")
+    _run_in_waves(w, [(_starts(spark, folder), "start", F.col("wave"))], Pipeline("dau", "3 seconds", job.source, each_batch))
+    return w
 
 
 def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, join) -> DataFrame:
     w = _warehouse(spark)
 
     def source() -> DataFrame:
-        streams = w.streams("join", "order", "detail")
+        streams = w.streams("order", "detail")
         return join(parse_strict(streams["order"], ORDER_INFO, keep=("timestamp",)),
                     parse_strict(streams["detail"], ORDER_DETAIL, keep=("timestamp",)))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         w.send(batch.select(F.lit("wide").alias("topic"), F.to_json(F.struct("*")).alias("value")), batch_id, "joined")
 
-    cut = _cut(F.col("timestamp"), ORDER_CUTS)
+    # Equal shares of the time the orders are from, whatever it is; all of it is one row for the driver.
+    low, high = orders.agg(F.min("timestamp"), F.max("timestamp")).first()
+    cuts = [low + (high - low) * part / WAVES for part in range(1, WAVES)] if low is not None else []
+    cut = sum((F.when(F.col("timestamp") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     _run_in_waves(w, [(orders, "order", cut), (details, "detail", cut)], Pipeline("join", "5 seconds", source, each_batch))
     wanted = only(ORDER_WIDE, "order_id", "order_detail_id", "user_id", "sku_id", "sku_num")
     return parse_strict(read_topic(spark, w.path, "wide"), wanted)
@@ -80,15 +179,15 @@ def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, j
 
 def _warehouse(spark: SparkSession) -> Warehouse:
     root = files.shared_folder(spark)
-    return Warehouse(spark, f"{root}/tables", kind="files", path=f"{root}/messages")
+    return Warehouse(spark, f"{root}/tables", kind="files", path=f"{root}/messages", as_of=AS_OF)
 
 
 def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job: Pipeline) -> None:
     """Writes the messages once, then gives out wave by wave and runs the job on it, from its own checkpoint."""
     staged = None
     for rows, topic, wave in inputs:
-        value = F.col("value") if "value" in rows.columns else F.to_json(F.struct(*[c for c in rows.columns if c != "timestamp"]))
-        part = rows.select(F.lit(topic).alias("topic"), value.alias("value"), "timestamp", wave.alias("wave"))
+        value = F.col("value") if "value" in rows.columns else F.to_json(F.struct(*[c for c in rows.columns if c not in ("timestamp", "wave")]))
+        part = rows.select(F.lit(topic).alias("topic"), value.alias("value"), "timestamp", wave.cast("int").alias("wave"))
         staged = part if staged is None else staged.unionByName(part)
     stage_waves(staged, w.path, "in")
     for wave in range(WAVES):
@@ -98,9 +197,6 @@ def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job
             job.drain(w.spark, f"{w.root}/checkpoints", state_partitions=w.spark.sparkContext.defaultParallelism)
 
 
-def _cut(time: Column, cuts: list[str]) -> Column:
-    return sum((F.when(time >= F.lit(cut).cast("timestamp"), 1).otherwise(0) for cut in cuts), F.lit(0))
-
-
 STREAM_QUERIES = {f.__name__: f for f in (
-    order_wide_stream, order_wide_windowed_stream, order_wide_share_stream, dau_first_start_stream)}
+    cdc_route_stream, cdc_quarantine, dim_sync_stream, order_enriched_stream, order_wide_stream, order_wide_windowed_stream,
+    order_wide_share_stream, unmatched_details, trademark_amount_stream, dau_first_start_stream, dau_index_stream)}

@@ -10,8 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """A new folder under the cluster's checkpoint folder; a local one only where none is named and there is one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and (spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local")):
+        raise RuntimeError("intermediate tables need a folder all executors share: set spark.checkpoint.dir")
+    root = root or _local_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

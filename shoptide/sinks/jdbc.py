@@ -33,12 +33,12 @@ def replace_in_one_transaction(batch_id: int, frames: list[tuple[DataFrame, Targ
     """
     spark = frames[0][0].sparkSession
     clear = [f"DELETE FROM {t.stage} WHERE batch_id = {int(batch_id)}" for _, t in frames]
-    execute(spark, url, driver, clear)
+    execute(spark, url, driver, clear, **options)
     for df, target in frames:
         staged = df.select(*target.columns, F.lit(batch_id).cast("bigint").alias("batch_id"))
         staged.write.format("jdbc").options(url=url, dbtable=target.stage, driver=driver, **options).mode("append").save()
     moves = [sql for _, target in frames for sql in move_statements(target, batch_id)]
-    execute(spark, url, driver, [*moves, *clear])
+    execute(spark, url, driver, [*moves, *clear], **options)
 
 
 def move_statements(target: Target, batch_id: int) -> list[str]:
@@ -51,12 +51,15 @@ def move_statements(target: Target, batch_id: int) -> list[str]:
     ]
 
 
-def execute(spark: SparkSession, url: str, driver: str, statements: list[str]) -> None:
-    """Runs statements in one transaction on a connection of the driver program."""
+def execute(spark: SparkSession, url: str, driver: str, statements: list[str], **options: str) -> None:
+    """Runs statements in one transaction on a connection of the driver program; ``options`` such as user and password go to it."""
     jvm = spark._jvm
     loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
     connector = jvm.java.lang.Class.forName(driver, True, loader).newInstance()
-    connection = connector.connect(url, jvm.java.util.Properties())
+    properties = jvm.java.util.Properties()
+    for name, value in options.items():
+        properties.setProperty(name, str(value))
+    connection = connector.connect(url, properties)
     try:
         connection.setAutoCommit(False)
         for sql in statements:

@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from shoptide.schemas import MESSAGE
 from shoptide.sinks import files
+from shoptide.sinks.tables import claim
 
 
 def write_batch(messages: DataFrame, batch_id: int, job: str, kind: str = "kafka", path: str | None = None,
                 servers: str | None = None) -> None:
     """Sends rows with ``topic`` and ``value`` (``key`` and ``timestamp`` optional), each to its own topic.
 
-    Kafka delivery is at least once. The file twin leaves a finished batch alone when it is replayed.
+    Kafka delivery is at least once; facts carry their id as key, and readers drop what they have seen. The file twin leaves a
+    finished batch alone when it is replayed.
     """
     if kind == "kafka":
-        sent = [c for c in ("key", "value", "topic") if c in messages.columns]
+        sent = [F.col(c).cast("string").alias(c) for c in ("key", "value", "topic") if c in messages.columns]
         messages.select(*sent).write.format("kafka").option("kafka.bootstrap.servers", servers).option(
             "kafka.enable.idempotence", "true").save()
         return
     if kind != "files":
         raise ValueError(f"unknown sink kind {kind!r}")
+    claim(messages.sparkSession, f"{path}/{job}")
     folder = f"{path}/{job}/batch={batch_id:012d}"
     if files.exists(messages.sparkSession, f"{folder}/_SUCCESS"):
         return

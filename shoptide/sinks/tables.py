@@ -1,4 +1,4 @@
-"""Parquet tables written batch by batch: all-or-nothing batches, and upsert by key on top."""
+"""Parquet tables written batch by batch: all-or-nothing batches, and the newest row per key on top."""
 
 from __future__ import annotations
 
@@ -17,17 +17,28 @@ class BatchTables:
     """One or more tables whose rows of a batch become visible together.
 
     Data goes to folders of its own; then one small commit file, put in place by a rename, names them. A batch that is
-    already committed is left alone, so a replay changes nothing, and a half-written one is never seen.
+    already committed is left alone, so a replay changes nothing, and a half-written one is never seen. The first streaming
+    query that writes owns the root: batch ids count per query, so another query, or one started over without its checkpoint, is an error.
+
+    With ``keys`` a later batch replaces rows of the same key, and every ``compact_every`` batches the earlier ones are merged into one base, so a
+    read stays short. ``keep`` limits what survives a merge.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str]] | None = None,
+                 compact_every: int = 50, keep: Column | None = None):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+        self.keys, self.compact_every, self.keep = keys, compact_every, keep
 
     def commit(self, batch_id: int, frames: dict[str, DataFrame], kind: str = "batch") -> bool:
         """Writes the frames as one batch; False when it was committed before."""
+        self._claim()
         mark = f"{self.root}/commits/{kind}-{batch_id:012d}"
         if files.exists(self.spark, mark):
             return False
+        if self.keys and kind == "batch":
+            _, batches = self._committed(batch_id)
+            if len(batches) >= self.compact_every:
+                self.compact(batches[-1])
         folders = {}
         for name, df in frames.items():
             folders[name] = f"{self.root}/data/{name}/{kind}-{batch_id:012d}-{uuid.uuid4().hex}"
@@ -47,6 +58,32 @@ class BatchTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
+    def current(self, name: str, before: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """The newest row of every key, or only of rows that match ``wanted``, some of the table's columns.
+
+        Rows are restricted before they are ranked, so the cost of a lookup follows what is looked up.
+        """
+        rows = self.read(name, before)
+        if wanted is not None:
+            rows = rows.join(wanted, wanted.columns, "left_semi").select(*rows.columns)
+        base, batches = self._committed(before)
+        if len(batches) + (base is not None) > 1:
+            rows = latest(rows, self.keys[name], ["batch_id"])
+        return rows.drop("batch_id")
+
+    def compact(self, upto: int) -> None:
+        """Merges the batches up to ``upto`` into one base.
+
+        What the base before still needs stays on disk for readers that have just begun; older files go.
+        """
+        before, _ = self._committed(upto)
+        merged = {name: self.current(name, upto + 1) for name in self.schemas}
+        if self.keep is not None:
+            merged = {name: rows.where(self.keep) for name, rows in merged.items()}
+        self.commit(upto, merged, kind="base")
+        if before is not None:
+            self.drop_older(before)
+
     def drop_older(self, base: int) -> None:
         """Removes the batches merged into ``base`` and the bases before it: marks first, then data."""
         for mark in files.children(self.spark, f"{self.root}/commits"):
@@ -59,6 +96,9 @@ class BatchTables:
                 for folder in folders.values():
                     files.remove(self.spark, folder)
 
+    def _claim(self) -> None:
+        claim(self.spark, self.root)
+
     def _committed(self, before: int | None) -> tuple[int | None, list[int]]:
         found = [m.split("-") for m in files.children(self.spark, f"{self.root}/commits") if not m.startswith(("_", "."))]
         found = [(kind, int(number)) for kind, number in found if before is None or int(number) < before]
@@ -66,42 +106,35 @@ class BatchTables:
         return base, sorted(n for kind, n in found if kind == "batch" and (base is None or n > base))
 
 
-class KeyedTable:
-    """Rows unique by key; the last batch to write a key wins, within a batch the last row by ``order_by``.
+def claim(spark: SparkSession, root: str) -> None:
+    """Notes the streaming query that writes to ``root``, or raises if it is another one than noted before."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if query is None:
+        return
+    path = f"{root}/owner"
+    if not files.exists(spark, path):
+        files.make_folder(spark, root)
+        files.put_text(spark, path, query)
+    elif (owner := files.get_text(spark, path)) != query:
+        raise RuntimeError(f"{root} belongs to the streaming query {owner}; query {query}, which counts its batches anew, needs another root")
 
-    Every ``compact_every`` batches the earlier ones are merged into one base, so a read stays short. ``keep`` limits
-    what survives a merge, for state with a horizon.
-    """
+
+class KeyedTable:
+    """Rows unique by key; the last batch to write a key wins, within a batch the last row by ``order_by``."""
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], columns: str,
                  compact_every: int = 50, keep: Column | None = None):
-        self.keys, self.compact_every, self.keep = keys, compact_every, keep
+        self.keys = keys
         self.columns = StructType.fromDDL(columns).names
-        self.batches = BatchTables(spark, root, {"rows": columns})
+        self.batches = BatchTables(spark, root, {"rows": columns}, {"rows": keys}, compact_every, keep)
 
     def upsert(self, df: DataFrame, batch_id: int, order_by: list[str] | None = None) -> bool:
-        base, batches = self.batches._committed(batch_id)
-        if len(batches) >= self.compact_every:
-            self.compact(batches[-1])
         rows = latest(df, self.keys, order_by) if order_by else df.dropDuplicates(self.keys)
         return self.batches.commit(batch_id, {"rows": rows.select(*self.columns)})
 
     def read(self, before: int | None = None) -> DataFrame:
-        base, batches = self.batches._committed(before)
-        rows = self.batches.read("rows", before)
-        if len(batches) + (base is not None) > 1:
-            rows = latest(rows, self.keys, ["batch_id"])
-        return rows.drop("batch_id")
-
-    def compact(self, upto: int) -> None:
-        """Merges the batches up to ``upto`` into one base.
+        return self.batches.current("rows", before)
 
-        What the base before still needs stays on disk for readers that have just begun; older files go.
-        """
-        before, _ = self.batches._committed(upto)
-        rows = self.read(upto + 1)
-        if self.keep is not None:
-            rows = rows.where(self.keep)
-        self.batches.commit(upto, {"rows": rows}, kind="base")
-        if before is not None:
-            self.batches.drop_older(before)
+    def lookup(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
+        """The current rows that match ``wanted``, a frame of some of the table's columns."""
+        return self.batches.current("rows", before, wanted)

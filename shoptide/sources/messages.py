@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +22,6 @@ def kafka_options(servers: str, topics: list[str], starting: str | None = None,
     return options
 
 
-def starting_offsets(ledger: DataFrame, group: str, topics: list[str]) -> str | None:
-    """``startingOffsets`` JSON from a ledger of ``(group_id, topic, partition_id, partition_offset)``.
-
-    One row per topic partition comes to the driver, no data. A topic the ledger lacks makes the start earliest
-    for all, since Kafka takes either named offsets for every topic or one word.
-    """
-    rows = ledger.where((F.col("group_id") == group) & F.col("topic").isin(topics)).collect()
-    offsets: dict[str, dict[str, int]] = {}
-    for row in rows:
-        offsets.setdefault(row["topic"], {})[str(row["partition_id"])] = row["partition_offset"]
-    if set(offsets) != set(topics):
-        return None
-    return json.dumps(offsets, sort_keys=True)
-
-
 def read_stream(spark: SparkSession, topics: list[str], kind: str = "kafka", path: str | None = None,
                 servers: str | None = None, starting: str | None = None, per_trigger: int | None = None) -> DataFrame:
     """Several topics in one stream, each row with its ``topic``."""
@@ -54,21 +37,12 @@ def read_stream(spark: SparkSession, topics: list[str], kind: str = "kafka", pat
     return stream
 
 
-def read_streams(spark: SparkSession, topics: list[str], **source) -> dict[str, DataFrame]:
-    """One stream per topic."""
-    return {topic: read_stream(spark, [topic], **source) for topic in topics}
-
-
 def read_topic(spark: SparkSession, path: str, topic: str) -> DataFrame:
     """All messages of a topic written by the file sink, as a batch table."""
     rows = spark.read.schema(_stored()).option("recursiveFileLookup", "true").parquet(f"{path}/*/batch=*/topic={topic}")
     return rows.withColumn("topic", F.lit(topic)).select(*names(MESSAGE))
 
 
-def topics_and_values(messages: DataFrame) -> DataFrame:
-    return messages.select("topic", "value")
-
-
 def _topic_files(spark: SparkSession, path: str, topic: str, per_trigger: int | None) -> DataFrame:
     files.make_folder(spark, path)
     reader = spark.readStream.schema(_stored()).option("recursiveFileLookup", "true")

@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptide.functions.entities import order_times, parse_lenient, parse_strict, to_value
+from shoptide.functions.entities import order_times, parse_lenient, parse_strict, to_value, unreadable
+from shoptide.functions.money import cents
 from shoptide.operators import ads, dau, dim, dwd, dws, ods
 from shoptide.plans.skew import hot_groups
 from shoptide.schemas import (BASE_CATEGORY3, BASE_TRADEMARK, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PROVINCE_INFO,
-                              SKU_INFO, SPU_INFO, USER_INFO, ddl, only)
-from shoptide.sinks import index, ledger
+                              SKU_INFO, SPU_INFO, USER_INFO, ddl, names, only)
+from shoptide.sinks import index, jdbc
 from shoptide.sinks.messages import write_batch
 from shoptide.sinks.tables import BatchTables, KeyedTable
-from shoptide.sources.messages import read_stream, starting_offsets
+from shoptide.sources.messages import read_stream
 from shoptide.streaming.runner import Pipeline, held
 
 NEWEST = ["timestamp", "offset"]
 USER_ROW = ddl([*USER_INFO, ("age_group", "string", None), ("gender_name", "string", None)])
 TRADEMARK_ROW = "`id` string, `tm_name` string"
-CARRIED = "`order_id` bigint, `origin_cents` bigint, `pay_cents` bigint, `touched` timestamp"
+#: A detail that waits for its order is kept as JSON; one that has its share only as its amounts.
+LINES = "`order_detail_id` bigint, `order_id` bigint, `waiting` string, `origin_cents` bigint, `pay_cents` bigint"
+AMOUNTS = "`stat_time` string, `tm_id` bigint, `tm_name` string, `amount` decimal(26,2)"
+READ_UP_TO = "`group_id` string, `last_batch` bigint"
+#: The topics of the dimension tables.
+DIMENSIONS = ("ods_user_info", "ods_base_province", "ods_sku_info", "ods_spu_info", "ods_base_category3", "ods_base_trademark")
 
 
 @dataclass
 class Warehouse:
     """Where messages come from and go to, and the tables the jobs keep.
 
-    The tables belong to the checkpoints of the jobs: a job started over without its checkpoint needs a new ``root``.
+    The tables belong to the checkpoints of the jobs: a job started over without its checkpoint needs a new ``root``, and fails on an old one.
     """
 
     spark: SparkSession
@@ -39,11 +46,10 @@ class Warehouse:
     servers: str | None = None
     per_trigger: int | None = None
     as_of: date | None = None
-    carried_horizon: str = "1 day"
 
     def __post_init__(self) -> None:
-        def keyed(name: str, keys: list[str], columns: str, **options) -> KeyedTable:
-            return KeyedTable(self.spark, f"{self.root}/{name}", keys, columns, **options)
+        def keyed(name: str, keys: list[str], columns: str) -> KeyedTable:
+            return KeyedTable(self.spark, f"{self.root}/{name}", keys, columns)
 
         self.users = keyed("dim_user", ["id"], USER_ROW)
         self.provinces = keyed("dim_province", ["id"], ddl(PROVINCE_INFO))
@@ -52,142 +58,193 @@ class Warehouse:
         self.trademarks = keyed("dim_trademark", ["id"], TRADEMARK_ROW)
         self.skus = keyed("dim_sku", ["id"], ddl(SKU_INFO))
         self.user_status = keyed("user_status", ["user_id"], "`user_id` string, `is_first_order` boolean")
-        recent = F.col("touched") > F.current_timestamp() - F.expr(f"INTERVAL {self.carried_horizon}")
-        self.carried = keyed("order_carried", ["order_id"], CARRIED, keep=recent)
+        self.orders = keyed("orders_seen", ["id"], ddl(ORDER_INFO))
+        self.lines = keyed("order_lines", ["order_detail_id"], LINES)
         self.index = index.index_store(self.spark, f"{self.root}/index")
-        self.results = BatchTables(self.spark, f"{self.root}/ads", {
-            "tm_amount": "`stat_time` string, `tm_id` bigint, `tm_name` string, `amount` decimal(26,2)",
-            "ads_offset": ledger.LEDGER,
-        })
+        self.results = BatchTables(self.spark, f"{self.root}/ads", {"tm_amount": AMOUNTS, "ads_read": READ_UP_TO},
+                                   {"tm_amount": ["stat_time", "tm_id"], "ads_read": ["group_id"]})
 
-    def ledger(self, group: str) -> KeyedTable:
-        """A ledger per group, since batch ids count per query."""
-        return ledger.ledger_table(self.spark, f"{self.root}/offsets/{group}")
+    def stream(self, *topics: str) -> DataFrame:
+        return read_stream(self.spark, list(topics), self.kind, self.path, self.servers, per_trigger=self.per_trigger)
 
-    def stream(self, group: str, *topics: str) -> DataFrame:
-        return read_stream(self.spark, list(topics), **self._source(group, list(topics)))
-
-    def streams(self, group: str, *topics: str) -> dict[str, DataFrame]:
+    def streams(self, *topics: str) -> dict[str, DataFrame]:
         """One stream per topic."""
-        return {topic: self.stream(group, topic) for topic in topics}
+        return {topic: self.stream(topic) for topic in topics}
 
     def send(self, messages: DataFrame, batch_id: int, job: str) -> None:
         write_batch(messages, batch_id, job, self.kind, self.path, self.servers)
 
-    def _source(self, group: str, topics: list[str]) -> dict:
-        """A first start without a checkpoint goes on from the group's ledger; later ones from the checkpoint."""
-        source = {"kind": self.kind, "path": self.path, "servers": self.servers, "per_trigger": self.per_trigger}
-        if self.kind == "kafka":
-            source["starting"] = starting_offsets(self.ledger(group).read(), group, topics)
-        return source
+    def quarantine(self, group: str) -> BatchTables:
+        """Messages of a job that could not be read."""
+        return BatchTables(self.spark, f"{self.root}/quarantine/{group}", {"messages": "`value` string"})
+
+    def readable(self, group: str, batch_id: int, *parsed: tuple[DataFrame, str]) -> list[DataFrame]:
+        """The rows that have their key; the messages of all others go to the quarantine of the batch.
+
+        Rows are parsed with their message, ``value``, kept.
+        """
+        bad = None
+        for rows, key in parsed:
+            left_out = rows.where(unreadable(rows, key)).select("value")
+            bad = left_out if bad is None else bad.unionByName(left_out)
+        self.quarantine(group).commit(batch_id, {"messages": bad})
+        return [rows.where(~unreadable(rows, key)).drop("value") for rows, key in parsed]
 
 
 def route_arrays(w: Warehouse, topic: str, group: str = "ods_array") -> Pipeline:
     """Array envelopes to one topic per table."""
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(batch):
-            w.send(ods.route(ods.parse_array(batch, keep=("timestamp",)), ods.ARRAY_OPS), batch_id, group)
-            ledger.save_offsets(w.ledger(group), batch, group, batch_id)
-
-    return Pipeline(group, "3 seconds", lambda: w.stream(group, topic), each_batch)
+    return _router(w, topic, group, ods.parse_array, ods.ARRAY_ENVELOPE, ods.ARRAY_OPS)
 
 
 def route_objects(w: Warehouse, topic: str, group: str = "ods_object") -> Pipeline:
     """Object envelopes to one topic per table."""
+    return _router(w, topic, group, ods.parse_object, ods.OBJECT_ENVELOPE, ods.OBJECT_OPS)
+
+
+def _router(w: Warehouse, topic: str, group: str, parse: Callable, envelope: str, ops: list[str]) -> Pipeline:
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            w.send(ods.route(ods.parse_object(batch, keep=("timestamp",)), ods.OBJECT_OPS), batch_id, group)
-            ledger.save_offsets(w.ledger(group), batch, group, batch_id)
+            w.quarantine(group).commit(batch_id, {"messages": ods.malformed(batch.select("value"), envelope)})
+            w.send(ods.route(parse(batch, keep=("timestamp",)), ops), batch_id, group)
 
-    return Pipeline(group, "3 seconds", lambda: w.stream(group, topic), each_batch)
+    return Pipeline(group, "3 seconds", lambda: w.stream(topic), each_batch)
 
 
 def sync_dimensions(w: Warehouse, group: str = "dim_sync") -> Pipeline:
     """Dimension topics, mixed in one stream, to keyed tables; SKU rows are completed from the lookups just saved."""
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
-        def rows(topic: str, entity: list) -> DataFrame:
-            return parse_strict(batch.where(F.col("topic") == topic), entity, keep=("timestamp", "offset"))
+    entities = dict(zip(DIMENSIONS, (USER_INFO, PROVINCE_INFO, SKU_INFO, SPU_INFO, BASE_CATEGORY3, BASE_TRADEMARK)))
 
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            w.users.upsert(dim.derive_user(rows("ods_user_info", USER_INFO), w.as_of), batch_id, NEWEST)
-            w.provinces.upsert(rows("ods_base_province", PROVINCE_INFO), batch_id, NEWEST)
-            w.spus.upsert(rows("ods_spu_info", SPU_INFO), batch_id, NEWEST)
-            w.categories.upsert(rows("ods_base_category3", BASE_CATEGORY3), batch_id, NEWEST)
-            w.trademarks.upsert(dim.trademark_rows(rows("ods_base_trademark", BASE_TRADEMARK)), batch_id, NEWEST)
-            newest = dim.latest(rows("ods_sku_info", SKU_INFO), ["id"], NEWEST)
-            w.skus.upsert(dim.enrich_sku(newest, w.spus.read(), w.categories.read(), w.trademarks.read()), batch_id)
-            ledger.save_offsets(w.ledger(group), batch, group, batch_id)
-
-    topics = ("ods_user_info", "ods_base_province", "ods_sku_info", "ods_spu_info", "ods_base_category3", "ods_base_trademark")
-    return Pipeline(group, "60 seconds", lambda: w.stream(group, *topics), each_batch)
+            parsed = [(parse_strict(batch.where(F.col("topic") == topic), entity, keep=("timestamp", "offset", "value")), entity[0][0])
+                      for topic, entity in entities.items()]
+            users, provinces, skus, spus, categories, trademarks = w.readable(group, batch_id, *parsed)
+            w.users.upsert(dim.derive_user(users, w.as_of), batch_id, NEWEST)
+            w.provinces.upsert(provinces, batch_id, NEWEST)
+            w.spus.upsert(spus, batch_id, NEWEST)
+            w.categories.upsert(categories, batch_id, NEWEST)
+            w.trademarks.upsert(dim.trademark_rows(trademarks), batch_id, NEWEST)
+            newest = dim.latest(skus, ["id"], NEWEST)
+            with held(newest):
+                ids = lambda column: newest.select(F.col(column).alias("id")).distinct()
+                w.skus.upsert(dim.enrich_sku(newest, w.spus.lookup(ids("spu_id")), w.categories.lookup(ids("category3_id")),
+                                             w.trademarks.lookup(ids("tm_id"))), batch_id)
+
+    return Pipeline(group, "60 seconds", lambda: w.stream(*DIMENSIONS), each_batch)
 
 
 def detail_facts(w: Warehouse, group: str = "dwd_order_detail") -> Pipeline:
     """Details with their SKU columns."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            details = dwd.enrich_detail(parse_lenient(batch, ORDER_DETAIL, keep=("timestamp",)), w.skus.read())
-            w.send(to_value(details, "dwd_order_detail"), batch_id, group)
-            ledger.save_offsets(w.ledger(group), batch, group, batch_id)
+            details, = w.readable(group, batch_id, (parse_lenient(batch, ORDER_DETAIL, keep=("value",)), "id"))
+            skus = w.skus.lookup(details.select(F.col("sku_id").cast("string").alias("id")).distinct())
+            w.send(to_value(dwd.enrich_detail(details, skus), "dwd_order_detail", "id"), batch_id, group)
 
-    return Pipeline(group, "5 seconds", lambda: w.stream(group, "ods_order_detail"), each_batch)
+    return Pipeline(group, "5 seconds", lambda: w.stream("ods_order_detail"), each_batch)
 
 
 def order_facts(w: Warehouse, group: str = "dwd_order_info") -> Pipeline:
     """Orders flagged and enriched; users of orders that survive become known.
 
-    User status is read as it was before this batch, so a replay flags the same orders.
+    User status is read as it was before this batch, so a replay flags the same orders. Of the users only those of the batch are read.
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        orders = order_times(parse_lenient(batch, ORDER_INFO))
-        enriched = dwd.enrich_order(orders, w.provinces.read(), w.users.read(), w.user_status.read(batch_id), w.as_of)
-        with held(batch), held(enriched):
-            w.send(to_value(enriched, "dwd_order_info"), batch_id, group)
-            w.user_status.upsert(dwd.user_status_rows(enriched), batch_id)
-            ledger.save_offsets(w.ledger(group), batch, group, batch_id)
-
-    return Pipeline(group, "3 seconds", lambda: w.stream(group, "ods_order_info"), each_batch)
-
-
-def wide_orders(w: Warehouse, group: str = "dws_order_wide", **waits: str) -> Pipeline:
-    """Orders joined with details and the paid amount allocated, in one query."""
-    def source() -> DataFrame:
-        streams = w.streams(group, "dwd_order_info", "dwd_order_detail")
-        orders = parse_strict(streams["dwd_order_info"], ORDER_INFO, keep=("timestamp",))
-        details = parse_strict(streams["dwd_order_detail"], ORDER_DETAIL, keep=("timestamp",))
-        return dws.wide_join_stream(orders, details, **waits)
-
-    return Pipeline(group, "5 seconds", source, share_batches(w, group))
-
-
-def share_batches(w: Warehouse, group: str):
-    """Allocation of each batch on top of the totals carried from the ones before."""
-    def each_batch(wide: DataFrame, batch_id: int) -> None:
-        carried = w.carried.read(batch_id)
-        with held(wide), held(hot_groups(wide, "order_id", "order_detail_id")) as hot, \
-                held(dws.batch_shares(wide, carried, None if hot.isEmpty() else hot)) as shares:
-            w.send(to_value(dws.wide_rows(shares), "dws_order_wide"), batch_id, group)
-            totals = dws.carried_totals(shares, carried).withColumn("touched", F.current_timestamp())
-            w.carried.upsert(totals, batch_id)
-
-    return each_batch
-
-
-def trademark_amounts(w: Warehouse, group: str = "ads_order_wide") -> Pipeline:
-    """Sum of each batch by trademark, saved together with the offsets it was read up to."""
+        with held(batch):
+            rows, = w.readable(group, batch_id, (parse_lenient(batch, ORDER_INFO, keep=("value",)), "id"))
+            orders = order_times(rows)
+            users = orders.select(F.col("user_id").cast("string").alias("user_id")).distinct()
+            with held(users):
+                status = w.user_status.lookup(users, batch_id)
+                enriched = dwd.enrich_order(orders, w.provinces.read(), w.users.lookup(users.withColumnRenamed("user_id", "id")), status, w.as_of)
+                with held(enriched):
+                    w.send(to_value(enriched, "dwd_order_info", "id"), batch_id, group)
+                    w.user_status.upsert(dwd.user_status_rows(enriched), batch_id)
+
+    return Pipeline(group, "3 seconds", lambda: w.stream("ods_order_info"), each_batch)
+
+
+def wide_orders(w: Warehouse, group: str = "dws_order_wide") -> Pipeline:
+    """Orders joined with details, and the paid amount allocated.
+
+    Whatever comes first waits for the other side in a table, without a time limit: a detail until its order comes, an order for further
+    details. A detail that has its share stays known by its id, so one that is sent again is left out, and an order's totals are
+    the sums over its known details. Each batch looks up only the orders it is about, so the result does not depend on how messages
+    fall into batches, on how far one of the topics is behind, or on clocks.
+    """
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        with held(batch):
+            keep = ("value", "timestamp", "offset")
+            infos, details = w.readable(
+                group, batch_id,
+                (parse_strict(batch.where("topic = 'dwd_order_info'"), ORDER_INFO, keep=keep), "id"),
+                (parse_strict(batch.where("topic = 'dwd_order_detail'"), ORDER_DETAIL, keep=keep), "id"))
+            arrived = dim.latest(infos, ["id"], NEWEST).select(*names(ORDER_INFO))
+            ids = arrived.select(F.col("id").alias("order_id")).union(details.select("order_id")).distinct()
+            with held(arrived), held(ids), held(w.lines.lookup(ids, batch_id)) as lines:
+                earlier = w.orders.lookup(ids.withColumnRenamed("order_id", "id"), batch_id).join(arrived.select("id"), "id", "left_anti")
+                orders = arrived.unionByName(earlier.select(*arrived.columns))
+                waiting = parse_strict(lines.where("waiting IS NOT NULL"), ORDER_DETAIL, value="waiting")
+                done = lines.where("waiting IS NULL")
+                known = done.select(F.col("order_detail_id").alias("id"))
+                new = details.select(*names(ORDER_DETAIL)).unionByName(waiting).dropDuplicates(["id"]).join(known, "id", "left_anti")
+                totals = done.groupBy("order_id").agg(F.sum("origin_cents").alias("origin_cents"), F.sum("pay_cents").alias("pay_cents"))
+                with held(new), held(dws.wide_join(orders, new)) as wide, held(hot_groups(wide, "order_id", "order_detail_id")) as hot, \
+                        held(dws.batch_shares(wide, totals, None if hot.isEmpty() else hot)) as shares:
+                    w.send(to_value(dws.wide_rows(shares), "dws_order_wide", "order_detail_id"), batch_id, group)
+                    found = shares.select(
+                        "order_detail_id", "order_id", F.lit(None).cast("string").alias("waiting"),
+                        (F.col("sku_num") * cents(F.col("sku_price"))).alias("origin_cents"),
+                        F.coalesce(cents(F.col("final_detail_amount")), F.lit(0)).alias("pay_cents"))
+                    still = new.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti").select(
+                        F.col("id").alias("order_detail_id"), "order_id", F.to_json(F.struct(*names(ORDER_DETAIL))).alias("waiting"),
+                        F.lit(0).cast("bigint").alias("origin_cents"), F.lit(0).cast("bigint").alias("pay_cents"))
+                    w.orders.upsert(arrived, batch_id)
+                    w.lines.upsert(found.unionByName(still), batch_id)
+
+    return Pipeline(group, "5 seconds", lambda: w.stream("dwd_order_info", "dwd_order_detail"), each_batch)
+
+
+
+def unmatched_details(w: Warehouse) -> DataFrame:
+    """Details whose order has not come yet."""
+    return parse_strict(w.lines.read().where("waiting IS NOT NULL"), ORDER_DETAIL, value="waiting")
+
+
+@dataclass(frozen=True)
+class Database:
+    """A database that takes the results instead of the warehouse's own tables."""
+
+    url: str
+    driver: str
+    amounts: jdbc.Target
+    read_up_to: jdbc.Target
+    options: dict[str, str]
+
+
+def trademark_amounts(w: Warehouse, group: str = "ads_order_wide", stamp: Callable[[int], Column] | None = None,
+                      database: Database | None = None) -> Pipeline:
+    """Sum of each batch by trademark, which replaces one of the same time and trademark, saved together with the batch it was read up to."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            amounts = ads.trademark_amount(parse_strict(batch, only(ORDER_WIDE, "tm_id", "tm_name", "final_detail_amount")))
-            w.results.commit(batch_id, {"tm_amount": amounts, "ads_offset": ledger.offset_ranges(batch, group)})
+            wanted = only(ORDER_WIDE, "order_detail_id", "tm_id", "tm_name", "final_detail_amount")
+            no_default = [(name, kind, None if name == "order_detail_id" else default) for name, kind, default in wanted]
+            wide, = w.readable(group, batch_id, (parse_strict(batch, no_default, keep=("value",)), "order_detail_id"))
+            amounts = ads.trademark_amount(wide.dropDuplicates(["order_detail_id"]), stamp and stamp(batch_id))
+            read = w.spark.createDataFrame([(group, batch_id)], READ_UP_TO)
+            if database is None:
+                w.results.commit(batch_id, {"tm_amount": amounts, "ads_read": read})
+            else:
+                jdbc.replace_in_one_transaction(batch_id, [(amounts, database.amounts), (read, database.read_up_to)], database.url,
+                                                database.driver, **database.options)
 
-    return Pipeline(group, "5 seconds", lambda: w.stream(group, "dws_order_wide"), each_batch)
+    return Pipeline(group, "5 seconds", lambda: w.stream("dws_order_wide"), each_batch)
 
 
 def daily_actives(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau") -> Pipeline:
-    """First start per day and device to the index of the processing day, by device."""
+    """First start per day and device to the index of the processing day, by device; of several days in a batch the last stays."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        index.index_upsert(w.index, batch, "dau", batch_id, None, "mid")
-
-    return Pipeline(group, "3 seconds", lambda: dau.first_start_stream(dau.parse_startup(w.stream(group, topic), zone)), each_batch)
-
+        index.index_upsert(w.index, batch, "dau", batch_id, None, "mid", ("ts",))
 
+    return Pipeline(group, "3 seconds",
+                    lambda: dau.first_start_stream(dau.parse_startup(w.stream(topic), zone, keep=("timestamp",))), each_batch)

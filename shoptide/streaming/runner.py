@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.listener import StreamingQueryListener
-
-from shoptide.sinks.ledger import LEDGER
-from shoptide.sinks.tables import KeyedTable
 
 
 @dataclass(frozen=True)
@@ -59,40 +54,3 @@ def held(batch: DataFrame) -> Iterator[DataFrame]:
         yield batch
     finally:
         batch.unpersist()
-
-
-def progress_offsets(sources: list[dict], group: str) -> list[tuple[str, str, int, int]]:
-    """Ledger rows from the end offsets a Kafka source reports in a query's progress."""
-    rows = []
-    for source in sources:
-        end = source.get("endOffset") or {}
-        end = json.loads(end) if isinstance(end, str) else end
-        for topic, parts in end.items():
-            if isinstance(parts, dict):
-                rows += [(group, topic, int(part), int(offset)) for part, offset in parts.items()]
-    return rows
-
-
-class OffsetListener(StreamingQueryListener):
-    """Keeps the ledger for queries with state, whose batches no longer hold the source columns."""
-
-    def __init__(self, spark: SparkSession, ledgers: dict[str, KeyedTable]):
-        """``ledgers`` by consumer group, which is the query's name."""
-        self.spark, self.ledgers = spark, ledgers
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        progress = event.progress
-        if progress.name not in self.ledgers:
-            return
-        rows = progress_offsets([{"endOffset": s.endOffset} for s in progress.sources], progress.name)
-        if rows:
-            self.ledgers[progress.name].upsert(self.spark.createDataFrame(rows, LEDGER), progress.batchId)
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass

@@ -1,6 +1,5 @@
 import json
 from dataclasses import replace
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +7,7 @@ from pyspark.sql import functions as F
 from shoptide.sinks import files, index, jdbc, ledger
 from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources import jdbc as jdbc_source
-from shoptide.sources.messages import kafka_options, starting_offsets
-from shoptide.streaming.runner import OffsetListener, progress_offsets
+from shoptide.sources.messages import kafka_options
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
@@ -74,8 +72,6 @@ def test_offsets(spark, folder):
     maps = ledger.to_topic_maps(table.read())
     assert {r.topic: json.loads(r.offsets) for r in maps.collect()} == {"t": {"0": "8", "1": "41"}, "u": {"0": "10"}}
     assert content(ledger.from_topic_maps(maps)) == content(table.read())
-    assert json.loads(starting_offsets(table.read(), "g", ["t"])) == {"t": {"0": 8, "1": 41}}
-    assert starting_offsets(table.read(), "g", ["t", "new"]) is None
     assert content(ledger.read_offsets(table, "g", ["u"])) == [("g", "u", 0, 10)]
 
 
@@ -85,20 +81,48 @@ def test_kafka_options():
     assert kafka_options("h:1", ["a"], '{"a":{"0":3}}')["startingOffsets"] == '{"a":{"0":3}}'
 
 
-def test_progress_offsets():
-    sources = [{"endOffset": '{"t":{"0":5,"1":6}}'}, {"endOffset": {"u": {"0": 7}}}, {"endOffset": {"logOffset": 3}}, {"endOffset": None}]
-    assert progress_offsets(sources, "g") == [("g", "t", 0, 5), ("g", "t", 1, 6), ("g", "u", 0, 7)]
+def test_later_batches_replace_rows_of_the_same_key(spark, folder):
+    t = BatchTables(spark, folder, {"x": "`k` string, `v` int", "y": "`k` string, `v` int"}, {"x": ["k"], "y": ["k"]}, compact_every=2)
+    for batch in range(6):
+        t.commit(batch, {"x": rows(spark, ("a", batch), (f"k{batch}", batch)), "y": rows(spark, ("read", batch))})
+        t.commit(batch, {"x": rows(spark, ("a", 99)), "y": rows(spark, ("read", 99))})
+        assert content(t.current("x")) == sorted([("a", batch), *((f"k{b}", b) for b in range(batch + 1))])
+        assert content(t.current("y")) == [("read", batch)]
+    assert content(t.current("x", None, spark.createDataFrame([("k1",), ("zz",)], "k string"))) == [("k1", 1)]
+    assert content(t.current("x", 3, spark.createDataFrame([("a",)], "k string"))) == [("a", 2)]
 
 
-def test_listener_keeps_the_ledger(spark, folder):
-    def event(batch, end):
-        source = SimpleNamespace(endOffset=json.dumps({"t": end}))
-        return SimpleNamespace(progress=SimpleNamespace(name="g", batchId=batch, sources=[source]))
-    table = ledger.ledger_table(spark, folder)
-    listener = OffsetListener(spark, {"g": table})
-    listener.onQueryProgress(event(0, {"0": 5, "1": 6}))
-    listener.onQueryProgress(event(1, {"0": 9, "1": 6}))
-    assert content(table.read()) == [("g", "t", 0, 9), ("g", "t", 1, 6)]
+def test_tables_belong_to_one_query(spark, folder):
+    t = BatchTables(spark, folder, {"x": "`k` string, `v` int"})
+
+    def run(checkpoint):
+        stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", "1").load()
+        stream.writeStream.foreachBatch(lambda _, batch: t.commit(batch, {"x": rows(spark, ("a", batch))})).option(
+            "checkpointLocation", f"{folder}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
+
+    run("one")
+    run("one")
+    before = t.read("x").count()
+    with pytest.raises(Exception, match="belongs to the streaming query"):
+        run("two")
+    assert t.read("x").count() == before > 0
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(spark.sparkContext, "master", "spark://host:7077")
+        assert files.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+        m.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            files.shared_folder(spark)
+
+
+def test_plan_of_a_lookup_restricts_before_it_ranks(spark, folder):
+    t = KeyedTable(spark, folder, ["k"], "`k` string, `v` int")
+    for batch in range(3):
+        t.upsert(rows(spark, ("a", batch), ("b", batch)), batch)
+    plan = t.lookup(spark.createDataFrame([("a",)], "k string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")
 
 
 @pytest.fixture
