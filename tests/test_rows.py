@@ -156,6 +156,14 @@ def test_plans_prune_and_combine(spark):
     assert "Window" not in flags and "partial_min" in flags
 
 
+def test_first_orders_need_no_sorting(spark):
+    orders = spark.createDataFrame([(-5, 1, "2021-01-01 10:00:00"), (9, 1, "2021-01-01 09:59:59"), (2**62, 2, "2021-01-01 00:00:00"),
+                                    (3, 2, None), (7, 3, "2021-01-01 00:00:00"), (-(2**62), 3, "2021-01-01 00:00:00")], "id long, user_id long, create_time string")
+    firsts = dwd.first_orders(orders)
+    assert {r.user_id: r.first_order_id for r in firsts.collect()} == {1: 9, 2: 3, 3: -(2**62)}
+    assert "SortAggregate" not in firsts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_and_ddl():
     assert ddl(SKU_INFO[:2]) == "`id` string, `spu_id` string"
     assert len(names(ORDER_INFO)) == 19
