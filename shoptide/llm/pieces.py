@@ -14,6 +14,7 @@ merge, as the library does. Repeated rows, empty tables and further columns pass
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 from collections.abc import Iterator
@@ -26,25 +27,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoptide.llm.common import slices
+from shoptide.llm.common import fresh, slices
 
 SPACE = "\u2581"
-MAX_CACHED = 400_000
+#: Fixed value: what stands for the unknown id in a decoded text.
+UNKNOWN = " \u2047 "
+IDS = T.ArrayType(T.IntegerType())
+MAX_CACHED = 300_000
 MAX_CACHED_LENGTH = 64
 
 
 class Pieces:
     """The tables of a model. Small: its size is that of the vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int], controls: list[int], end_id: int, splits=None):
+    def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int], controls: list[int], end_id: int, unknown: int, splits=None):
         """``pieces``: text, id and score of what may be merged; ``byte_ids``: the id of each byte."""
-        self.byte_ids, self.controls, self.end_id = byte_ids, controls, end_id
+        self.byte_ids, self.controls, self.end_id, self.unknown = byte_ids, controls, end_id, unknown
         self.pieces = pieces
         if splits:
             self.splits = splits
 
     def __reduce__(self):
-        return Pieces, (self.pieces, self.byte_ids, self.controls, self.end_id, self.splits)
+        return Pieces, (self.pieces, self.byte_ids, self.controls, self.end_id, self.unknown, self.splits)
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -58,7 +62,7 @@ class Pieces:
         other = [i for i in ids if model.is_control(i) or model.is_unknown(i)]
         skip = {*byte_ids.values(), *other}
         pieces = [(model.id_to_piece(i), i, model.get_score(i)) for i in ids if i not in skip]
-        return Pieces(pieces, [byte_ids[b] for b in range(256)], other, model.eos_id())
+        return Pieces(pieces, [byte_ids[b] for b in range(256)], other, model.eos_id(), model.unk_id())
 
     @cached_property
     def rank(self) -> dict[str, int]:
@@ -212,6 +216,7 @@ class Pieces:
         """All surfaces one after another, the start of each id's and its length; control ids have none."""
         words = {i: text.replace(SPACE, " ").encode() for text, i, _ in self.pieces}
         words |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        words[self.unknown] = UNKNOWN.encode()
         size = max([*words, *self.controls]) + 1
         lengths = np.array([len(words.get(i, b"")) for i in range(size)], dtype=np.int64)
         return np.frombuffer(b"".join(words.get(i, b"") for i in range(size)), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
@@ -253,51 +258,64 @@ def _shared(spark, path: str):
     return spark.sparkContext.broadcast(model(path))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
-    """``docs`` with the column ``ids`` (array of int) in place of ``text``."""
+def _encoded(known: Pieces, texts: pa.Array, end: bool) -> pa.ListArray:
+    tail = _packed([known.end_id]) if end else b""
+    found = [known.encode(text or "") + tail for text in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
+
+
+def _decoded(known: Pieces, ids: pa.ListArray) -> pa.Array:
+    """All surfaces are copied at once; then each text is cut out."""
+    codecs.register_error("each byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+    data, starts, lengths = known.surfaces
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    width = lengths[flat]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    out = data[np.arange(ends[-1], dtype=np.int64) + np.repeat(starts[flat] - ends[:-1], width)].tobytes()
+    cuts = ends[bounds]
+    shown = flat[width > 0]
+    first = np.concatenate([[0], np.cumsum(width > 0)])[bounds[:-1]]
+    texts = []
+    for a, b, i in zip(cuts[:-1], cuts[1:], first):
+        part = out[a:b].decode("utf-8", "each byte")
+        texts.append(part[1:] if part.startswith(" ") and shown[i] != known.unknown else part)
+    return pa.array(texts, pa.string())
+
+
+def _added(docs: DataFrame, path: str, read: str, fields: list[T.StructField], drop: bool, work) -> DataFrame:
+    """``docs`` with the columns ``fields``, which ``work`` makes from a batch of the column ``read``."""
     sent = _shared(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c not in (text, ids)]
-    n = len(kept)
+    kept = [c for c in docs.columns if c not in [f.name for f in fields] and not (drop and c == read)]
+    n, names = len(kept), [*kept, *[f.name for f in fields]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        tail = np.array([known.end_id], dtype=np.int32).tobytes() if end else b""
-        for batch in slices(batches, n):
-            found = [known.encode(t or "") + tail for t in batch.column(n).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], column], names=[*batch.schema.names[:n], ids])
+        for batch in slices(batches, n, 1 << 20):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *work(sent.value, batch.column(n))], names=names)
+
+    source, = fresh(docs, "source")
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
+    return docs.select(*[docs[c] for c in kept], docs[read].alias(source)).mapInArrow(run, schema)
 
-    wanted = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias(text))
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return wanted.mapInArrow(run, schema)
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
+    """``docs`` with the column ``ids`` (array of int) in place of ``text``."""
+    return _added(docs, path, text, [T.StructField(ids, IDS)], True, lambda known, column: [_encoded(known, column, end)])
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``docs`` with the column ``text``, the text of ``ids``; ``ids`` stay. Bytes that are not UTF-8 become U+FFFD."""
-    sent, at = _shared(docs.sparkSession, path), docs.columns.index(ids)
+    """``docs`` with the column ``text``, the text of ``ids``; ``ids`` stay. Each byte that is not UTF-8 becomes U+FFFD."""
+    return _added(docs, path, ids, [T.StructField(text, T.StringType())], False, lambda known, column: [_decoded(known, column)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        data, starts, lengths = known.surfaces
-        for batch in slices(batches, at, 1 << 20):
-            column = batch.column(at)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            width = lengths[flat]
-            ends = np.concatenate([[0], np.cumsum(width)])
-            source = np.arange(ends[-1], dtype=np.int64) + np.repeat(starts[flat] - ends[:-1], width)
-            out = data[source].tobytes()
-            cuts = ends[bounds]
-            texts = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                part = out[a:b].decode("utf-8", "replace")
-                texts.append(part[1:] if part.startswith(" ") else part)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())])
-    return docs.mapInArrow(run, schema)
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", end: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` in place of ``text``, and ``decoded``, the text of these ids: both in one pass."""
+    def work(known: Pieces, column: pa.Array) -> list[pa.Array]:
+        found = _encoded(known, column, end)
+        return [found, _decoded(known, found)]
+
+    return _added(docs, path, text, [T.StructField(ids, IDS), T.StructField(decoded, T.StringType())], True, work)
 
 
 def ids_digest(ids: Column) -> Column:

@@ -12,8 +12,7 @@ from shoptide.llm.stages import tokenizer_path
 
 def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    path = tokenizer_path()
-    decoded = pieces.decode(pieces.encode(docs, path), path)
+    decoded = pieces.round_trip(docs, tokenizer_path())
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), pieces.ids_digest(F.col("ids")).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptide.llm import language, mixing, near_texts, pieces, secret_scan
+from shoptide.llm.common import fresh
 
 #: Below this share of belief in the best language, a document's language is not known.
 LEAST_SCORE = 0.5
@@ -32,13 +33,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group of near copies: the one with the smallest doc_id. Rows that take no part stay."""
     kept = near_texts.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     part = docs.where("doc_id is not null and text is not null")
-    once = part.withColumn("_text", F.xxhash64("text")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    text, = fresh(docs, "text_hash")
+    once = part.withColumn(text, F.xxhash64("text")).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", text])
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null or text is null"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced by a mark."""
-    spans = "_secrets"
+    spans, = fresh(docs, "secrets")
     found = secret_scan.scan(docs, spans=spans)
     clean = secret_scan.redacted(F.col("text"), F.col(spans))
     changed = {"text": clean, **({"n_chars": F.when(F.size(spans) > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
@@ -53,8 +55,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` of every document, and ``exact``: whether decoding gives its text again."""
-    path = tokenizer_path()
     kept = docs.select("doc_id", "lang", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
-    found = pieces.decode(pieces.encode(kept, path), path)
+    found = pieces.round_trip(kept, tokenizer_path())
     return found.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                         (F.xxhash64("decoded") == F.col("_text")).alias("exact"))
