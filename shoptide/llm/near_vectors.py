@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from shoptide.llm.common import components, saved
 from shoptide.llm.vectors import by_dimension, grouped, lists, units, valid, values, vectors_of, with_key
+from shoptide.sinks import files
 
 TABLES = 16
 
@@ -78,7 +79,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 20_0
     usable = valid(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = with_key(plain.where(usable), "embedding")
     classes = keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    classes, classes_at = saved(classes)
+    classes, _ = saved(classes)
     few = classes.orderBy(F.xxhash64("rep", F.lit(seed))).limit(sample).select("embedding")
     by_size: dict[int, list] = {}
     for row in few.toLocalIterator():
@@ -145,7 +146,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 20_0
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[reach[some]])], names=["rep", "links", "low_rep"])
 
     found = grouped(met, [*group, "low", "high"], link, "rep long, links long, low_rep long")
-    found, found_at = saved(found)
+    found, _ = saved(found)
+    files.remove(spark, coded_at)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("low_rep").alias("b")).distinct())
     results = (classes.select(*key, "rep", "n").join(counts, "rep", "left")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoptide.llm.common import saved
+from shoptide.sinks import files
 
 Rules = tuple[tuple[str, str, str], ...]
 #: Verdict, host, path.
@@ -75,7 +76,7 @@ def templates(paths: DataFrame, depth: int = 6, min_values: int = 5, max_share:
     pieces = F.filter(F.split("path", "/"), lambda s: s != "")
     cut = F.when(F.size(pieces) > depth, F.concat(F.slice(pieces, 1, depth), F.array(F.lit("{rest}")))).otherwise(pieces)
     rows = paths.withColumn("_parts", cut).withColumn("template", F.lit(""))
-    rows, _ = saved(rows)
+    rows, rows_at = saved(rows)
     deepest = rows.agg(F.max(F.size("_parts")).alias("deepest")).first()["deepest"] or 0
     for level in range(deepest):
         here = F.get("_parts", F.lit(level))
@@ -84,7 +85,7 @@ def templates(paths: DataFrame, depth: int = 6, min_values: int = 5, max_share:
         reached = rows.where("_here is not null").withColumn("_after", after)
         values = reached.groupBy("host", "template", "_shape", "_here", "_after").agg(
             *[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")])
-        values, _ = saved(values)
+        values, values_at = saved(values)
         # Which shapes vary at a node.
         by_value = values.groupBy("host", "template", "_shape", "_here").agg(F.sum("n").alias("n"))
         shapes = by_value.groupBy("host", "template", "_shape").agg(
@@ -122,7 +123,10 @@ def templates(paths: DataFrame, depth: int = 6, min_values: int = 5, max_share:
         step = (F.when(F.col("_here").isNull(), "").when(F.col("_wild"), F.concat(F.lit("/{"), "_shape", F.lit("}")))
                 .otherwise(F.concat(F.lit("/"), F.coalesce("_merged", "_here"))))
         rows = rows.withColumn("template", F.concat("template", step)).drop("_shape", "_here", "_wild", "_merged")
-        rows, _ = saved(rows)
+        rows, next_at = saved(rows)
+        for path in (rows_at, values_at):  # both are in the rows just written
+            files.remove(paths.sparkSession, path)
+        rows_at = next_at
     return rows.drop("_parts")
 
 
