@@ -78,17 +78,19 @@ class Warehouse:
         """Messages of a job that could not be read."""
         return BatchTables(self.spark, f"{self.root}/quarantine/{group}", {"messages": "`value` string"})
 
-    def readable(self, group: str, batch_id: int, *parsed: tuple[DataFrame, str]) -> list[DataFrame]:
-        """The rows that have their key; the messages of all others go to the quarantine of the batch.
-
-        Rows are parsed with their message, ``value``, kept.
-        """
+    def readable(self, group: str, batch_id: int, *frames: tuple[DataFrame, str]) -> list[DataFrame]:
+        """The rows that have their key; the messages of all others, which ``parsed`` keeps as ``value``, go to the quarantine of the batch."""
         bad = None
-        for rows, key in parsed:
+        for rows, key in frames:
             left_out = rows.where(unreadable(rows, key)).select("value")
             bad = left_out if bad is None else bad.unionByName(left_out)
         self.quarantine(group).commit(batch_id, {"messages": bad})
-        return [rows.where(~unreadable(rows, key)).drop("value") for rows, key in parsed]
+        return [rows.where(~unreadable(rows, key)).drop("value") for rows, key in frames]
+
+
+def parsed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows parsed with their message, ``value``, of which only unreadable ones are kept, so that rows can be held instead of messages."""
+    return rows.withColumn("value", F.when(unreadable(rows, key), F.col("value")))
 
 
 def route_arrays(w: Warehouse, topic: str, group: str = "ods_array") -> Pipeline:
@@ -116,9 +118,9 @@ def sync_dimensions(w: Warehouse, group: str = "dim_sync") -> Pipeline:
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            parsed = [(parse_strict(batch.where(F.col("topic") == topic), entity, keep=("timestamp", "offset", "value")), entity[0][0])
-                      for topic, entity in entities.items()]
-            users, provinces, skus, spus, categories, trademarks = w.readable(group, batch_id, *parsed)
+            rows = [(parse_strict(batch.where(F.col("topic") == topic), entity, keep=("timestamp", "offset", "value")), entity[0][0])
+                    for topic, entity in entities.items()]
+            users, provinces, skus, spus, categories, trademarks = w.readable(group, batch_id, *rows)
             w.users.upsert(dim.derive_user(users, w.as_of), batch_id, NEWEST)
             w.provinces.upsert(provinces, batch_id, NEWEST)
             w.spus.upsert(spus, batch_id, NEWEST)
@@ -136,8 +138,8 @@ def sync_dimensions(w: Warehouse, group: str = "dim_sync") -> Pipeline:
 def detail_facts(w: Warehouse, group: str = "dwd_order_detail") -> Pipeline:
     """Details with their SKU columns."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(batch):
-            details, = w.readable(group, batch_id, (parse_lenient(batch, ORDER_DETAIL, keep=("value",)), "id"))
+        with held(parsed(parse_lenient(batch, ORDER_DETAIL, keep=("value",)), "id")) as rows:
+            details, = w.readable(group, batch_id, (rows, "id"))
             skus = w.skus.lookup(details.select(F.col("sku_id").cast("string").alias("id")).distinct())
             w.send(to_value(dwd.enrich_detail(details, skus), "dwd_order_detail", "id"), batch_id, group)
 
@@ -150,9 +152,8 @@ def order_facts(w: Warehouse, group: str = "dwd_order_info") -> Pipeline:
     User status is read as it was before this batch, so a replay flags the same orders. Of the users only those of the batch are read.
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(batch):
-            rows, = w.readable(group, batch_id, (parse_lenient(batch, ORDER_INFO, keep=("value",)), "id"))
-            orders = order_times(rows)
+        with held(parsed(parse_lenient(batch, ORDER_INFO, keep=("value",)), "id")) as rows:
+            orders = order_times(w.readable(group, batch_id, (rows, "id"))[0])
             users = orders.select(F.col("user_id").cast("string").alias("user_id")).distinct()
             with held(users):
                 status = w.user_status.lookup(users, batch_id)
@@ -173,12 +174,10 @@ def wide_orders(w: Warehouse, group: str = "dws_order_wide") -> Pipeline:
     fall into batches, on how far one of the topics is behind, or on clocks.
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(batch):
-            keep = ("value", "timestamp", "offset")
-            infos, details = w.readable(
-                group, batch_id,
-                (parse_strict(batch.where("topic = 'dwd_order_info'"), ORDER_INFO, keep=keep), "id"),
-                (parse_strict(batch.where("topic = 'dwd_order_detail'"), ORDER_DETAIL, keep=keep), "id"))
+        keep = ("value", "timestamp", "offset")
+        with held(batch), held(parsed(parse_strict(batch.where("topic = 'dwd_order_info'"), ORDER_INFO, keep=keep), "id")) as a, \
+                held(parsed(parse_strict(batch.where("topic = 'dwd_order_detail'"), ORDER_DETAIL, keep=keep), "id")) as b:
+            infos, details = w.readable(group, batch_id, (a, "id"), (b, "id"))
             arrived = dim.latest(infos, ["id"], NEWEST).select(*names(ORDER_INFO))
             ids = arrived.select(F.col("id").alias("order_id")).union(details.select("order_id")).distinct()
             with held(arrived), held(ids), held(w.lines.lookup(ids, batch_id)) as lines:
@@ -226,10 +225,10 @@ def trademark_amounts(w: Warehouse, group: str = "ads_order_wide", stamp: Callab
                       database: Database | None = None) -> Pipeline:
     """Sum of each batch by trademark, which replaces one of the same time and trademark, saved together with the batch it was read up to."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(batch):
-            wanted = only(ORDER_WIDE, "order_detail_id", "tm_id", "tm_name", "final_detail_amount")
-            no_default = [(name, kind, None if name == "order_detail_id" else default) for name, kind, default in wanted]
-            wide, = w.readable(group, batch_id, (parse_strict(batch, no_default, keep=("value",)), "order_detail_id"))
+        wanted = only(ORDER_WIDE, "order_detail_id", "tm_id", "tm_name", "final_detail_amount")
+        no_default = [(name, kind, None if name == "order_detail_id" else default) for name, kind, default in wanted]
+        with held(parsed(parse_strict(batch, no_default, keep=("value",)), "order_detail_id")) as rows:
+            wide, = w.readable(group, batch_id, (rows, "order_detail_id"))
             amounts = ads.trademark_amount(wide.dropDuplicates(["order_detail_id"]), stamp and stamp(batch_id))
             read = w.spark.createDataFrame([(group, batch_id)], READ_UP_TO)
             if database is None:
