@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shoptide.llm import chat, licences
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -33,4 +35,74 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES = {"op7_mixing": MIXING}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licences() -> str:
+    known = ", ".join(f"{_quoted(words)}: {_quoted(name)}" for name, words in licences.SENTENCES.items())
+    ids = """list_filter(list_transform(list_filter(string_split_regex(body, {cut}), lambda s: regexp_matches(lower(s), {anchors})),
+      lambda s: known[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL)"""
+    by = {name: ids.format(cut=_quoted(cut), anchors=_quoted(licences.ANCHORS)) for name, cut in (("lines", licences.BY_LINE), ("paragraphs", licences.BY_PARAGRAPH))}
+    steps, rules, kinds = ["step0 AS (SELECT *, array_to_string(ids, ' ') || ' ' AS left0 FROM chosen)"], [], []
+    for k, (name, licence, _, sequences) in enumerate(licences.RULES):
+        pattern = _quoted("|".join("".join(f"{i} " for i in sequence) for sequence in sequences))
+        steps.append(f"step{k + 1} AS (SELECT *, regexp_matches(left{k}, {pattern}) AS fits{k}, regexp_replace(left{k}, {pattern}, ' ', 'g') AS left{k + 1} FROM step{k})")
+        rules.append(f"CASE WHEN fits{k} THEN {_quoted(name)} END")
+        kinds.append((licence, f"fits{k}"))
+    # A licence stands at the place of the first of its rules that fits.
+    places = ", ".join(f"CASE WHEN {f} THEN {_quoted(x)} END" for x, f in kinds)
+    return f"""
+WITH dictionary AS (SELECT MAP {{{known}}} AS known),
+bodies AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), {_quoted(licences.ANCHORS)}) THEN text ELSE '' END AS body, known FROM documents, dictionary),
+split AS (SELECT doc_id, {by["lines"]} AS lines, {by["paragraphs"]} AS paragraphs FROM bodies),
+chosen AS (SELECT doc_id, CASE WHEN len(lines) >= len(paragraphs) THEN lines ELSE paragraphs END AS ids FROM split),
+{", ".join(steps)},
+found AS (SELECT *, list_filter([{", ".join(rules)}], lambda x: x IS NOT NULL) AS all_rules, list_filter([{places}], lambda x: x IS NOT NULL) AS all_kinds FROM step{len(licences.RULES)})
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentences, array_to_string(all_rules, ',') AS rules,
+  array_to_string(list_filter(all_kinds, lambda x, i: list_position(all_kinds, x) = i), ',') AS licences
+FROM found
+"""
+
+
+def _chat() -> str:
+    def escaped(column: str) -> str:
+        out = f"replace({column}, chr(92), chr(92) || chr(92))"
+        for control in chat.CONTROLS:
+            out = f"replace({out}, {_quoted(control)}, {_quoted(control[0])} || chr(92) || {_quoted(control[1:])})"
+        return out
+
+    fixed = len(chat.START + chat.BETWEEN + chat.END)
+    said = _quoted("</s>[INST] ok [/INST]")
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {said} UNION ALL SELECT -7, 1, 'assistant', {said}
+), sums AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length({escaped("role")}) + length({escaped("text")}) + {fixed})::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM sums
+"""
+
+
+#: Compares all pairs of a label: for the sizes at which results are compared.
+NEAR_VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM usable UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least_of l ON e.vec_id = l.a LEFT JOIN counts c ON e.vec_id = c.a
+"""
+
+ORACLES = {"op5_near_vectors": NEAR_VECTORS, "op7_mixing": MIXING, "op9_licences": _licences(), "op10_chat": _chat()}
