@@ -142,10 +142,10 @@ def judge(pages: DataFrame, rules: Rules = RULES, purity: float = 0.9, min_label
     found = templates(paths, **tree)
     counts = found.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     hosts = counts.groupBy("host").agg(F.sum("b").alias("host_b"), F.sum("a").alias("host_a"))
-    overall = hosts.agg(((F.sum("host_b") + 1) / (F.sum("host_b") + F.sum("host_a") + 2)).alias("overall"))
-    of_host = (F.col("host_b") + weight * F.col("overall")) / (F.col("host_b") + F.col("host_a") + weight)
+    overall = hosts.agg(((F.sum("host_b") + 1) / (F.sum("host_b") + F.sum("host_a") + 2)).alias("overall")).scalar()
+    of_host = (F.col("host_b") + weight * overall) / (F.col("host_b") + F.col("host_a") + weight)
     smoothed = (F.col("b") + weight * of_host) / (F.col("b") + F.col("a") + weight)
-    scored = counts.join(hosts, "host").crossJoin(F.broadcast(overall)).select(  # one row with one number
+    scored = counts.join(hosts, "host").select(
         "host", "template", smoothed.alias("template_purity"), ((F.col("b") + F.col("a") >= min_labels) & (smoothed >= purity)).alias("_reject"))
     of_path = found.select("host", "path", "template").join(scored, ["host", "template"])
     verdict = F.coalesce("_rule.verdict", F.when(F.col("_reject"), "block").otherwise("allow"))
