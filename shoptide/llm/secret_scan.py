@@ -2,8 +2,11 @@
 
 Fixed patterns give the base spans. The method adds stretches of encoded characters that look random:
 
-1. A candidate is a whole run of encoded characters; its encoding (hexadecimal, base 32, base 36, base 64 and its form for URLs) is
-   inferred from the characters it has and must have the length at which the tests have power. Runs of letters or digits alone are no candidates.
+1. A candidate is a whole run of the characters of an alphabet: of base 64, of its form for URLs, or of letters and digits alone, so that what
+   stands behind ``NAME=``, in a path or behind a prefix is also tested by itself. ``=`` belongs to a run only as padding at its end. Its encoding
+   (hexadecimal, base 32, base 36, base 64 and its form for URLs) is inferred from the characters it has and must have the length at which the tests
+   have power. Runs of letters or digits alone are no candidates. Of secrets inside one another the longest stays, as a secret may hold separators;
+   one inside an ordinary candidate takes it whole unless only names, like those of a path, are around it.
 2. Three tests ask whether its symbols are evenly distributed: chi-squared over the alphabet, runs above and below the middle, correlation
    of neighbours. The smallest p-value, times three, is the candidate's.
 3. A small p-value means ordinary text. Which ones are small enough is found per length class over the whole corpus by
@@ -29,7 +32,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
+#: Whole runs of each alphabet with the padding its encodings allow; one character that goes on after ``=`` makes that a separator.
+RUNS = tuple(rf"[{letters}]{{24,}}(?:={{1,{padding}}}(?![A-Za-z0-9+/_=-]))?" for letters, padding in (("A-Za-z0-9+/", 2), ("A-Za-z0-9_-", 2), ("A-Za-z0-9", 6)))
+#: What stands around a secret, between separators, and is not a part of it.
+NAME, BETWEEN = r"^(?:|v[0-9]{1,3}|(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})[0-9]{0,4})$", "[/_=-]+"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encoding: pattern of a whole candidate, its alphabet, the least length. The first that fits is inferred.
 ENCODINGS = (
@@ -130,7 +137,7 @@ def p_value(token: Column) -> Column:
 
 def _candidates(text: Column) -> Column:
     """(start, place, end, token, p) of every candidate."""
-    spans = _where(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 24, "random"))
+    spans = _where(text.rlike(CANDIDATE), F.array_distinct(F.concat(*[_spans(text, run, 24, "random") for run in RUNS])))
     tested = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"),
         p_value(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("p")))
@@ -174,12 +181,20 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.05, spans: str = "
     limits = F.array(*[F.lit(x) for x in thresholds(docs, text, rate)])
     base = base_spans(body)
     ordinary = lambda s: s["p"] <= F.get(limits, _length_class(s["end"] - s["start"]))
-    random = F.transform(F.filter(_candidates(body), lambda s: ~ordinary(s)), lambda s: F.struct(
-        s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end")))
     docs = docs.drop(spans)
-    b_name, r_name = fresh(docs, "base", "random")
-    both = docs.select("*", base.alias(b_name), random.alias(r_name))
-    added = F.filter(both[r_name], lambda s: ~F.exists(both[b_name], lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    b_name, c_name, r_name, t_name = fresh(docs, "base", "candidates", "random", "body")
+    first = docs.select("*", body.alias(t_name), base.alias(b_name), _candidates(body).alias(c_name))
+    around = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+    part = lambda a, b: F.split(F.substring(first[t_name], a + 1, b - a), BETWEEN)
+    beside = lambda s, o: F.concat(part(o["start"], s["start"]), part(s["end"], o["end"]))
+    named = lambda s, o: F.forall(beside(s, o), lambda x: x.rlike(NAME)) & F.exists(beside(s, o), lambda x: x != "")
+    span = lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"))
+    whole = lambda s: F.aggregate(F.filter(first[c_name], lambda o: around(s, o) & ~named(s, o)), span(s), lambda a, o: F.when(
+        o["end"] - o["start"] > a["end"] - a["start"], span(o)).otherwise(a))
+    random = F.array_distinct(F.transform(F.filter(first[c_name], lambda s: ~ordinary(s)), whole))
+    both = first.select(*[first[c] for c in docs.columns], first[b_name], random.alias(r_name))
+    added = F.filter(both[r_name], lambda s: ~F.exists(both[b_name], lambda b: around(s, b))
+                     & ~F.exists(both[r_name], lambda o: around(s, o) & (o["end"] - o["start"] > s["end"] - s["start"])))
     return both.select(*[both[c] for c in docs.columns], F.array_sort(F.concat(both[b_name], added)).alias(spans))
 
 

@@ -65,6 +65,25 @@ def test_random_strings_are_found_and_ordinary_ones_are_not(spark):
     assert not any(s.place == 3 for i in range(len(random_tokens), len(found)) for s in found[i].spans)
 
 
+def test_secrets_behind_names_and_in_paths_are_found(spark):
+    random_tokens, ordinary = corpus(random.Random(5))
+    rng = random.Random(6)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(40)]
+    layouts = ["SECRET_KEY={}", "AWS_SECRET_ACCESS_KEY={}", "get /api_v1/{} now", "GET /items?key={}&page=2", "x={}==", "sk_live/{}", "a/b_c-{}/d_e"]
+    texts = [layout.format(key) for key in keys for layout in layouts]
+    texts += [f"SECRET_KEY={t}" for t in random_tokens] + ordinary + [f"/api_v1/{t}" for t in ordinary]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.scan(docs).withColumn("clean", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    held = [(i, key) for i, key in enumerate(k for k in keys for _ in layouts)] + [(len(keys) * len(layouts) + i, t) for i, t in enumerate(random_tokens)]
+    assert sum(t not in found[i].clean for i, t in held) >= 0.93 * len(held)
+    for k, layout in enumerate(layouts):
+        clean = [found[i].clean for i in range(k, len(keys) * len(layouts), len(layouts))]
+        assert sum(key not in c for key, c in zip(keys, clean)) >= 0.85 * len(keys), layout
+        if k in (0, 1, 3):
+            assert sum(c == layout.format("[SECRET]") for c in clean) >= 0.85 * len(keys)
+    assert not any(s.place == 3 for i in range(len(held), len(texts)) for s in found[i].spans)
+
+
 def test_redaction_joins_overlapping_spans(spark):
     row = spark.createDataFrame([("0123456789",)], "text string").withColumn("spans", F.expr(
         "array(named_struct('start',2,'place',0,'end',5), named_struct('start',3,'place',2,'end',4), named_struct('start',4,'place',2,'end',6),"
