@@ -2,7 +2,8 @@
 
 A text is split into sentences, at ends of sentences and at line breaks; each is normalised (lower case, letters and digits, single spaces) and looked up
 among known licence sentences. The identifiers found, in order, are matched against ordered rules, each a sequence of
-identifiers: the first rule that fits takes its identifiers, and the next one looks at what is left. Sentences that run over
+identifiers: the first rule that fits takes its identifiers, and the next one looks at what is left. A sentence that has a colon or semicolon inside,
+like an SPDX line, is looked up together with the part behind it. Sentences that run over
 several lines are found by a second splitting that keeps lines of a paragraph together.
 
 A sentence without one of the words all known sentences share is not normalised at all. Nulls: a null text has no sentences. Texts are read whole;
@@ -78,6 +79,17 @@ RULES = (
 )
 #: Every known sentence has one of these.
 ANCHORS = "licen|permission|copyright|warrant|redistribut|reserved"
+#: SPDX lines of licences beside those above, and the rules they also fit.
+SPDX = {
+    "GPL6": ("spdx license identifier gpl 3 0 only", "gpl-3-notice"),
+    "NCC4": ("spdx license identifier cc by nc 4 0", "cc-by-nc"),
+    "CCB3": ("spdx license identifier cc by 4 0", "cc-by"),
+    "CCS3": ("spdx license identifier cc by sa 4 0", "cc-by-sa"),
+    "BSD6": ("spdx license identifier bsd 3 clause", "bsd-3-notice"),
+    "BSD7": ("spdx license identifier bsd 2 clause", "bsd-2-text"),
+}
+#: First parts, as written, of known sentences that a colon or semicolon cuts in two.
+HEADS = r"(?:spdx-license-identifier|this\s[^a-z0-9]*program\s[^a-z0-9]*is\s[^a-z0-9]*free\s[^a-z0-9]*software)$"
 SENTENCE_END = r"[.!?;:]+(?:[ \t\r\n]+|$)"
 BY_LINE = SENTENCE_END + r"|[\r\n]+"
 BY_PARAGRAPH = SENTENCE_END + r"|\n[^A-Za-z0-9\n]*\n"
@@ -89,9 +101,15 @@ def normalised(sentence: Column) -> Column:
 
 def sentence_ids(text: Column, cut: str) -> Column:
     """Identifiers of the known sentences of ``text`` in order."""
-    known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
-    parts = F.filter(F.split(text, cut, -1), lambda s: F.lower(s).rlike(ANCHORS))
-    return F.filter(F.transform(parts, lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
+    names = {**SENTENCES, **{name: words for name, (words, _) in SPDX.items()}}
+    known = F.create_map(*[F.lit(x) for name, words in names.items() for x in (words, name)])
+    parts, cuts = F.split(text, cut, -1), F.regexp_extract_all(text, F.lit(f"(?:{cut})"), F.lit(0))
+    following = F.zip_with(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), cuts, lambda p, c: F.when(c.rlike("^[;:]"), p))
+    joined = lambda s, after: F.lower(s).rlike(HEADS) & after.isNotNull()
+    found = F.zip_with(parts, following, lambda s, after: F.coalesce(
+        F.when(joined(s, after), F.try_element_at(known, F.concat_ws(" ", normalised(s), normalised(after)))),
+        F.when(F.lower(s).rlike(ANCHORS), F.try_element_at(known, normalised(s)))))
+    return F.filter(found, lambda i: i.isNotNull())
 
 
 def _rule_pattern(sequences: tuple[tuple[str, ...], ...]) -> str:
@@ -109,7 +127,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     left = F.concat(F.array_join(ids, " "), F.lit(" "))
     fits = []
     for name, licence, kind, sequences in RULES:
-        pattern = _rule_pattern(sequences)
+        pattern = _rule_pattern(sequences + tuple((i,) for i, (_, rule) in SPDX.items() if rule == name))
         fits.append(F.when(left.rlike(pattern), F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"))))
         left = F.regexp_replace(left, pattern, " ")
     found = listed.select("*", F.array_compact(F.array(*fits)).alias(matched))

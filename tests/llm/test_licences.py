@@ -64,6 +64,33 @@ def test_rules_look_at_sequences_in_order(spark):
     assert [r.licences for r in rows][:3] == ["Apache-2.0", "Apache-2.0", "CC-BY-NC-4.0,MIT"]
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+SPDX = {"MIT": "mit-notice", "Apache-2.0": "apache-notice", "GPL-3.0-or-later": "gpl-3-header", "GPL-3.0-only": "gpl-3-notice", "CC-BY-NC-4.0": "cc-by-nc",
+        "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "BSD-3-Clause": "bsd-3-notice", "BSD-2-Clause": "bsd-2-text"}
+
+
+def test_sentences_with_a_colon_or_semicolon_inside(spark):
+    texts = [GPL, GPL.replace("software:", "software;"), "".join(f" * {line}\n" for line in GPL.split("\n")), "/*\n" + GPL.replace("\n", "\n# ") + "\n*/",
+             "This program is free software: take it.", "SPDX-License-Identifier:\n\nMIT or so", "SPDX-License-Identifier. MIT"]
+    texts += [line.format(name) for name in SPDX for line in ("SPDX-License-Identifier: {}", "int a;\n// SPDX-License-Identifier: {}\n#include <b>\n",
+                                                              "/* spdx-license-identifier: {} */\nint a;")]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.sentences, r.rules) for r in rows[:4]] == [("GPL3,GPL4", "gpl-3-header")] * 4
+    assert [r.rules for r in rows[4:7]] == [""] * 3
+    assert [(r.rules, r.licences) for r in rows[7:]] == [(rule, name) for name, rule in SPDX.items() for _ in range(3)]
+
+
 def test_odd_rows(spark):
     rows = odd() + [(50, "Released under the MIT License." * 3000, "en", "a"), (50, "\n\nReleased under the MIT License", "en", "a")]
     docs = documents(spark, rows)
