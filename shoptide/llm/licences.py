@@ -4,7 +4,8 @@ A text is split into sentences, at ends of sentences and at line breaks; each is
 among known licence sentences. The identifiers found, in order, are matched against ordered rules, each a sequence of
 identifiers: the first rule that fits takes its identifiers, and the next one looks at what is left. A sentence that has a colon or semicolon inside,
 like an SPDX line, is looked up together with the part behind it. Sentences that run over
-several lines are found by a second splitting that keeps lines of a paragraph together.
+several lines are found by a second splitting that keeps lines of a paragraph together. What both find is united by position in the text; a
+sentence inside another one found is left out.
 
 A sentence without one of the words all known sentences share is not normalised at all. Nulls: a null text has no sentences. Texts are read whole;
 repeated rows each have their result; an empty table gives no rows; all other columns stay, but for those named like the results.
@@ -91,6 +92,7 @@ SPDX = {
 #: First parts, as written, of known sentences that a colon or semicolon cuts in two.
 HEADS = r"(?:spdx-license-identifier|this\s[^a-z0-9]*program\s[^a-z0-9]*is\s[^a-z0-9]*free\s[^a-z0-9]*software)$"
 SENTENCE_END = r"[.!?;:]+(?:[ \t\r\n]+|$)"
+HITS = "array<struct<start:int,back:int,id:string>>"
 BY_LINE = SENTENCE_END + r"|[\r\n]+"
 BY_PARAGRAPH = SENTENCE_END + r"|\n[^A-Za-z0-9\n]*\n"
 
@@ -99,17 +101,35 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def sentence_ids(text: Column, cut: str) -> Column:
-    """Identifiers of the known sentences of ``text`` in order."""
+def sentence_hits(text: Column, cut: str) -> Column:
+    """(start, back, id) of the known sentences of ``text`` in order, from the first letter or digit; ``back`` is the end, negative."""
     names = {**SENTENCES, **{name: words for name, (words, _) in SPDX.items()}}
     known = F.create_map(*[F.lit(x) for name, words in names.items() for x in (words, name)])
     parts, cuts = F.split(text, cut, -1), F.regexp_extract_all(text, F.lit(f"(?:{cut})"), F.lit(0))
     following = F.zip_with(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), cuts, lambda p, c: F.when(c.rlike("^[;:]"), p))
     joined = lambda s, after: F.lower(s).rlike(HEADS) & after.isNotNull()
-    found = F.zip_with(parts, following, lambda s, after: F.coalesce(
-        F.when(joined(s, after), F.try_element_at(known, F.concat_ws(" ", normalised(s), normalised(after)))),
-        F.when(F.lower(s).rlike(ANCHORS), F.try_element_at(known, normalised(s)))))
-    return F.filter(found, lambda i: i.isNotNull())
+    pair = lambda s, after: F.when(joined(s, after), F.try_element_at(known, F.concat_ws(" ", normalised(s), normalised(after))))
+    looked = F.zip_with(parts, following, lambda s, after: F.struct(s.alias("s"), after.alias("after"), pair(s, after).alias("pair"), F.when(
+        F.lower(s).rlike(ANCHORS), F.try_element_at(known, normalised(s))).alias("one")))
+    steps = F.zip_with(looked, cuts, lambda x, c: F.struct(x.alias("x"), F.coalesce(F.length(c), F.lit(0)).alias("gap")))
+    head = lambda s: F.length(s) - F.length(F.regexp_replace(s, "^[^A-Za-z0-9]+", ""))
+    tail = lambda s: F.length(F.regexp_replace(s, "([A-Za-z0-9])[^A-Za-z0-9]+$", "$1"))
+
+    def step(seen: Column, y: Column) -> Column:
+        x, at = y["x"], seen["at"]
+        after = at + F.length(x["s"]) + y["gap"]
+        end = F.when(x["pair"].isNotNull(), after + tail(x["after"])).otherwise(at + tail(x["s"]))
+        hit = F.struct((at + head(x["s"])).alias("start"), (-end).alias("back"), F.coalesce(x["pair"], x["one"]).alias("id"))
+        return F.struct(after.alias("at"), F.when(hit["id"].isNotNull(), F.array_append(seen["hits"], hit)).otherwise(seen["hits"]).alias("hits"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("hits")), step, lambda seen: seen["hits"])
+
+
+def united(lines: Column, paragraphs: Column) -> Column:
+    """Identifiers of the hits of both splittings, in order, without those inside others."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("ids"))
+    return F.aggregate(F.array_sort(F.concat(lines, paragraphs)), start, lambda seen, x: F.when(-x["back"] > seen["end"], F.struct(
+        (-x["back"]).alias("end"), F.array_append(seen["ids"], x["id"]).alias("ids"))).otherwise(seen), lambda seen: seen["ids"])
 
 
 def _rule_pattern(sequences: tuple[tuple[str, ...], ...]) -> str:
@@ -118,12 +138,11 @@ def _rule_pattern(sequences: tuple[tuple[str, ...], ...]) -> str:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``sentences`` (identifiers), ``rules`` and ``licences``, each in order and joined by commas, and ``n_sentences``."""
-    body = F.when(F.lower(docs[text]).rlike(ANCHORS), docs[text]).otherwise("")
-    docs = docs.drop("n_sentences", "sentences", "rules", "licences")
-    lines, paragraphs, ids, matched = fresh(docs, "lines", "paragraphs", "ids", "matched")
-    split = docs.select("*", sentence_ids(body, BY_LINE).alias(lines), sentence_ids(body, BY_PARAGRAPH).alias(paragraphs))
-    longer = F.when(F.size(lines) >= F.size(paragraphs), F.col(lines)).otherwise(F.col(paragraphs))
-    listed = split.select(*[split[c] for c in docs.columns], longer.alias(ids))
+    docs, body = docs.drop("n_sentences", "sentences", "rules", "licences"), docs[text]
+    ids, matched = fresh(docs, "ids", "matched")
+    # One expression, so that only texts with an anchor are cut.
+    found = F.when(F.lower(body).rlike(ANCHORS), united(sentence_hits(body, BY_LINE), sentence_hits(body, BY_PARAGRAPH)))
+    listed = docs.select("*", F.coalesce(found, F.array().cast("array<string>")).alias(ids))
     left = F.concat(F.array_join(ids, " "), F.lit(" "))
     fits = []
     for name, licence, kind, sequences in RULES:

@@ -91,6 +91,19 @@ def test_sentences_with_a_colon_or_semicolon_inside(spark):
     assert [(r.rules, r.licences) for r in rows[7:]] == [(rule, name) for name, rule in SPDX.items() for _ in range(3)]
 
 
+def test_both_layouts_in_one_document(spark):
+    notices = "Released under the MIT License\nLicensed under CC BY 4.0\nAll rights reserved\n"
+    many = "Licensed under CC BY 4.0\nall rights reserved\n" * 5
+    texts = [HEADER + "\n\n" + notices, many + "\n" + HEADER, "SPDX-License-Identifier: MIT\nx = 1\n\n" + GPL, GPL + "\n\n" + HEADER + "\n" + notices,
+             "This project is\nlicensed under the MIT license\n\nAll rights\nreserved\n\nLicensed under CC BY 4.0\nmore"]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    apache = "APA2,APA3,APA4,APA5,APA6"
+    assert [r.sentences for r in rows] == [f"{apache},MIT1,CCB1,RES1", "CCB1,RES1," * 5 + apache, "MIT7,GPL3,GPL4", f"GPL3,GPL4,{apache},MIT1,CCB1,RES1",
+                                           "MIT3,RES1,CCB1"]
+    assert [r.rules for r in rows] == ["apache-header,cc-by,mit-notice,reserved", "apache-header,cc-by,reserved", "gpl-3-header,mit-notice",
+                                       "apache-header,gpl-3-header,cc-by,mit-notice,reserved", "cc-by,mit-notice,reserved"]
+
+
 def test_odd_rows(spark):
     rows = odd() + [(50, "Released under the MIT License." * 3000, "en", "a"), (50, "\n\nReleased under the MIT License", "en", "a")]
     docs = documents(spark, rows)
