@@ -105,4 +105,39 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, e.vec
 FROM embeddings e LEFT JOIN least_of l ON e.vec_id = l.a LEFT JOIN counts c ON e.vec_id = c.a
 """
 
-ORACLES = {"op5_near_vectors": NEAR_VECTORS, "op7_mixing": MIXING, "op9_licences": _licences(), "op10_chat": _chat()}
+#: Scores every row with every anchor: for the sizes at which results are compared.
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), windows AS (
+  SELECT p.anchor_id, positive_id, positive_score, n.id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM windows WHERE place <= 5
+"""
+
+LINES = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT row, doc_id, i, parts[i] AS line,
+    translate(trim(parts[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row, doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT row, doc_id, string_split(text, chr(10)) AS parts FROM texts))
+), shared AS (
+  SELECT key, min(doc_id) AS first FROM lines WHERE doc_id IS NOT NULL AND length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)
+)
+SELECT l.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (l.doc_id > first))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR l.doc_id IS NULL OR l.doc_id <= first), '')) AS kept_sha256
+FROM lines l LEFT JOIN shared s ON l.key = s.key GROUP BY l.row, l.doc_id
+"""
+
+ORACLES = {"op5_near_vectors": NEAR_VECTORS, "op7_mixing": MIXING, "op9_licences": _licences(), "op10_chat": _chat(), "op11_hard_negatives": HARD_NEGATIVES,
+           "op13_lines": LINES}

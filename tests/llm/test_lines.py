@@ -1,0 +1,115 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from shoptide.llm.line_dedup import Cuckoo, LineIndex
+from tests.llm.data import documents, empty, odd
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    found = "".join(c.lower() if c.isascii() else c for c in line.strip(BLANKS))
+    return found if len(found) >= 10 else None
+
+
+def plain(rows, asked=None):
+    """Who holds each key, then every line in turn."""
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if i is not None and key(line):
+                holders[key(line)].add(i)
+    out = []
+    for i, text in rows if asked is None else asked:
+        lines = (text or "").split("\n")
+        kept = [line for line in lines if i is None or key(line) is None or len(holders[key(line)]) < 2 or i <= min(holders[key(line)])]
+        out.append((repr(i), len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+def result(index, docs):
+    return sorted((repr(r.doc_id), r.n_lines, r.n_dropped, r.kept) for r in index.apply(docs).collect())
+
+
+def made(n, seed):
+    rng = random.Random(seed)
+    lines = [f"Common Line number {k}" for k in range(40)] + ["short", "", "  ", "çommon line ünique", "ÇOMMON LINE ÜNIQUE", "é" * 10, "é" * 9]
+    blank = lambda: "".join(rng.choice(BLANKS.replace("\n", "")) for _ in range(rng.randrange(3)))
+    line = lambda i: rng.choice([f"own line of document {i}", rng.choice(lines), rng.choice(lines).upper(), "in every third document" if i % 3 == 0 else ""])
+    return [(i, "\n".join(blank() + line(i) + blank() for _ in range(rng.randrange(1, 9)))) for i in rng.sample(range(-n, 3 * n), n)]
+
+
+def frame(spark, rows):
+    return documents(spark, [(i, t, "en", "s") for i, t in rows])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_keys": 5, "block_rows": 7}])
+def test_insertions_and_deletions_equal_a_fresh_count(spark, folder, sizes):
+    rows = made(120, 3)
+    first, second, third = rows[:50], rows[50:90], rows[90:]
+    index = LineIndex(spark, f"{folder}/index", **sizes)
+    index.insert(frame(spark, first))
+    assert result(index, frame(spark, first)) == plain(first)
+    index.insert(frame(spark, second))
+    assert result(index, frame(spark, first + second)) == plain(first + second)
+    gone = {i for i, _ in rows[:90] if i % 3 == 0 or i < 0}
+    index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    rest = [r for r in first + second if r[0] not in gone]
+    assert result(index, frame(spark, rest)) == plain(rest)
+    again = LineIndex(spark, f"{folder}/index", **sizes)  # from what is stored
+    again.insert(frame(spark, third + [r for r in first if r[0] in gone]))
+    rest += third + [r for r in first if r[0] in gone]
+    assert result(again, frame(spark, rest)) == plain(rest)
+    again.delete(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"))
+    assert again.counts().count() == again.filters().count() == again.drops().count() == 0
+
+
+def test_counts_are_exact_and_a_failed_insertion_changes_nothing(spark, folder):
+    rows = made(60, 4)
+    index = LineIndex(spark, f"{folder}/index", shard_keys=9)
+    index.insert(frame(spark, rows))
+    held = defaultdict(set)
+    for i, text in rows:
+        for line in text.split("\n"):
+            if key(line):
+                held[key(line)].add(i)
+    got = sorted((r.refs, r["first"], r.last) for r in index.counts().collect())
+    assert got == sorted((len(s), min(s), max(s)) for s in held.values())
+    before = result(index, frame(spark, rows))
+    with pytest.raises(Exception):
+        index.insert(frame(spark, rows).selectExpr("doc_id", "if(doc_id is null, text, raise_error('x')) as text"))
+    assert result(index, frame(spark, rows)) == result(LineIndex(spark, f"{folder}/index"), frame(spark, rows)) == before
+
+
+def test_odd_rows(spark, folder):
+    rows = [(i, t) for i, t, *_ in odd()] + [(30, "a long line here\na long line here"), (31, "x\n A LONG LINE HERE\t\n\n"), (31, "another long line"), (None, "a long line here")]
+    index = LineIndex(spark, f"{folder}/index")
+    index.insert(frame(spark, rows))
+    assert result(index, frame(spark, rows)) == plain(rows)
+    assert result(index, frame(spark, [(99, "a long line here")])) == plain(rows, [(99, "")])[:0] + [("99", 1, 0, "a long line here")]
+    assert index.apply(empty(spark)).count() == 0
+    nothing = LineIndex(spark, f"{folder}/nothing")
+    nothing.insert(empty(spark))
+    assert result(nothing, frame(spark, rows[:3])) == plain(rows[:3])
+
+
+def test_filters_lose_no_key():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-2 ** 63, 2 ** 63 - 1, 30_000)
+    found = Cuckoo()
+    for part in np.array_split(keys, 7):
+        found.add(part)
+    assert found.contains(keys).all()
+    assert found.contains(rng.integers(-2 ** 63, 2 ** 63 - 1, 100_000)).mean() < 0.003
+    found.remove(keys[:20_000])
+    assert found.contains(keys[20_000:]).all() and found.contains(keys[:20_000]).mean() < 0.01
+    found.add(keys[:20_000])
+    assert found.contains(keys).all()
+    alike = Cuckoo()
+    alike.add(np.arange(40) << 50)  # one fingerprint, and one bucket of a small table
+    assert alike.contains(np.arange(40) << 50).all()
+    alike.remove(np.arange(40) << 50)
+    assert not any(t.any() for t in alike.tables)
