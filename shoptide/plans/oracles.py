@@ -138,6 +138,10 @@ WITH {DETAILS}
 SELECT substr('{{"table":"' || CASE WHEN order_id % 13 = 0 THEN 'cart_info' WHEN sku_id % 2 = 0 THEN 'Order_Detail' ELSE 'order_detail' END
               || '","type":"', 1, 20) AS value
 FROM details WHERE order_id % 19 = 0""",
+    "cdc_exact_numbers": f"""
+WITH {DETAILS}
+SELECT 'ods_order_detail' AS topic, id, order_id, CAST(CAST(price_c + 9999999900000000 AS DECIMAL(18,0)) * CAST('0.01' AS DECIMAL(3,2)) AS VARCHAR) AS order_price
+FROM details""",
     "order_info_typed": f"""
 WITH {HEADS}, {TOTALS}
 SELECT id, province_id, order_status, user_id, CAST(final_c AS DOUBLE) / 100 AS final_total_amount,

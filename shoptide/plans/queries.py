@@ -61,6 +61,18 @@ def cdc_array_route(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("topic", "id", "order_id", "sku_num", F.col("order_price").cast("double").alias("price"))
 
 
+def cdc_exact_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose ids and amounts are unquoted numbers, of more digits than a double has, in array and object envelopes."""
+    large = (F.col("order_price") + F.lit("99999999000000.00").cast("decimal(16,2)")).cast("decimal(16,2)")
+    details = ShopTables(spark, folder).order_detail().select("id", "order_id", "sku_num", large.alias("order_price"))
+    row = F.struct("id", "order_id", "sku_num", "order_price")
+    body = lambda data: F.to_json(F.struct(F.lit("order_detail").alias("table"), F.lit("insert").alias("type"), data.alias("data"))).alias("value")
+    half = F.col("sku_num") % 2 == 0
+    rows = ods.parse_array(details.where(half).select(body(F.array(row)))).unionByName(ods.parse_object(details.where(~half).select(body(row))))
+    parsed = parse_lenient(ods.route(rows, ods.ARRAY_OPS), only(ORDER_DETAIL, "id", "order_id", "order_price"), keep=("topic",))
+    return parsed.select("topic", "id", "order_id", F.col("order_price").cast("string").alias("order_price"))
+
+
 def cdc_malformed(spark: SparkSession, folder: str) -> DataFrame:
     return ods.malformed(detail_envelopes(ShopTables(spark, folder)), ods.ARRAY_ENVELOPE).select("value")
 
@@ -297,7 +309,7 @@ def _money_as_double(df: DataFrame) -> DataFrame:
 
 
 BATCH_QUERIES = {f.__name__: f for f in (
-    cdc_array_route, cdc_object_route, cdc_malformed, order_info_typed, order_detail_typed, dim_user, dim_sku,
+    cdc_array_route, cdc_object_route, cdc_malformed, cdc_exact_numbers, order_info_typed, order_detail_typed, dim_user, dim_sku,
     dim_upsert_latest, order_detail_sku, order_first_flag, order_enriched, user_status, order_wide, order_wide_windowed,
     order_wide_share, order_wide_share_chunked, trademark_amount, trademark_amount_windows, trademark_amount_committed, dau_first_start,
     dau_index_upsert, order_index_upsert, offset_ledger)}

@@ -95,19 +95,19 @@ def parsed(rows: DataFrame, key: str) -> DataFrame:
 
 def route_arrays(w: Warehouse, topic: str, group: str = "ods_array") -> Pipeline:
     """Array envelopes to one topic per table."""
-    return _router(w, topic, group, ods.parse_array, ods.ARRAY_ENVELOPE, ods.ARRAY_OPS)
+    return _router(w, topic, group, ods.ARRAY_ENVELOPE, ods.ARRAY_OPS)
 
 
 def route_objects(w: Warehouse, topic: str, group: str = "ods_object") -> Pipeline:
     """Object envelopes to one topic per table."""
-    return _router(w, topic, group, ods.parse_object, ods.OBJECT_ENVELOPE, ods.OBJECT_OPS)
+    return _router(w, topic, group, ods.OBJECT_ENVELOPE, ods.OBJECT_OPS)
 
 
-def _router(w: Warehouse, topic: str, group: str, parse: Callable, envelope: str, ops: list[str]) -> Pipeline:
+def _router(w: Warehouse, topic: str, group: str, kind: str, ops: list[str]) -> Pipeline:
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(batch):
-            w.quarantine(group).commit(batch_id, {"messages": ods.malformed(batch.select("value"), envelope)})
-            w.send(ods.route(parse(batch, keep=("timestamp",)), ops), batch_id, group)
+        with held(ods.read_envelopes(batch, kind, keep=("timestamp",))) as envelopes:
+            w.quarantine(group).commit(batch_id, {"messages": envelopes.where("NOT readable").select(F.col("unread").alias("value"))})
+            w.send(ods.route(ods.rows_of(envelopes, kind, keep=("timestamp",)), ops), batch_id, group)
 
     return Pipeline(group, "3 seconds", lambda: w.stream(topic), each_batch)
 

@@ -9,6 +9,7 @@ from shoptide.functions.entities import order_times, parse_lenient, parse_strict
 from shoptide.operators import dau, dim, dwd, dws, ods
 from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, SKU_INFO, ddl, names
 from shoptide.plans.queries import with_no_dimensions, with_no_sku
+from shoptide.streaming.runner import held
 
 
 def messages(spark, *values):
@@ -49,6 +50,35 @@ def test_object_envelope(spark):
     assert ods.malformed(df, ods.OBJECT_ENVELOPE).count() == 1
 
 
+def test_unquoted_numbers_stay_exact(spark):
+    row = '{"id":9007199254740993,"price":99999999999999.99,"rate":0.12345678901234567890,"text":"a\\"b","none":null}'
+    for parse, data in ((ods.parse_array, f"[{row}]"), (ods.parse_object, row)):
+        value = parse(messages(spark, f'{{"table":"sku_info","type":"insert","data":{data}}}')).first()["value"]
+        for number in ("9007199254740993", "99999999999999.99", "0.1234567890123456789", '"a\\"b"', "null"):
+            assert number in value
+        typed = parse_lenient(messages(spark, value.replace('"price"', '"order_price"')), ORDER_DETAIL).first()
+        assert (typed.id, str(typed.order_price)) == (9007199254740993, "99999999999999.99")
+
+
+def test_odd_envelopes(spark):
+    odd = ['{"table":"sku_info","type":"insert","data":{"id":1}}', "[]", "", None, "5", '{"table":null,"type":"insert","data":[{}]}', '{"table":"a","table":"b","type":"x","data":[]}', '{"table":"a","type":"x","data":[{"a":1234567890123456.25}']
+    assert ods.parse_array(messages(spark, *odd, '{"table":"sku_info","type":"insert","data":[null,"x",5,[1],{"a":{"b":[1.50]}}]}')).select("value").collect() == [
+        (None,), ("x",), ("5",), ("[1]",), ('{"a":{"b":[1.5]}}',)]
+    assert ods.malformed(messages(spark, *odd), ods.ARRAY_ENVELOPE).count() == len(odd) - 2
+    assert [tuple(r) for r in ods.parse_object(messages(spark, *odd, '{"table":"SKU_INFO","type":"Insert","data":"text"}')).collect()] == [
+        ("sku_info", "insert", '{"id":1}'), ("b", "x", "[]"), ("sku_info", "insert", "text")]
+
+
+def test_an_envelope_is_parsed_once(spark):
+    with held(ods.read_envelopes(messages(spark, "{}").where("value <> ''"), ods.ARRAY_ENVELOPE)) as read:
+        for part in (read.where("NOT readable"), ods.rows_of(read, ods.ARRAY_ENVELOPE)):
+            part.collect()
+            plan = part._jdf.queryExecution().optimizedPlan().toString()
+            assert "from_json" not in plan.split("InMemoryRelation")[0]
+    once = ods.route(ods.parse_array(messages(spark, "{}")), ods.ARRAY_OPS)._jdf.queryExecution().optimizedPlan().toString()
+    assert once.count("from_json(") == 1
+
+
 def test_numbers_may_be_quoted(spark):
     df = messages(spark, '{"id":"12","province_id":3,"user_id":"x","final_total_amount":"10.05","original_total_amount":7.1,'
                          '"create_time":"2020-12-11 09:37:00","unknown":1}')
