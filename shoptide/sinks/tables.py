@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 from shoptide.operators.dim import latest
 from shoptide.sinks import files
 
+FOLDER, RUN = "key_folder", "run"
+
 
 class BatchTables:
     """One or more tables whose rows of a batch become visible together.
@@ -22,12 +24,15 @@ class BatchTables:
 
     With ``keys`` a later batch replaces rows of the same key, and every ``compact_every`` batches the earlier ones are merged into one base, so a
     read stays short. ``keep`` limits what survives a merge.
+
+    With ``folders``, columns and a number by table, rows stand in that many folders by a hash of these columns, so that a lookup by them reads only the folders
+    it is about. The number belongs to the root: it can't be changed for one that has rows.
     """
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str]] | None = None,
-                 compact_every: int = 50, keep: Column | None = None):
+                 compact_every: int = 50, keep: Column | None = None, folders: dict[str, tuple[list[str], int]] | None = None):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
-        self.keys, self.compact_every, self.keep = keys, compact_every, keep
+        self.keys, self.compact_every, self.keep, self.folders = keys, compact_every, keep, folders or {}
 
     def commit(self, batch_id: int, frames: dict[str, DataFrame], kind: str = "batch") -> bool:
         """Writes the frames as one batch; False when it was committed before."""
@@ -41,31 +46,51 @@ class BatchTables:
                 self.compact(batches[-1])
         folders = {}
         for name, df in frames.items():
-            folders[name] = f"{self.root}/data/{name}/{kind}-{batch_id:012d}-{uuid.uuid4().hex}"
-            df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.parquet(folders[name])
+            folders[name] = f"{self.root}/data/{name}/{RUN}={kind}-{batch_id:012d}-{uuid.uuid4().hex}"
+            rows = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            if name in self.folders:
+                # Rows of a folder come together, in as many files as their size asks for.
+                rows = rows.withColumn(FOLDER, self._folder(name)).hint("rebalance", F.col(FOLDER))
+                rows.write.partitionBy(FOLDER).parquet(folders[name])
+            else:
+                rows.write.parquet(folders[name])
         files.make_folder(self.spark, f"{self.root}/commits")
         files.put_text(self.spark, mark, json.dumps(folders))
         return True
 
     def read(self, name: str, before: int | None = None) -> DataFrame:
         """Rows of all committed batches, or of those with an id below ``before``, with a ``batch_id`` column."""
-        schema = f"{self.schemas[name]}, `batch_id` bigint"
+        return self._stored(name, before).drop(FOLDER, RUN)
+
+    def _folder(self, name: str) -> Column:
+        columns, number = self.folders[name]
+        return F.pmod(F.xxhash64(*columns), F.lit(number)).cast("int")
+
+    def _stored(self, name: str, before: int | None) -> DataFrame:
+        schema = f"{self.schemas[name]}, `batch_id` bigint" + (f", `{FOLDER}` int" if name in self.folders else "")
         base, batches = self._committed(before)
         marks = ([f"base-{base:012d}"] if base is not None else []) + [f"batch-{b:012d}" for b in batches]
         folders = [json.loads(files.get_text(self.spark, f"{self.root}/commits/{m}")).get(name) for m in marks]
         folders = [f for f in folders if f]
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data/{name}").parquet(*folders)
 
     def current(self, name: str, before: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
         """The newest row of every key, or only of rows that match ``wanted``, some of the table's columns.
 
-        Rows are restricted before they are ranked, so the cost of a lookup follows what is looked up.
+        Rows are restricted before they are ranked, so the cost of a lookup follows what is looked up. If ``wanted``, which should be held, has the columns of the
+        table's folders, only the folders of its rows are read. Their numbers, no more than there are folders, come to the driver first: run-time pruning does not
+        see that a held frame is broadcast, and would read everything.
         """
-        rows = self.read(name, before)
+        rows = self._stored(name, before)
         if wanted is not None:
-            rows = rows.join(wanted, wanted.columns, "left_semi").select(*rows.columns)
+            if name in self.folders and set(self.folders[name][0]) <= set(wanted.columns):
+                touched = [row[0] for row in wanted.select(self._folder(name)).distinct().collect()]
+                if len(touched) < self.folders[name][1]:
+                    rows = rows.where(F.col(FOLDER).isin(touched))
+            rows = rows.join(wanted, wanted.columns, "left_semi")
+        rows = rows.select(*StructType.fromDDL(self.schemas[name]).names, "batch_id")
         base, batches = self._committed(before)
         if len(batches) + (base is not None) > 1:
             rows = latest(rows, self.keys[name], ["batch_id"])
@@ -120,13 +145,17 @@ def claim(spark: SparkSession, root: str) -> None:
 
 
 class KeyedTable:
-    """Rows unique by key; the last batch to write a key wins, within a batch the last row by ``order_by``."""
+    """Rows unique by key; the last batch to write a key wins, within a batch the last row by ``order_by``.
+
+    ``folders`` is the number of folders the rows stand in, by a hash of the columns they are looked up ``by`` (the key, if not given); 0 for a small table.
+    """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], columns: str,
-                 compact_every: int = 50, keep: Column | None = None):
+                 compact_every: int = 50, keep: Column | None = None, folders: int = 0, by: list[str] | None = None):
         self.keys = keys
         self.columns = StructType.fromDDL(columns).names
-        self.batches = BatchTables(spark, root, {"rows": columns}, {"rows": keys}, compact_every, keep)
+        self.batches = BatchTables(spark, root, {"rows": columns}, {"rows": keys}, compact_every, keep,
+                                   {"rows": (by or keys, folders)} if folders else None)
 
     def upsert(self, df: DataFrame, batch_id: int, order_by: list[str] | None = None) -> bool:
         rows = latest(df, self.keys, order_by) if order_by else df.dropDuplicates(self.keys)

@@ -37,6 +37,7 @@ class Warehouse:
     """Where messages come from and go to, and the tables the jobs keep.
 
     The tables belong to the checkpoints of the jobs: a job started over without its checkpoint needs a new ``root``, and fails on an old one.
+    Tables that a batch looks keys up in stand in ``folders`` folders by key; give as many as keep one at some hundred megabytes.
     """
 
     spark: SparkSession
@@ -46,20 +47,21 @@ class Warehouse:
     servers: str | None = None
     per_trigger: int | None = None
     as_of: date | None = None
+    folders: int = 8
 
     def __post_init__(self) -> None:
-        def keyed(name: str, keys: list[str], columns: str) -> KeyedTable:
-            return KeyedTable(self.spark, f"{self.root}/{name}", keys, columns)
+        def keyed(name: str, keys: list[str], columns: str, folders: int = 0, by: list[str] | None = None) -> KeyedTable:
+            return KeyedTable(self.spark, f"{self.root}/{name}", keys, columns, folders=folders, by=by)
 
-        self.users = keyed("dim_user", ["id"], USER_ROW)
+        self.users = keyed("dim_user", ["id"], USER_ROW, self.folders)
         self.provinces = keyed("dim_province", ["id"], ddl(PROVINCE_INFO))
         self.spus = keyed("dim_spu", ["id"], ddl(SPU_INFO))
         self.categories = keyed("dim_category3", ["id"], ddl(BASE_CATEGORY3))
         self.trademarks = keyed("dim_trademark", ["id"], TRADEMARK_ROW)
-        self.skus = keyed("dim_sku", ["id"], ddl(SKU_INFO))
-        self.user_status = keyed("user_status", ["user_id"], "`user_id` string, `is_first_order` boolean")
-        self.orders = keyed("orders_seen", ["id"], ddl(ORDER_INFO))
-        self.lines = keyed("order_lines", ["order_detail_id"], LINES)
+        self.skus = keyed("dim_sku", ["id"], ddl(SKU_INFO), self.folders)
+        self.user_status = keyed("user_status", ["user_id"], "`user_id` string, `is_first_order` boolean", self.folders)
+        self.orders = keyed("orders_seen", ["id"], ddl(ORDER_INFO), self.folders)
+        self.lines = keyed("order_lines", ["order_detail_id"], LINES, self.folders, ["order_id"])
         self.index = index.index_store(self.spark, f"{self.root}/index")
         self.results = BatchTables(self.spark, f"{self.root}/ads", {"tm_amount": AMOUNTS, "ads_read": READ_UP_TO},
                                    {"tm_amount": ["stat_time", "tm_id"], "ads_read": ["group_id"]})
@@ -183,13 +185,16 @@ def wide_orders(w: Warehouse, group: str = "dws_order_wide") -> Pipeline:
             with held(arrived), held(ids), held(w.lines.lookup(ids, batch_id)) as lines:
                 earlier = w.orders.lookup(ids.withColumnRenamed("order_id", "id"), batch_id).join(arrived.select("id"), "id", "left_anti")
                 orders = arrived.unionByName(earlier.select(*arrived.columns))
-                waiting = parse_strict(lines.where("waiting IS NOT NULL"), ORDER_DETAIL, value="waiting")
+                waiting = parse_strict(lines.where("waiting IS NOT NULL"), ORDER_DETAIL, value="waiting").withColumns(
+                    {"timestamp": F.lit(None).cast("timestamp"), "offset": F.lit(None).cast("bigint")})
                 done = lines.where("waiting IS NULL")
                 known = done.select(F.col("order_detail_id").alias("id"))
-                new = details.select(*names(ORDER_DETAIL)).unionByName(waiting).dropDuplicates(["id"]).join(known, "id", "left_anti")
+                # Of versions of a detail the newest counts; one that waits came before all of this batch.
+                versions = details.select(*names(ORDER_DETAIL), *NEWEST).unionByName(waiting)
+                new = dim.latest(versions, ["id"], NEWEST).drop(*NEWEST).join(known, "id", "left_anti")
                 totals = done.groupBy("order_id").agg(F.sum("origin_cents").alias("origin_cents"), F.sum("pay_cents").alias("pay_cents"))
-                with held(new), held(dws.wide_join(orders, new)) as wide, held(hot_groups(wide, "order_id", "order_detail_id")) as hot, \
-                        held(dws.batch_shares(wide, totals, None if hot.isEmpty() else hot)) as shares:
+                with held(new), held(hot_groups(new, "order_id", "id")) as hot, \
+                        held(dws.batch_shares(dws.wide_join(orders, new), totals, None if hot.isEmpty() else hot)) as shares:
                     w.send(to_value(dws.wide_rows(shares), "dws_order_wide", "order_detail_id"), batch_id, group)
                     found = shares.select(
                         "order_detail_id", "order_id", F.lit(None).cast("string").alias("waiting"),

@@ -8,6 +8,7 @@ from shoptide.sinks import files, index, jdbc, ledger
 from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources import jdbc as jdbc_source
 from shoptide.sources.messages import kafka_options
+from shoptide.streaming.runner import held
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
@@ -31,6 +32,44 @@ def test_keyed_table_last_write_wins_and_replay(spark, folder):
     assert content(t.read()) == [("a", 3), ("b", 5), ("c", 5)]
 
 
+@pytest.mark.parametrize("by", [["k"], ["v"]])
+def test_lookup_reads_the_folders_of_its_keys_only(spark, folder, by):
+    t = KeyedTable(spark, folder, ["k"], "`k` string, `v` int", compact_every=3, folders=200, by=by)
+    many = spark.range(2000).selectExpr("concat('k', id) as k", "cast(id as int) as v")
+    for batch in range(5):
+        t.upsert(many.where(f"id % 5 <> {batch}") if batch else many, batch)
+    t.upsert(spark.createDataFrame([("k7", 70), ("k8", 8)], "k string, v int"), 5)
+    wanted = many.where("id % 200 = 7").select(*by)
+    with held(wanted):
+        found = t.lookup(wanted)
+        assert content(found) == sorted((f"k{i}", 70 if i == 7 and by == ["k"] else i) for i in range(7, 2000, 200))
+        assert "PartitionFilters: [key_folder" in found._jdf.queryExecution().executedPlan().toString()
+        stored = t.batches._stored("rows", None)
+        all_files = stored.select(F.input_file_name()).distinct().count()
+        touched = [r[0] for r in wanted.select(t.batches._folder("rows")).distinct().collect()]
+        read = stored.where(F.col("key_folder").isin(touched)).select(F.input_file_name()).distinct().count()
+        assert len(touched) <= 10 and read < all_files / 10
+        assert files_read(found) == [read]
+
+
+def files_read(df):
+    """The numbers of files that the scans of a query that has run have read."""
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            waiting.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.getClass().getName():
+            waiting.append(node.plan())
+            continue
+        if node.nodeName().startswith("Scan parquet") and node.metrics().contains("numFiles"):
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_keyed_table_compaction(spark, folder):
     t = KeyedTable(spark, folder, ["k"], "`k` string, `v` int", compact_every=2, keep=F.col("v") > 0)
     for batch, v in enumerate((1, 2, -3, 4, 5)):

@@ -140,6 +140,21 @@ def test_details_sent_again_change_nothing(warehouse):
     assert sorted(r.key for r in keys) == ["11", "12", "13"]
 
 
+def test_the_newest_version_of_a_detail_counts(warehouse):
+    w = warehouse
+    messages = [("dwd_order_info", json.dumps(info(1, 60, 60)), 0), ("dwd_order_detail", json.dumps(line(11, 1, 20)), 1),
+                ("dwd_order_detail", json.dumps(line(11, 1, 30)), 3), ("dwd_order_detail", json.dumps(line(11, 1, 10)), 2),
+                ("dwd_order_detail", json.dumps(line(21, 2, 7)), 4)]
+    rows = w.spark.createDataFrame(messages, "topic string, value string, offset long").withColumn("timestamp", F.timestamp_seconds(F.lit(T0)))
+    each_batch = jobs.wide_orders(w).each_batch
+    each_batch(rows, 0)
+    assert shares(w) == [(11, 30.0)]
+    later = w.spark.createDataFrame([("dwd_order_info", json.dumps(info(2, 9, 9)), 5), ("dwd_order_detail", json.dumps(line(21, 2, 9)), 6)],
+                                    "topic string, value string, offset long").withColumn("timestamp", F.timestamp_seconds(F.lit(T0)))
+    each_batch(later, 1)  # a version that waited gives way to one that comes with the order
+    assert shares(w) == [(11, 30.0), (21, 9.0)]
+
+
 def test_either_side_waits_however_long(warehouse):
     w = warehouse
     job = jobs.wide_orders(w)
