@@ -257,3 +257,4 @@ sums AS (SELECT tm_id, wave, sum(c) AS c FROM waves GROUP BY ALL)
 SELECT '2021-01-01 00:00:0' || (wave // 2) AS stat_time, tm_id, 'tm-' || tm_id AS tm_name, CAST(c AS DOUBLE) / 100 AS amount FROM sums
 QUALIFY row_number() OVER (PARTITION BY tm_id, wave // 2 ORDER BY wave DESC) = 1"""
 ORACLES["dau_index_stream"] = "SELECT 'm' || user_id AS doc_id, max(strftime(ts, '%Y-%m-%d')) AS log_date FROM events GROUP BY 1"
+ORACLES["trademark_amount_windows_stream"] = ORACLES["trademark_amount_windows"]

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoptide.functions.entities import parse_strict
-from shoptide.operators import dim, dws
-from shoptide.plans.queries import (AS_OF, _money_as_double, _without_every_13th, detail_envelopes, with_no_dimensions, with_no_sku)
+from shoptide.operators import dim, dwd, dws
+from shoptide.plans.queries import (AS_OF, _money_as_double, _without_every_13th, detail_envelopes, enriched_sku, with_no_dimensions, with_no_sku)
 from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, only
 from shoptide.sinks import files
 from shoptide.sinks.messages import publish_wave, stage_waves
@@ -104,6 +104,19 @@ def trademark_amount_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _money_as_double(w.results.current("tm_amount"))
 
 
+def trademark_amount_windows_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums by window of the orders' time: waves follow that time, but every 7th order comes a wave later, among rows up to years younger."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    details = dwd.enrich_detail(shop.order_detail(), enriched_sku(shop))
+    shares = dws.order_shares(with_no_dimensions(shop.order_info()), details, shop.order_detail())
+    year = F.substring("create_time", 1, 4).cast("int")
+    wave = F.when(year < 1994, 0).when(year < 1997, 1).otherwise(2) + F.when(F.col("order_id") % 7 == 0, 1).otherwise(0)
+    wide = shares.select("order_detail_id", "order_id", "tm_id", "tm_name", "final_detail_amount", "create_time", F.current_timestamp().alias("timestamp"),
+                         F.least(wave, F.lit(WAVES - 1)).alias("wave"))
+    _run_in_waves(w, [(wide, "dws_order_wide", F.col("wave"))], jobs.trademark_windows(w, lateness="3000 days"))
+    return _money_as_double(w.windows.read().withColumn("window_start", F.col("window_start").cast("string")))
+
+
 def dau_first_start_stream(spark: SparkSession, folder: str) -> DataFrame:
     """First starts per day and device, over starts in waves by user."""
     w = _started(spark, folder)
@@ -199,4 +212,4 @@ def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job
 
 STREAM_QUERIES = {f.__name__: f for f in (
     cdc_route_stream, cdc_quarantine, dim_sync_stream, order_enriched_stream, order_wide_stream, order_wide_windowed_stream,
-    order_wide_share_stream, unmatched_details, trademark_amount_stream, dau_first_start_stream, dau_index_stream)}
+    order_wide_share_stream, unmatched_details, trademark_amount_stream, trademark_amount_windows_stream, dau_first_start_stream, dau_index_stream)}

@@ -27,6 +27,8 @@ TRADEMARK_ROW = "`id` string, `tm_name` string"
 #: A detail that waits for its order is kept as JSON; one that has its share only as its amounts.
 LINES = "`order_detail_id` bigint, `order_id` bigint, `waiting` string, `origin_cents` bigint, `pay_cents` bigint"
 AMOUNTS = "`stat_time` string, `tm_id` bigint, `tm_name` string, `amount` decimal(26,2)"
+WINDOW_KEY = "`window_start` timestamp, `tm_id` bigint, `tm_name` string"
+WINDOW_AMOUNTS = f"{WINDOW_KEY}, `amount` decimal(26,2)"
 READ_UP_TO = "`group_id` string, `last_batch` bigint"
 #: The topics of the dimension tables.
 DIMENSIONS = ("ods_user_info", "ods_base_province", "ods_sku_info", "ods_spu_info", "ods_base_category3", "ods_base_trademark")
@@ -62,6 +64,7 @@ class Warehouse:
         self.user_status = keyed("user_status", ["user_id"], "`user_id` string, `is_first_order` boolean", self.folders)
         self.orders = keyed("orders_seen", ["id"], ddl(ORDER_INFO), self.folders)
         self.lines = keyed("order_lines", ["order_detail_id"], LINES, self.folders, ["order_id"])
+        self.windows = keyed("tm_windows", ["window_start", "tm_id", "tm_name"], WINDOW_AMOUNTS)
         self.index = index.index_store(self.spark, f"{self.root}/index")
         self.results = BatchTables(self.spark, f"{self.root}/ads", {"tm_amount": AMOUNTS, "ads_read": READ_UP_TO},
                                    {"tm_amount": ["stat_time", "tm_id"], "ads_read": ["group_id"]})
@@ -80,6 +83,10 @@ class Warehouse:
         """Messages of a job that could not be read."""
         return BatchTables(self.spark, f"{self.root}/quarantine/{group}", {"messages": "`value` string"})
 
+    def late(self, group: str) -> BatchTables:
+        """Messages of a job that came when their window was closed."""
+        return BatchTables(self.spark, f"{self.root}/late/{group}", {"rows": f"{WINDOW_KEY}, `value` string"})
+
     def readable(self, group: str, batch_id: int, *frames: tuple[DataFrame, str]) -> list[DataFrame]:
         """The rows that have their key; the messages of all others, which ``parsed`` keeps as ``value``, go to the quarantine of the batch."""
         bad = None
@@ -245,6 +252,39 @@ def trademark_amounts(w: Warehouse, group: str = "ads_order_wide", stamp: Callab
     return Pipeline(group, "5 seconds", lambda: w.stream("dws_order_wide"), each_batch)
 
 
+def trademark_windows(w: Warehouse, width: str = "5 seconds", lateness: str = "1 hour", group: str = "ads_trademark_windows") -> Pipeline:
+    """Sums by trademark and window of the orders' time, in a state that Spark keeps until the watermark has passed a window.
+
+    Each batch replaces the sums that changed in ``w.windows``. A row that comes when its window is closed goes to ``w.late(group)``: the batch
+    brings its rows beside the sums, and a row is late exactly if the sum of its window and trademark is none of those that changed.
+    """
+    key = ["window_start", "tm_id", "tm_name"]
+
+    def source() -> DataFrame:
+        wanted = only(ORDER_WIDE, "order_detail_id", "tm_id", "tm_name", "final_detail_amount", "create_time")
+        plain = [(name, kind, None if name in ("order_detail_id", "create_time") else default) for name, kind, default in wanted]
+        rows = parse_strict(w.stream("dws_order_wide"), plain, keep=("value",)).withColumn("event_time", F.try_to_timestamp("create_time"))
+        readable = F.col("order_detail_id").isNotNull() & F.col("event_time").isNotNull()
+        start = lambda row: F.window("event_time", width)["start"].alias("window_start")
+        sums = rows.where(readable).withWatermark("event_time", lateness).groupBy(F.window("event_time", width), "tm_id", "tm_name").agg(
+            F.sum("final_detail_amount").alias("amount"))
+        empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        return (sums.select(F.lit("sum").alias("kind"), F.col("window.start").alias("window_start"), "tm_id", "tm_name", "amount", empty("string", "value"))
+                .unionByName(rows.where(readable).select(F.lit("row").alias("kind"), start(rows), "tm_id", "tm_name", empty("decimal(26,2)", "amount"), "value"))
+                .unionByName(rows.where(~readable).select(F.lit("unread").alias("kind"), empty("timestamp", "window_start"), "tm_id", "tm_name",
+                                                          empty("decimal(26,2)", "amount"), "value")))
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        with held(batch):
+            sums = batch.where("kind = 'sum'").select(*key, "amount")
+            late = batch.where("kind = 'row'").join(sums.select(*key), key, "left_anti").select(*key, "value")
+            w.quarantine(group).commit(batch_id, {"messages": batch.where("kind = 'unread'").select("value")})
+            w.late(group).commit(batch_id, {"rows": late})
+            w.windows.upsert(sums, batch_id)
+
+    return Pipeline(group, "5 seconds", source, each_batch, "update")
+
+
 def daily_actives(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau") -> Pipeline:
     """First start per day and device to the index of the processing day, by device; of several days in a batch the last stays."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:

@@ -18,6 +18,7 @@ class Pipeline:
     interval: str
     source: Callable[[], DataFrame]
     each_batch: Callable[[DataFrame, int], None]
+    output: str = "append"
 
     def start(self, spark: SparkSession, checkpoints: str, once: bool = False, state_partitions: int | None = None) -> StreamingQuery:
         """Starts the query; ``once`` takes everything available and ends.
@@ -25,7 +26,7 @@ class Pipeline:
         The number of state partitions is fixed by a query's first start, so size it for the cluster then.
         """
         with settings(spark, {} if state_partitions is None else {"spark.sql.shuffle.partitions": str(state_partitions)}):
-            writer = (self.source().writeStream.queryName(self.group).foreachBatch(self.each_batch)
+            writer = (self.source().writeStream.queryName(self.group).outputMode(self.output).foreachBatch(self.each_batch)
                       .option("checkpointLocation", f"{checkpoints}/{self.group}"))
             trigger = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.interval)
             return trigger.start()

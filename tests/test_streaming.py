@@ -231,3 +231,21 @@ def test_newest_dimension_row_stays(warehouse):
         drain(w, job)
         assert [r["name"] for r in w.provinces.read().collect()] == [names[-1]]
     assert w.skus.read().count() == 1
+
+
+def test_rows_of_closed_windows_are_kept_apart(warehouse):
+    w = warehouse
+    job = jobs.trademark_windows(w, width="10 seconds", lateness="20 seconds")
+    wide = lambda number, tm, amount, at: {"order_detail_id": number, "tm_id": tm, "tm_name": f"tm{tm}", "final_detail_amount": amount, "create_time": at}
+    put(w, "dws_order_wide", 0, wide(1, 1, 1, "2021-01-01 00:00:01"), wide(2, 1, 2, "2021-01-01 00:00:09"), wide(3, 2, 4, "2021-01-01 00:01:00"), "broken", wide(9, 1, 1, "no time"))
+    drain(w, job)
+    put(w, "dws_order_wide", 1, wide(4, 1, 8, "2021-01-01 00:00:05"), wide(5, 2, 16, "2021-01-01 00:00:58"), wide(6, 2, 32, "2021-01-01 00:00:45"), wide(7, 2, 64, "2021-01-01 00:00:41"))
+    drain(w, job)
+    sums = sorted((str(r.window_start)[14:], r.tm_id, float(r.amount)) for r in w.windows.read().collect())
+    assert sums == [("00:00", 1, 3.0), ("00:40", 2, 96.0), ("00:50", 2, 16.0), ("01:00", 2, 4.0)]
+    late = w.late("ads_trademark_windows").read("rows").collect()
+    assert [json.loads(r.value)["order_detail_id"] for r in late] == [4]
+    assert w.quarantine("ads_trademark_windows").read("messages").count() == 2
+    put(w, "dws_order_wide", 2, wide(8, 2, 1, "2021-01-01 00:01:01"))
+    drain(w, job)
+    assert ("01:00", 2, 5.0) in [(str(r.window_start)[14:], r.tm_id, float(r.amount)) for r in w.windows.read().collect()]
