@@ -258,3 +258,12 @@ SELECT '2021-01-01 00:00:0' || (wave // 2) AS stat_time, tm_id, 'tm-' || tm_id A
 QUALIFY row_number() OVER (PARTITION BY tm_id, wave // 2 ORDER BY wave DESC) = 1"""
 ORACLES["dau_index_stream"] = "SELECT 'm' || user_id AS doc_id, max(strftime(ts, '%Y-%m-%d')) AS log_date FROM events GROUP BY 1"
 ORACLES["trademark_amount_windows_stream"] = ORACLES["trademark_amount_windows"]
+ORACLES["order_wide_outer_stream"] = f"""
+WITH {DETAILS}, {HEADS},
+lines AS (SELECT id AS order_detail_id, order_id FROM details WHERE order_id % 11 <> 0),
+came AS (SELECT id AS order_id FROM heads WHERE id % 13 <> 0)
+SELECT 'pair' AS kind, order_id, order_detail_id FROM lines JOIN came USING (order_id) WHERE order_id % 5 <> 0
+UNION ALL
+SELECT 'detail', order_id, order_detail_id FROM lines WHERE order_id % 5 = 0 OR order_id NOT IN (SELECT order_id FROM came)
+UNION ALL
+SELECT 'order', order_id, NULL FROM came WHERE order_id % 5 = 0 OR order_id NOT IN (SELECT order_id FROM lines)"""

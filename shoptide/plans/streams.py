@@ -63,14 +63,35 @@ def order_enriched_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_wide_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream-stream join; waves are cut by arrival, so some details come a wave after their order."""
+    """Stream-stream join; waves are cut by arrival, so some details come a wave after their order. The state has ids and times, the columns are joined to the pairs."""
     shop = ShopTables(spark, folder)
-    return _joined_stream(spark, shop.detail_messages(60), shop.order_messages(), dws.wide_join_stream)
+    w = _joined_stream(spark, shop.detail_messages(60), shop.order_messages(), dws.wide_outer_stream)
+    found = parse_strict(read_topic(spark, w.path, "wide"), [(c, "bigint", None) for c in ("order_id", "owner_id", "order_detail_id")])
+    pairs, _, _ = dws.outer_kinds(found)
+    orders = parse_strict(read_topic(spark, w.path, "order"), only(ORDER_INFO, "id", "user_id")).withColumnRenamed("id", "order_id")
+    details = parse_strict(read_topic(spark, w.path, "detail"), only(ORDER_DETAIL, "id", "sku_id", "sku_num")).withColumnRenamed("id", "order_detail_id")
+    return pairs.join(orders, "order_id").join(details, "order_detail_id").select("order_id", "order_detail_id", "user_id", "sku_id", "sku_num")
+
+
+def order_wide_outer_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """All orders and details as pairs or as expired ones: every 13th order and every 11th order's details never come, every 5th order's come an hour apart."""
+    shop = ShopTables(spark, folder)
+    order = F.col("order_id")
+    details = shop.detail_messages(60).where(order % 11 != 0)
+    details = details.withColumn("timestamp", F.when(order % 5 == 0, F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("timestamp")))
+    w, group = _in_time(spark, details, shop.order_messages().where("id % 13 <> 0"))
+    none = F.lit(None).cast("bigint").alias("order_detail_id")
+    pairs = parse_strict(read_topic(spark, w.path, "dws_order_wide_in_time"), only(ORDER_WIDE, "order_id", "order_detail_id"))
+    found = (pairs.select(F.lit("pair").alias("kind"), "order_id", "order_detail_id")
+             .unionByName(w.expired(group).read("orders").select(F.lit("order").alias("kind"), "order_id", none))
+             .unionByName(w.expired(group).read("details").select(F.lit("detail").alias("kind"), "order_id", "order_detail_id")))
+    return found.where("order_id >= 0")
 
 
 def order_wide_windowed_stream(spark: SparkSession, folder: str) -> DataFrame:
     shop = ShopTables(spark, folder)
-    return _joined_stream(spark, shop.detail_messages(5, -5), shop.order_messages(), dws.wide_join_windowed_stream)
+    w = _joined_stream(spark, shop.detail_messages(5, -5), shop.order_messages(), dws.wide_join_windowed_stream)
+    return parse_strict(read_topic(spark, w.path, "wide"), only(ORDER_WIDE, "order_id", "order_detail_id", "user_id", "sku_id", "sku_num"))
 
 
 def order_wide_share_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +191,29 @@ def _started(spark: SparkSession, folder: str) -> Warehouse:
     return w
 
 
-def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, join) -> DataFrame:
+def _in_time(spark: SparkSession, details: DataFrame, orders: DataFrame) -> tuple[Warehouse, str]:
+    """The join in time over waves of equal time; an order and a detail long after all others let the watermark pass these."""
+    w = _warehouse(spark)
+    job = jobs.wide_orders_in_time(w)
+    orders, details = with_no_dimensions(orders), with_no_sku(details)
+    cut = _time_cuts(orders)
+    last = orders.agg(F.max("timestamp").alias("timestamp")).where("timestamp IS NOT NULL").select((F.col("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("timestamp"))
+    waves = [(orders, "dwd_order_info", cut), (details, "dwd_order_detail", cut),
+             (last.select(F.lit(-1).cast("bigint").alias("id"), "timestamp"), "dwd_order_info", F.lit(WAVES)),
+             (last.select(F.lit(-1).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("order_id"), "timestamp"), "dwd_order_detail", F.lit(WAVES))]
+    _run_in_waves(w, waves, job, WAVES + 1, empty_batches=True)
+    return w, job.group
+
+
+def _time_cuts(orders: DataFrame) -> Column:
+    """Equal shares of the time the orders are from, whatever it is; all of it is one row for the driver."""
+    low, high = orders.agg(F.min("timestamp"), F.max("timestamp")).first()
+    cuts = [low + (high - low) * part / WAVES for part in range(1, WAVES)] if low is not None else []
+    return sum((F.when(F.col("timestamp") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, join) -> Warehouse:
+    """Runs ``join`` over the two streams in waves of equal time; what it gives is in the topic ``wide``."""
     w = _warehouse(spark)
 
     def source() -> DataFrame:
@@ -181,13 +224,9 @@ def _joined_stream(spark: SparkSession, details: DataFrame, orders: DataFrame, j
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         w.send(batch.select(F.lit("wide").alias("topic"), F.to_json(F.struct("*")).alias("value")), batch_id, "joined")
 
-    # Equal shares of the time the orders are from, whatever it is; all of it is one row for the driver.
-    low, high = orders.agg(F.min("timestamp"), F.max("timestamp")).first()
-    cuts = [low + (high - low) * part / WAVES for part in range(1, WAVES)] if low is not None else []
-    cut = sum((F.when(F.col("timestamp") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    cut = _time_cuts(orders)
     _run_in_waves(w, [(orders, "order", cut), (details, "detail", cut)], Pipeline("join", "5 seconds", source, each_batch))
-    wanted = only(ORDER_WIDE, "order_id", "order_detail_id", "user_id", "sku_id", "sku_num")
-    return parse_strict(read_topic(spark, w.path, "wide"), wanted)
+    return w
 
 
 def _warehouse(spark: SparkSession) -> Warehouse:
@@ -195,7 +234,7 @@ def _warehouse(spark: SparkSession) -> Warehouse:
     return Warehouse(spark, f"{root}/tables", kind="files", path=f"{root}/messages", as_of=AS_OF)
 
 
-def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job: Pipeline) -> None:
+def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job: Pipeline, waves: int = WAVES, empty_batches: bool = False) -> None:
     """Writes the messages once, then gives out wave by wave and runs the job on it, from its own checkpoint."""
     staged = None
     for rows, topic, wave in inputs:
@@ -203,13 +242,13 @@ def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job
         part = rows.select(F.lit(topic).alias("topic"), value.alias("value"), "timestamp", wave.cast("int").alias("wave"))
         staged = part if staged is None else staged.unionByName(part)
     stage_waves(staged, w.path, "in")
-    for wave in range(WAVES):
+    for wave in range(waves):
         publish_wave(w.spark, w.path, "in", wave)
-        # Joins and dedupe emit nothing in a batch without data, so it can be left to the next wave to drop old state.
-        with settings(w.spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        # Inner joins and dedupe emit nothing in a batch without data, so it can be left to the next wave to drop old state.
+        with settings(w.spark, {"spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}):
             job.drain(w.spark, f"{w.root}/checkpoints", state_partitions=w.spark.sparkContext.defaultParallelism)
 
 
 STREAM_QUERIES = {f.__name__: f for f in (
-    cdc_route_stream, cdc_quarantine, dim_sync_stream, order_enriched_stream, order_wide_stream, order_wide_windowed_stream,
+    cdc_route_stream, cdc_quarantine, dim_sync_stream, order_enriched_stream, order_wide_stream, order_wide_outer_stream, order_wide_windowed_stream,
     order_wide_share_stream, unmatched_details, trademark_amount_stream, trademark_amount_windows_stream, dau_first_start_stream, dau_index_stream)}

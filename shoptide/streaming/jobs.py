@@ -64,6 +64,8 @@ class Warehouse:
         self.user_status = keyed("user_status", ["user_id"], "`user_id` string, `is_first_order` boolean", self.folders)
         self.orders = keyed("orders_seen", ["id"], ddl(ORDER_INFO), self.folders)
         self.lines = keyed("order_lines", ["order_detail_id"], LINES, self.folders, ["order_id"])
+        self.timed_orders = keyed("orders_in_time", ["id"], ddl(ORDER_INFO), self.folders)
+        self.timed_details = keyed("details_in_time", ["id"], ddl(ORDER_DETAIL), self.folders)
         self.windows = keyed("tm_windows", ["window_start", "tm_id", "tm_name"], WINDOW_AMOUNTS)
         self.index = index.index_store(self.spark, f"{self.root}/index")
         self.results = BatchTables(self.spark, f"{self.root}/ads", {"tm_amount": AMOUNTS, "ads_read": READ_UP_TO},
@@ -87,6 +89,10 @@ class Warehouse:
         """Messages of a job that came when their window was closed."""
         return BatchTables(self.spark, f"{self.root}/late/{group}", {"rows": f"{WINDOW_KEY}, `value` string"})
 
+    def expired(self, group: str) -> BatchTables:
+        """Orders and details of a job that waited too long for the other side."""
+        return BatchTables(self.spark, f"{self.root}/expired/{group}", {"orders": "`order_id` bigint", "details": "`order_id` bigint, `order_detail_id` bigint"})
+
     def readable(self, group: str, batch_id: int, *frames: tuple[DataFrame, str]) -> list[DataFrame]:
         """The rows that have their key; the messages of all others, which ``parsed`` keeps as ``value``, go to the quarantine of the batch."""
         bad = None
@@ -215,6 +221,42 @@ def wide_orders(w: Warehouse, group: str = "dws_order_wide") -> Pipeline:
 
     return Pipeline(group, "5 seconds", lambda: w.stream("dwd_order_info", "dwd_order_detail"), each_batch)
 
+def wide_orders_in_time(w: Warehouse, retain: str = "30 minutes", early: str = "30 minutes", lateness: str = "30 minutes",
+                        group: str = "dws_order_wide_in_time") -> Pipeline:
+    """Wide rows of orders and details that arrive within a time of each other, and what has waited too long.
+
+    The other way to join them, with bounded state: the stream-stream join holds ids and times, and what it lets go unmatched is written to ``w.expired(group)``,
+    so every order and detail that comes before the watermark ends as a wide row or there. Their columns wait in keyed tables and are looked up by batch.
+    """
+    def source() -> DataFrame:
+        streams = w.streams("dwd_order_info", "dwd_order_detail")
+        ids = {"dwd_order_info": [("id", "bigint", None)], "dwd_order_detail": [("id", "bigint", None), ("order_id", "bigint", None)]}
+        orders, details = (parse_strict(streams[t], ids[t], keep=("timestamp",)).where("id IS NOT NULL") for t in ids)
+        joined = dws.wide_outer_stream(orders, details, retain=retain, early=early, lateness=lateness)
+        found = joined.select(F.lit(None).cast("string").alias("topic"), *joined.columns, F.lit(None).cast("string").alias("value"),
+                              F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("bigint").alias("offset"))
+        none = [F.lit(None).cast("bigint").alias(c) for c in joined.columns]
+        for topic, stream in streams.items():
+            found = found.unionByName(stream.select(F.lit(topic).alias("topic"), *none, "value", "timestamp", "offset"))
+        return found
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        keep = ("value", "timestamp", "offset")
+        with held(batch), held(parsed(parse_strict(batch.where("topic = 'dwd_order_info'"), ORDER_INFO, keep=keep), "id")) as came, \
+                held(parsed(parse_strict(batch.where("topic = 'dwd_order_detail'"), ORDER_DETAIL, keep=keep), "id")) as lines_came:
+            if batch.isEmpty():  # the watermark moved and nothing was waiting
+                return
+            infos, lines = w.readable(group, batch_id, (came, "id"), (lines_came, "id"))
+            w.timed_orders.upsert(infos, batch_id, NEWEST)
+            w.timed_details.upsert(lines, batch_id, NEWEST)
+            pairs, orders, details = dws.outer_kinds(batch.where("topic IS NULL").select("order_id", "owner_id", "order_detail_id"))
+            with held(pairs.dropDuplicates()) as pairs:
+                with held(pairs.select(F.col("order_id").alias("id")).distinct()) as a, held(pairs.select(F.col("order_detail_id").alias("id")).distinct()) as b:
+                    wide = dws.wide_join(w.timed_orders.lookup(a, batch_id + 1), w.timed_details.lookup(b, batch_id + 1))
+                    w.send(to_value(wide.join(pairs, ["order_id", "order_detail_id"], "left_semi"), "dws_order_wide_in_time", "order_detail_id"), batch_id, group)
+            w.expired(group).commit(batch_id, {"orders": orders, "details": details})
+
+    return Pipeline(group, "5 seconds", source, each_batch)
 
 
 def unmatched_details(w: Warehouse) -> DataFrame:

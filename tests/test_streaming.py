@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoptide.functions.entities import parse_strict
-from shoptide.operators import dws
 from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from shoptide.sinks.messages import write_batch
 from shoptide.sources.messages import read_topic
@@ -86,29 +85,27 @@ def test_whole_way(warehouse):
     assert sorted(float(r.amount) for r in w.results.current("tm_amount").collect()) == [6.0, 99.0]
 
 
-def joined_ids(w, batches):
-    """Runs the stream join over batches of ``(orders, details)`` as ``(id, seconds)``."""
-    seen = []
-    streams = w.streams("dwd_order_info", "dwd_order_detail")
-    wide = dws.wide_join_stream(parse_strict(streams["dwd_order_info"], ORDER_INFO, keep=("timestamp",)),
-                                parse_strict(streams["dwd_order_detail"], ORDER_DETAIL, keep=("timestamp",)), lateness="0 seconds")
+def test_what_waits_too_long_comes_out_as_expired(warehouse):
+    w = warehouse
+    job = jobs.wide_orders_in_time(w, lateness="0 seconds")
+    batches = [
+        ([(1, 0)], [(21, 2, 0), (91, 9, 0)]),
+        ([(2, 600), (4, 600)], [(11, 1, 600), (12, 1, 1790)]),
+        ([(3, 1800)], [(13, 1, 1860), (31, 3, 1800)]),
+        ([(8, 90_000)], [(81, 8, 90_000)]),
+    ]
     for number, (orders, details) in enumerate(batches):
         for key, at in orders:
-            put(w, "dwd_order_info", number * 10 + key, {"id": key}, at=T0 + at)
+            put(w, "dwd_order_info", number * 10 + key, {"id": key, "user_id": 70 + key}, at=T0 + at)
         for key, owner, at in details:
-            put(w, "dwd_order_detail", number * 100 + key, {"id": key, "order_id": owner}, at=T0 + at)
-        query = wide.writeStream.foreachBatch(lambda df, _: seen.extend(r.order_detail_id for r in df.collect())).option(
-            "checkpointLocation", f"{w.root}/cp").trigger(availableNow=True).start()
-        query.awaitTermination()
-    return sorted(seen)
-
-
-def test_detail_before_and_after_its_order(warehouse):
-    assert joined_ids(warehouse, [
-        ([(1, 0)], [(21, 2, 0)]),
-        ([(2, 600)], [(11, 1, 600), (12, 1, 1790)]),
-        ([(3, 1800)], [(13, 1, 1860), (31, 3, 1800)]),
-    ]) == [11, 12, 21, 31]
+            put(w, "dwd_order_detail", number * 100 + key, {"id": key, "order_id": owner, "sku_id": key * 2}, at=T0 + at)
+        drain(w, job)
+    wide = parse_strict(read_topic(w.spark, w.path, "dws_order_wide_in_time"), ORDER_WIDE)
+    seen = sorted((r.order_id, r.order_detail_id, r.user_id, r.sku_id) for r in wide.collect())
+    assert seen == [(1, 11, 71, 22), (1, 12, 71, 24), (2, 21, 72, 42), (3, 31, 73, 62), (8, 81, 78, 162)]
+    expired = w.expired("dws_order_wide_in_time")
+    assert [r.order_id for r in expired.read("orders").collect()] == [4]
+    assert sorted((r.order_id, r.order_detail_id) for r in expired.read("details").collect()) == [(1, 13), (9, 91)]
 
 
 def shares(w):
