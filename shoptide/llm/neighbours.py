@@ -4,6 +4,8 @@ A hash applies three rounds of random signs and a fast Hadamard transform (a pse
 stands in one bucket of each table; a query looks into the buckets of its nearest ``probes`` axes. All candidates of a bucket are
 ranked by their exact cosine on the original vectors.
 
+A query that finds fewer than it asks for in its buckets is compared with all vectors of its length in blocks, so an answer is short only where the table is.
+
 Equal vectors are hashed and ranked once and stand for the smallest ids of their class, more than which no answer can need. Buckets are counted first and
 cut into blocks, as are the queries that come to them, so that no task holds more than a block of either; what leaves
 a block is at most a few rows per query. Nothing is collected or broadcast.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from shoptide.llm.common import saved
 from shoptide.llm.vectors import by_dimension, grouped, lists, units, valid, values, vectors_of, with_key
+from shoptide.sinks import files
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -78,11 +81,28 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, pr
     few = usable.dropDuplicates([*key, "vec_id"]).withColumn("_place", smallest).where(F.col("_place") <= k + 1)
     classes = few.groupBy(*key).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("vec_id").alias("first"),
                                     F.first("embedding").alias("embedding"))
-    classes, _ = saved(classes)
+    classes, classes_at = saved(classes)
     heads = asked.groupBy(*key).agg(F.first("embedding").alias("embedding"))
     bases = _hashed(classes.select(*key, "first", "embedding"), tables, 1, seed)
     looks = _hashed(heads, tables, probes, seed)
-    by = ["dim", "bucket"]
+    found, found_at = saved(_best(classes, bases, looks, k, block))
+    others = F.slice(F.array_sort(F.filter("found", lambda f: f["id"] != F.col("vec_id"))), 1, k)
+    answers, answers_at = saved(asked.select("vec_id", *key).join(found, key, "left").select("vec_id", *key, F.coalesce(others, F.array()).alias("others")))
+    short = answers.where(F.size("others") < k).select("vec_id", *key)
+    everything = F.lit(-1).alias("bucket")
+    again = _best(classes, classes.select(*key, "first", "embedding", everything), heads.join(short.select(*key).distinct(), key, "left_semi").select(
+        *key, "embedding", everything), k, block)
+    whole = answers.where(F.size("others") >= k).select("vec_id", "others").unionByName(short.join(again, key).select("vec_id", others.alias("others")))
+    result, _ = saved(whole.select(F.col("vec_id").alias("query_id"), F.posexplode("others").alias("_at", "_f")).select(
+        "query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_f.id").alias("vec_id"), (-F.col("_f.s")).alias("score")))
+    for path in (classes_at, found_at, answers_at):
+        files.remove(rows.sparkSession, path)
+    return result
+
+
+def _best(classes: DataFrame, bases: DataFrame, looks: DataFrame, k: int, block: int) -> DataFrame:
+    """``dim, h1, h2, found``: for each vector of ``looks`` the members of the best classes of ``bases`` that share a bucket with it."""
+    key, by = ["dim", "h1", "h2"], ["dim", "bucket"]
     sizes = bases.groupBy(*by).agg(F.count(F.lit(1)).alias("n_base")).join(looks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_look")), by)
     sizes, _ = saved(sizes.select(*by, F.ceil(F.col("n_base") / block).cast("int").alias("base_blocks"),
                                   F.ceil(F.col("n_look") / block).cast("int").alias("look_blocks")))
@@ -110,26 +130,23 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, pr
             scores = vectors[here] @ base.T
             if scores.shape[1] > keep:
                 limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                i, j = np.nonzero(scores >= limit[:, None])
-                by_score = np.lexsort((j, -scores[i, j], i))  # j is the order of first ids
-                i, j = i[by_score], j[by_score]
-                starts = np.searchsorted(i, np.arange(len(here)))
-                best = np.arange(len(i)) - starts[i] < keep
-                i, j = i[best], j[best]
+                i, j = np.nonzero(scores >= limit[:, None] - 1e-12)
             else:
                 i, j = (x.ravel() for x in np.indices(scores.shape))
+            # Row by row, so that equal vectors have equal scores wherever they stand; j is the order of first ids.
+            score = np.einsum("ij,ij->i", vectors[here][i], base[j])
+            by_score = np.lexsort((j, -score, i))
+            i, j, score = i[by_score], j[by_score], score[by_score]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < keep
+            i, j, score = i[best], j[best], score[best]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(i), values(group, "dim")[0], dtype=np.int32)), pa.array(h1[here][i]), pa.array(h2[here][i]),
-                 pa.array(b1[j]), pa.array(b2[j]), pa.array(scores[i, j])], names=["dim", "h1", "h2", "b1", "b2", "score"])
+                 pa.array(b1[j]), pa.array(b2[j]), pa.array(score)], names=["dim", "h1", "h2", "b1", "b2", "score"])
 
     found = grouped(both, ["dim", "bucket", "base_block", "look_block"], rank, "dim int, h1 long, h2 long, b1 long, b2 long, score double")
     found = found.groupBy("dim", "h1", "h2", "b1", "b2").agg(F.max("score").alias("score"))
     members = classes.select("dim", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "ids", "first")
     listed = found.join(members, ["dim", "b1", "b2"])
     best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "first"))
-    answers = listed.withColumn("_place", best).where(F.col("_place") <= keep).groupBy(*key).agg(
+    return listed.withColumn("_place", best).where(F.col("_place") <= keep).groupBy(*key).agg(
         F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id"))))).alias("found"))
-    ids = asked.select("vec_id", *key).join(answers, key)
-    others = F.slice(F.array_sort(F.filter("found", lambda f: f["id"] != F.col("vec_id"))), 1, k)
-    return ids.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("_at", "_f")).select(
-        "query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_f.id").alias("vec_id"), (-F.col("_f.s")).alias("score"))
