@@ -1,8 +1,13 @@
+import math
+import os
 import random
 import re
 import string
+import sys
+import time
 from hashlib import sha256
 
+import pytest
 from pyspark.sql import functions as F
 
 from shoptide.llm import secret_scan as secrets
@@ -98,3 +103,94 @@ def test_odd_rows(spark):
     assert found.columns == [*docs.columns, "found"]
     assert sorted(written([(s.start, s.place, s.end) for s in r.found]) for r in found.collect()) == sorted(written(plain(t)) for _, t, _, _ in rows)
     assert secrets.scan(empty(spark), spans="found").count() == 0
+
+
+def plain_tests(token):
+    """(battery, name) of one candidate, symbol by symbol; None without an encoding."""
+    known = [(letters) for pattern, letters in secrets.ENCODINGS if re.search(pattern, token)]
+    if not known:
+        return None
+    letters, body = known[0], token.rstrip("=")
+    x, k, n = [letters.index(c) for c in body], len(letters), len(body)
+    tail = lambda z: 1 / (1 + math.exp(min(600.0, 1.5976 * z + 0.07056 * z ** 3)))
+    df, chi = k - 1, sum(x.count(j) ** 2 for j in range(k)) * k / n - n
+    even = tail(((max(chi, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [s >= k / 2 for s in x]
+    up, low = sum(high), n - sum(high)
+    expected = 2 * up * low / n + 1
+    observed = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    spread = max((expected - 1) * (expected - 2) / (n - 1), 1e-9)
+    runs = 2 * tail(abs(observed - expected) / math.sqrt(spread)) if up and low else 0.0
+    mean = sum(x) / n
+    around = max(sum(s * s for s in x) - n * mean * mean, 1e-9)
+    serial = 2 * tail(abs((sum(a * b for a, b in zip(x, x[1:])) - (n - 1) * mean * mean) / around + 1 / n) * math.sqrt(n))
+    kinds = [secrets.kind_of(c) for c in (body if re.search("[a-z]", body) else body.lower())]
+    share = secrets.shares(letters)
+    ratio = sum(math.log(share[b]) - math.log(secrets.IN_NAMES[a][b]) for a, b in zip(kinds, kinds[1:]))
+    return min(1.0, 3 * min(even, runs, serial)), math.exp(-min(600.0, max(0.0, ratio)))
+
+
+def words():
+    known = [*sys.stdlib_module_names, *dir(string), *dir(os), *dir(str)]
+    return sorted({w.lower() for name in known for w in re.findall("[A-Za-z][a-z]{2,}", name)})
+
+
+def names(rng, n):
+    """Identifiers of several styles, slugs and constants."""
+    known, out = words(), []
+    while len(out) < n:
+        some, number = [rng.choice(known) for _ in range(rng.randint(3, 7))], str(rng.randrange(10 ** rng.randint(1, 4)))
+        out.append(rng.choice(["".join(w.title() for w in some) + number, "".join(some) + number, some[0] + "".join(w.title() for w in some[1:]) + number,
+                               "".join(some).upper() + number, "-".join(w.title() for w in some) + "-" + number, "/".join(some).title() + "/v" + number]))
+        if len(out[-1]) < 24:
+            out.pop()
+    return out
+
+
+def test_tests_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    random_tokens, ordinary = corpus(rng)
+    tokens = random_tokens + ordinary + names(rng, 400) + ["A" * 30 + "1", "abc", "deadbeef" * 5 + "0", "ABCDEF01" * 6, "A2" * 15 + "==="]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.p_value(F.col("t")).alias("p"), secrets.name_p_value(F.col("t")).alias("name")).collect()
+    for r in rows:
+        want = plain_tests(r.t)
+        assert (r.p, r.name) == (None, None) if want is None else (abs(r.p - want[0]) < 1e-9 and abs(r.name - want[1]) < 1e-9), r.t
+
+
+def test_control_equals_a_plain_version_and_bounds_false_secrets(spark):
+    rng = random.Random(9)
+    ordinary = names(rng, 3000)
+    alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, string.ascii_lowercase + string.digits]
+    planted = ["".join(rng.choice(rng.choice([alphabets[k % 3]])) for _ in range((32, 40, 44, 64)[k % 4])) for k in range(1500)]
+    for held in ([], planted):
+        tokens = ordinary + held
+        docs = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(tokens)], "doc_id long, text string")
+        found = {r.doc_id: [s for s in r.spans if s.place == 3] for r in secrets.scan(docs).collect()}
+        assert sum(bool(found[i]) for i in range(len(ordinary))) <= 0.05 * len(ordinary)
+        assert sum(bool(found[i]) for i in range(len(ordinary), len(tokens))) >= 0.95 * len(held)
+        # Benjamini and Hochberg, class by class, over the runs of all tokens.
+        classes = {}
+        for t in tokens:
+            spans = {m.span() for run in secrets.RUNS for m in re.finditer(run, t)}
+            if (0, len(t)) in spans and plain_tests(t) and plain_tests(t)[0] >= secrets.LEAST_RANDOM and plain_tests(t)[1] <= secrets.RATE:
+                spans = {(0, len(t))}
+            for a, b in spans:
+                if (p := plain_tests(t[a:b])) is not None:
+                    step = min(secrets.STEPS, math.floor(-10 * math.log10(max(1.0 if p[0] < secrets.LEAST_RANDOM or p[1] > secrets.RATE else p[1], 1e-30))))
+                    classes.setdefault(max(i for i, low in enumerate(secrets.LENGTHS) if b - a >= low), []).append(step)
+        for i, limit in enumerate(secrets.thresholds(docs)):
+            steps = sorted(classes.get(i, []), reverse=True)
+            wanted = [10 ** (-s / 10) for k, s in enumerate(steps) if 10 ** (-s / 10) <= 0.05 * sum(x >= s for x in steps) / len(steps)]
+            assert limit == pytest.approx(max(wanted, default=0.0))
+
+
+def test_a_text_of_very_many_candidates_ends_soon(spark):
+    rng = random.Random(10)
+    letters = string.ascii_letters + string.digits + "+/"
+    lines = ["".join(rng.choices(letters, k=76)) for _ in range(100_000)]
+    text = "\n".join(lines) + "\n" + "".join(rng.choices(letters, k=300_000)) + "\npassword=" + "\npassword=".join(f"abcdefgh{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    r = secrets.scan(docs).select(F.size("spans").alias("n"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("left")).first()
+    assert time.perf_counter() - began < 60
+    assert r.n > 0.95 * 120_000 and r.left < 0.15 * len(text) + 20 * r.n
