@@ -129,6 +129,7 @@ def test_made_pages_equal_a_plain_version(spark):
     parts = ["shop", "item", "news", "x", "ok", "2024-01", "p7", "deadbeef01", "9.html"]
     found = [f"http://{rng.choice(['a.com', 'b.org', 'c.net', 'w.b.org'])}/" + "/".join(
         rng.choice([*parts, str(rng.randrange(300)), f"n{rng.randrange(20)}"]) for _ in range(rng.randrange(7))) for _ in range(1500)]
+    found += [f"http://a.com/shop/item/{n}" for n in range(100, 340)]
     want = plain_judge(found, rules)
     assert judged(urls.judge(pages(spark, found), rules)) == want
     assert {v for _, _, rule, v, _ in want if rule is None} == {"allow", "block"}
