@@ -267,3 +267,21 @@ UNION ALL
 SELECT 'detail', order_id, order_detail_id FROM lines WHERE order_id % 5 = 0 OR order_id NOT IN (SELECT order_id FROM came)
 UNION ALL
 SELECT 'order', order_id, NULL FROM came WHERE order_id % 5 = 0 OR order_id NOT IN (SELECT order_id FROM lines)"""
+ORACLES["dau_bitmap_counts"] = """
+WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events),
+spans AS (SELECT 'day' AS span, day AS start, user_id, day + 1 AS later FROM days
+          UNION SELECT 'week', CAST(date_trunc('week', day) AS DATE), user_id, CAST(date_trunc('week', day) AS DATE) + 7 FROM days)
+SELECT s.span, strftime(s.start, '%Y-%m-%d') AS start, count(*) AS devices, count(p.user_id) AS returned
+FROM spans s LEFT JOIN spans p ON s.span = p.span AND s.start = p.later AND s.user_id = p.user_id GROUP BY ALL"""
+ORACLES["waiting_in_state"] = f"""
+WITH {DETAILS}, {HEADS},
+lines AS (SELECT id AS order_detail_id, order_id FROM details WHERE order_id // 3 % 3 < 2),
+came AS (SELECT id AS order_id FROM heads WHERE id % 3 < 2)
+SELECT 'order' AS kind, order_id, NULL AS order_detail_id FROM came WHERE order_id NOT IN (SELECT order_id FROM lines)
+UNION ALL
+SELECT 'detail', order_id, order_detail_id FROM lines WHERE order_id NOT IN (SELECT order_id FROM came)"""
+ORACLES["trademark_amount_once_stream"] = f"""
+WITH {DETAILS}
+SELECT '2021-01-01 00:00:0' || (id % 3) AS stat_time, sku_id % 25 AS tm_id, 'tm-' || (sku_id % 25) AS tm_name,
+       CAST(sum(price_c * sku_num) AS DOUBLE) / 100 AS amount
+FROM details GROUP BY ALL"""

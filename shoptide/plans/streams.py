@@ -125,6 +125,18 @@ def trademark_amount_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _money_as_double(w.results.current("tm_amount"))
 
 
+def trademark_amount_once_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of each wave, where every 5th wide row of an earlier wave is sent again in the last one and is not summed again."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    details = shop.order_detail().withColumn("tm", F.col("sku_id") % 25)
+    wide = details.select(F.col("id").alias("order_detail_id"), "id", F.col("tm").alias("tm_id"), F.concat(F.lit("tm-"), "tm").alias("tm_name"),
+                          (F.col("order_price") * F.col("sku_num")).cast("decimal(16,2)").alias("final_detail_amount"), F.current_timestamp().alias("timestamp"))
+    job = jobs.trademark_amounts(w, stamp=lambda batch_id: F.lit(f"2021-01-01 00:00:0{batch_id}"), once=True)
+    wide = _twice(wide, F.pmod("id", F.lit(WAVES)).cast("bigint")).drop("id")
+    _run_in_waves(w, [(wide, "dws_order_wide", F.col("wave"))], job)
+    return _money_as_double(w.results.current("tm_amount"))
+
+
 def trademark_amount_windows_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Sums by window of the orders' time: waves follow that time, but every 7th order comes a wave later, among rows up to years younger."""
     shop, w = ShopTables(spark, folder), _warehouse(spark)
@@ -153,6 +165,29 @@ def dau_index_stream(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.get_json_object("source", "$.log_date").alias("log_date"))
 
 
+def dau_bitmap_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Active devices by day and by week from bitmaps, and how many of them were active the day or week before; starts in waves by user, every 4th sent again."""
+    w = _warehouse(spark)
+    starts = ShopTables(spark, folder).startup_log()
+    mid = F.get_json_object("value", "$.common.mid")
+    wave = F.pmod(F.xxhash64(mid, F.get_json_object("value", "$.ts")), F.lit(WAVES)).cast("int")
+    waves = F.when(F.pmod(F.xxhash64("value"), F.lit(4)) == 0, F.array(wave, F.lit(WAVES - 1))).otherwise(F.array(wave))
+    timed = starts.select("value", F.current_timestamp().alias("timestamp"), F.explode(waves).alias("wave"))
+    _run_in_waves(w, [(timed, "start", F.col("wave"))], jobs.active_bitmaps(w, "start"))
+    day, week = (w.actives.counts(span).withColumn("span", F.lit(span)) for span in ("day", "week"))
+    return day.unionByName(week).select("span", F.col("start").cast("string").alias("start"), "devices", "returned")
+
+
+def waiting_in_state(spark: SparkSession, folder: str) -> DataFrame:
+    """What the join in time holds alone in its state after two of three waves; a detail comes with a third of the numbers of its order, its order with another."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    job = jobs.wide_orders_in_time(w, retain="4000 days", early="4000 days", lateness="4000 days")
+    third = F.pmod(F.floor(F.col("order_id") / WAVES), F.lit(WAVES))
+    _run_in_waves(w, [(with_no_dimensions(shop.order_messages()), "dwd_order_info", F.pmod("id", F.lit(WAVES))),
+                      (with_no_sku(shop.detail_messages(60)), "dwd_order_detail", third)], job, WAVES - 1)
+    return jobs.waiting_in_state(w, f"{w.root}/checkpoints", job.group)
+
+
 def _routed(spark: SparkSession, folder: str) -> Warehouse:
     w = _warehouse(spark)
     lines = detail_envelopes(ShopTables(spark, folder))
@@ -251,4 +286,5 @@ def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job
 
 STREAM_QUERIES = {f.__name__: f for f in (
     cdc_route_stream, cdc_quarantine, dim_sync_stream, order_enriched_stream, order_wide_stream, order_wide_outer_stream, order_wide_windowed_stream,
-    order_wide_share_stream, unmatched_details, trademark_amount_stream, trademark_amount_windows_stream, dau_first_start_stream, dau_index_stream)}
+    order_wide_share_stream, unmatched_details, trademark_amount_stream, trademark_amount_once_stream, trademark_amount_windows_stream, dau_first_start_stream, dau_index_stream, dau_bitmap_counts,
+    waiting_in_state)}

@@ -16,7 +16,9 @@ from shoptide.plans.skew import hot_groups
 from shoptide.schemas import (BASE_CATEGORY3, BASE_TRADEMARK, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PROVINCE_INFO,
                               SKU_INFO, SPU_INFO, USER_INFO, ddl, names, only)
 from shoptide.sinks import index, jdbc
+from shoptide.sinks.actives import ActiveDevices
 from shoptide.sinks.messages import write_batch
+from shoptide.sinks.seen import SeenIds
 from shoptide.sinks.tables import BatchTables, KeyedTable
 from shoptide.sources.messages import read_stream
 from shoptide.streaming.runner import Pipeline, held
@@ -68,6 +70,8 @@ class Warehouse:
         self.timed_details = keyed("details_in_time", ["id"], ddl(ORDER_DETAIL), self.folders)
         self.windows = keyed("tm_windows", ["window_start", "tm_id", "tm_name"], WINDOW_AMOUNTS)
         self.index = index.index_store(self.spark, f"{self.root}/index")
+        self.summed = SeenIds(self.spark, f"{self.root}/ads_summed", folders=self.folders)
+        self.actives = ActiveDevices(self.spark, f"{self.root}/actives", folders=self.folders)
         self.results = BatchTables(self.spark, f"{self.root}/ads", {"tm_amount": AMOUNTS, "ads_read": READ_UP_TO},
                                    {"tm_amount": ["stat_time", "tm_id"], "ads_read": ["group_id"]})
 
@@ -259,6 +263,26 @@ def wide_orders_in_time(w: Warehouse, retain: str = "30 minutes", early: str = "
     return Pipeline(group, "5 seconds", source, each_batch)
 
 
+def waiting_in_state(w: Warehouse, checkpoints: str, group: str = "dws_order_wide_in_time", salts: int = dws.SALTS) -> DataFrame:
+    """``kind, order_id, order_detail_id``: the orders and details that :func:`wide_orders_in_time` holds alone at the end of its last batch.
+
+    Read from the state of the checkpoint, while the job runs or not. What has met the other side may still be in the state, but it is marked as matched.
+    An order stands there in parts, and waits if all of them do.
+    """
+    at = f"{checkpoints}/{group}"
+    joins = w.spark.read.format("state-metadata").load(at).where("operatorName = 'symmetricHashJoin'")
+    operator, = [row[0] for row in joins.select("operatorId").distinct().collect()]
+
+    def alone(side: str, *ids: str) -> DataFrame:
+        state = w.spark.read.format("statestore").option("operatorId", operator).option("storeName", f"{side}-keyWithIndexToValue").load(at)
+        return state.where("NOT value.matched").select(*[f"value.{i}" for i in ids])
+
+    orders = alone("left", "id").groupBy(F.col("id").alias("order_id")).count().where(F.col("count") >= salts)
+    details = alone("right", "order_id", "id")
+    return (orders.select(F.lit("order").alias("kind"), "order_id", F.lit(None).cast("bigint").alias("order_detail_id"))
+            .unionByName(details.select(F.lit("detail").alias("kind"), "order_id", F.col("id").alias("order_detail_id"))))
+
+
 def unmatched_details(w: Warehouse) -> DataFrame:
     """Details whose order has not come yet."""
     return parse_strict(w.lines.read().where("waiting IS NOT NULL"), ORDER_DETAIL, value="waiting")
@@ -276,13 +300,19 @@ class Database:
 
 
 def trademark_amounts(w: Warehouse, group: str = "ads_order_wide", stamp: Callable[[int], Column] | None = None,
-                      database: Database | None = None) -> Pipeline:
-    """Sum of each batch by trademark, which replaces one of the same time and trademark, saved together with the batch it was read up to."""
+                      database: Database | None = None, once: bool = False) -> Pipeline:
+    """Sum of each batch by trademark, which replaces one of the same time and trademark, saved together with the batch it was read up to.
+
+    With ``once`` a wide row that is sent again in a later batch is not summed again: ``w.summed`` knows all ids that were.
+    """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         wanted = only(ORDER_WIDE, "order_detail_id", "tm_id", "tm_name", "final_detail_amount")
         no_default = [(name, kind, None if name == "order_detail_id" else default) for name, kind, default in wanted]
         with held(parsed(parse_strict(batch, no_default, keep=("value",)), "order_detail_id")) as rows:
             wide, = w.readable(group, batch_id, (rows, "order_detail_id"))
+            if once:
+                ids = wide.select(F.col("order_detail_id").alias("id"))
+                wide = wide.join(w.summed.seen(ids, batch_id).withColumnRenamed("id", "order_detail_id"), "order_detail_id", "left_anti")
             amounts = ads.trademark_amount(wide.dropDuplicates(["order_detail_id"]), stamp and stamp(batch_id))
             read = w.spark.createDataFrame([(group, batch_id)], READ_UP_TO)
             if database is None:
@@ -290,6 +320,9 @@ def trademark_amounts(w: Warehouse, group: str = "ads_order_wide", stamp: Callab
             else:
                 jdbc.replace_in_one_transaction(batch_id, [(amounts, database.amounts), (read, database.read_up_to)], database.url,
                                                 database.driver, **database.options)
+            if once:
+                # A batch that fails before this is replayed whole, and still sees only what was noted before it.
+                w.summed.note(wide.select(F.col("order_detail_id").alias("id")), batch_id)
 
     return Pipeline(group, "5 seconds", lambda: w.stream("dws_order_wide"), each_batch)
 
@@ -334,3 +367,8 @@ def daily_actives(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau
 
     return Pipeline(group, "3 seconds",
                     lambda: dau.first_start_stream(dau.parse_startup(w.stream(topic), zone, keep=("timestamp",))), each_batch)
+
+
+def active_bitmaps(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau_bitmaps") -> Pipeline:
+    """Active devices by day, kept as bitmaps in ``w.actives``: no watermark, a start counts for its day however late it comes."""
+    return Pipeline(group, "3 seconds", lambda: dau.parse_startup(w.stream(topic), zone), lambda batch, batch_id: w.actives.add(batch, batch_id))

@@ -246,3 +246,17 @@ def test_rows_of_closed_windows_are_kept_apart(warehouse):
     put(w, "dws_order_wide", 2, wide(8, 2, 1, "2021-01-01 00:01:01"))
     drain(w, job)
     assert ("01:00", 2, 5.0) in [(str(r.window_start)[14:], r.tm_id, float(r.amount)) for r in w.windows.read().collect()]
+
+
+def test_waiting_in_state_is_what_has_not_met(warehouse):
+    w = warehouse
+    job = jobs.wide_orders_in_time(w)
+    put(w, "dwd_order_info", 0, order(1, 7, "1", "1"), order(2, 7, "1", "1"))
+    put(w, "dwd_order_detail", 0, detail(11, 1, "1"), detail(31, 3, "1"))
+    drain(w, job)
+    waiting = lambda: {tuple(r) for r in jobs.waiting_in_state(w, f"{w.root}/checkpoints", job.group).collect()}
+    assert waiting() == {("order", 2, None), ("detail", 3, 31)}
+    put(w, "dwd_order_info", 1, order(3, 7, "1", "1"))
+    put(w, "dwd_order_detail", 1, detail(12, 1, "1"))
+    drain(w, job)
+    assert waiting() == {("order", 2, None)}
