@@ -251,12 +251,12 @@ def test_rows_of_closed_windows_are_kept_apart(warehouse):
 def test_waiting_in_state_is_what_has_not_met(warehouse):
     w = warehouse
     job = jobs.wide_orders_in_time(w)
-    put(w, "dwd_order_info", 0, order(1, 7, "1", "1"), order(2, 7, "1", "1"))
-    put(w, "dwd_order_detail", 0, detail(11, 1, "1"), detail(31, 3, "1"))
+    put(w, "dwd_order_info", 0, {"id": 1}, {"id": 2})
+    put(w, "dwd_order_detail", 0, {"id": 11, "order_id": 1}, {"id": 31, "order_id": 3})
     drain(w, job)
     waiting = lambda: {tuple(r) for r in jobs.waiting_in_state(w, f"{w.root}/checkpoints", job.group).collect()}
     assert waiting() == {("order", 2, None), ("detail", 3, 31)}
-    put(w, "dwd_order_info", 1, order(3, 7, "1", "1"))
-    put(w, "dwd_order_detail", 1, detail(12, 1, "1"))
+    put(w, "dwd_order_info", 1, {"id": 3})
+    put(w, "dwd_order_detail", 1, {"id": 12, "order_id": 1})
     drain(w, job)
     assert waiting() == {("order", 2, None)}
