@@ -4,9 +4,13 @@ A turn becomes ``<|im_start|>role<|im_sep|>text<|im_end|>``. Role and text are e
 this or another common template can occur in them: a backslash is doubled, and a control string gets one after its first character.
 Taking away the first backslash of each pair or single one gives back the text.
 
-The rows of a conversation come together by a shuffle on its id and are sorted by turn. Per Arrow batch numpy computes the
+The rows of a conversation come together by a shuffle on its id and are sorted by turn. Per piece of a batch numpy computes the
 lengths of all segments, their offsets by a running sum, and copies fixed parts and contents into one preallocated buffer, which becomes
-the Arrow column as it is. Only a conversation that goes on in the next batch is carried over.
+the Arrow column as it is: short segments by scatter indices, long ones as slices.
+
+A conversation that passes ``chunk`` bytes comes out in chunks, cut between turns and numbered from 0, each with its own spans, so a task holds a few
+chunks or one turn, however long a conversation (as that of all rows without an id) is. It stays in one task, in a stream: its chunks follow one
+another and its digest is one running hash. Its sort spills. A turn must fit a Spark string with its escapes.
 
 Nulls: a null text or role is empty, a null conversation id is a conversation of its own, null turns come first. Equal turns are
 ordered by role and text; repeated rows are all kept. An empty table gives no rows. Other columns are ignored.
@@ -22,11 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoptide.llm.common import slices
+
 START, BETWEEN, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings of common chat templates.
 CONTROLS = (START, BETWEEN, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]",
             "<<SYS>>", "<</SYS>>")
-FORMATTED = "conv_id long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
+FORMATTED = "conv_id long, chunk long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
+#: Longer segments are copied without indices, which take many times their bytes.
+LONG = 4096
+FORMATTED_TEXT = 3  # the place of the text in its result
+TEXT = 2  # the place of the text in what ``format_chats`` sorts
 READ = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -51,14 +61,18 @@ def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-    """Copies the segment ``data[starts[i]:][:lengths[i]]`` to ``out[at[i]:]`` for all i at once."""
+    """Copies the segment ``data[starts[i]:][:lengths[i]]`` to ``out[at[i]:]`` for all i: those up to ``LONG`` at once, the few longer ones each as a slice."""
+    for i in np.flatnonzero(lengths > LONG):
+        out[at[i]:at[i] + lengths[i]] = data[starts[i]:starts[i] + lengths[i]]
+    short = lengths <= LONG
+    at, starts, lengths = at[short], starts[short], lengths[short]
     before = np.cumsum(lengths) - lengths
     inside = np.arange(int(lengths.sum()), dtype=np.int64)
     out[inside + np.repeat(at - before, lengths)] = data[inside + np.repeat(starts - before, lengths)]
 
 
-def assemble(conv: pa.Array, roles: pa.Array, texts: pa.Array, loss_role: str) -> pa.RecordBatch:
-    """One row per run of equal ``conv``."""
+def assemble(conv: pa.Array, roles: pa.Array, texts: pa.Array, loss_role: str, chunk: int = 0) -> pa.RecordBatch:
+    """One row per run of equal ``conv``; ``chunk`` is the number of the first one within its conversation."""
     n = len(conv)
     known = conv.is_valid().to_numpy(zero_copy_only=False)
     ids = conv.fill_null(0).to_numpy()
@@ -80,48 +94,62 @@ def assemble(conv: pa.Array, roles: pa.Array, texts: pa.Array, loss_role: str) -
     _scatter(out, at[:, 3], *text)
     ends = np.append(at[first[1:], 0], total)
     offsets = np.concatenate([[0], ends]).astype(np.int64)
-    chars = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
+    # Code points of each segment; ``reduceat`` gives one byte for an empty one.
+    points = np.where(lengths.ravel() > 0, np.add.reduceat((out & 0xC0) != 0x80, at.ravel(), dtype=np.int64), 0)
+    chars = (np.cumsum(points) - points).reshape(n, 5)
     loss = np.flatnonzero(pc.equal(roles, loss_role).to_numpy(zero_copy_only=False))
     group = np.searchsorted(first, loss, side="right") - 1
-    base = chars[offsets[group]]
+    base = chars[first[group], 0]
+    chunks = np.zeros(len(first), dtype=np.int64)
+    chunks[0] = chunk
     spans = pa.array(np.searchsorted(group, np.arange(len(first) + 1)), pa.int32())
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), buffer).cast(pa.string())
     return pa.RecordBatch.from_arrays([
-        conv.take(pa.array(first)), pa.array(np.diff(np.append(first, n))), formatted,
-        pa.ListArray.from_arrays(spans, pa.array(chars[at[loss, 3]] - base)),
-        pa.ListArray.from_arrays(spans, pa.array(chars[at[loss, 4]] - base)),
-    ], names=["conv_id", "n_turns", "formatted", "loss_starts", "loss_ends"])
+        conv.take(pa.array(first)), pa.array(chunks), pa.array(np.diff(np.append(first, n))), formatted,
+        pa.ListArray.from_arrays(spans, pa.array(chars[loss, 3] - base)),
+        pa.ListArray.from_arrays(spans, pa.array(chars[loss, 4] - base)),
+    ], names=["conv_id", "chunk", "n_turns", "formatted", "loss_starts", "loss_ends"])
 
 
-def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """``conv_id, n_turns, formatted, loss_starts, loss_ends`` of ``rows (conv_id, turn, role, text)``.
+def format_chats(rows: DataFrame, loss_role: str = "assistant", chunk: int = 1 << 22) -> DataFrame:
+    """``conv_id, chunk, n_turns, formatted, loss_starts, loss_ends`` of ``rows (conv_id, turn, role, text)``.
 
-    Loss spans are code points of ``formatted``, the end exclusive: the escaped text of each turn of ``loss_role``.
+    Most conversations are one row; one of more than ``chunk`` bytes is several, in order within their partition. Loss spans are code points of
+    ``formatted``, the end exclusive: the escaped text of each turn of ``loss_role``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[pa.RecordBatch] = []
+        pending, size, number = [], 0, 0  # the conversation that may go on: its rows not yet given out, their bytes, the number of their chunk
 
         def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(parts).combine_chunks()
             column = {c: whole[c].combine_chunks() for c in whole.column_names}
-            return assemble(column["conv_id"], *[column[c].cast(pa.large_string()).fill_null("") for c in ("role", "text")], loss_role)
+            return assemble(column["conv_id"], *[column[c].cast(pa.large_string()).fill_null("") for c in ("role", "text")], loss_role, number)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            conv = batch.column("conv_id")
+        open_id = None  # that conversation, as an array of one value, so that a null one is one as well
+        for piece in slices(batches, TEXT, chunk):
+            conv = piece.column("conv_id")
             last = conv[-1]
-            if pending and pending[-1].column("conv_id")[-1] == last and conv[0] == last:
-                pending.append(batch)
-                continue
             same = pc.equal(conv, last).fill_null(False) if last.is_valid else conv.is_null()
-            cut = int(pc.sum(pc.invert(same)).as_py() or 0)
-            done = [*pending, batch.slice(0, cut)] if cut or pending else []
-            if not cut and pending:
-                done = pending
-            if done:
-                yield flush(done)
-            pending = [batch.slice(cut)]
+            cut = piece.num_rows - int(pc.sum(same).as_py())
+            if open_id is not None and (cut or not open_id.equals(conv.slice(0, 1))):
+                # The open conversation ends in or before this piece: it goes out with all that are whole.
+                goes_on = open_id.equals(conv.slice(0, 1))
+                if not goes_on and pending:
+                    yield flush(pending)
+                    pending = []
+                number = number if goes_on else 0
+                if cut or pending:
+                    yield flush([*pending, piece.slice(0, cut)])
+                pending, size, number = [], 0, 0
+            elif cut:
+                yield flush([piece.slice(0, cut)])
+            rest = piece.slice(cut)
+            pending.append(rest)
+            size += int(pc.sum(pc.binary_length(rest.column(TEXT))).as_py() or 0)
+            open_id = conv.slice(cut, 1)
+            if size >= chunk:
+                yield flush(pending)
+                pending, size, number = [], 0, number + 1
         if pending:
             yield flush(pending)
 
@@ -141,20 +169,28 @@ def read_back(formatted: str, loss_starts: list[int], loss_ends: list[int]) -> t
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What ``op10_chat`` returns, read back from the output of ``format_chats``."""
+    """What ``op10_chat`` returns, read back from the output of ``format_chats``, whose order within partitions it needs; holds one piece of chunks."""
     from hashlib import sha256
 
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        conv, turns, said, loss_chars, loss, chars = None, 0, None, 0, None, 0
+        for piece in slices(batches, FORMATTED_TEXT):
             rows = []
-            for row in batch.to_pylist():
-                turns, loss = read_back(row["formatted"], row["loss_starts"], row["loss_ends"])
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                rows.append((row["conv_id"], len(turns), sha256(said.encode()).hexdigest(), len(loss),
-                             sha256(loss.encode()).hexdigest(), len(row["formatted"])))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            for row in piece.to_pylist():
+                if row["chunk"] == 0:
+                    if said is not None:
+                        rows.append((conv, turns, said.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                    conv, turns, said, loss_chars, loss, chars = row["conv_id"], 0, sha256(), 0, sha256(), 0
+                spoken, learned = read_back(row["formatted"], row["loss_starts"], row["loss_ends"])
+                for role, text in spoken:
+                    said.update(f"{role}\n{text}\n".encode())
+                loss.update(learned.encode())
+                turns, loss_chars, chars = turns + len(spoken), loss_chars + len(learned), chars + len(row["formatted"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
+        if said is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((conv, turns, said.hexdigest(), loss_chars, loss.hexdigest(), chars), kinds)], names=names)
 
     return chats.mapInArrow(run, READ)

@@ -66,3 +66,32 @@ def test_odd_rows(spark):
     assert read[1] == ([("assistant", "first"), ("", ""), ("", ""), ("assistant", "ééé")], "firstééé")
     assert read[None] == ([("user", "a"), ("assistant", "b")], "b") and read[2] == ([("assistant", "")], "")
     assert chat.digests(chat.format_chats(rows_of(spark, []))).count() == 0
+
+
+def digests_of(turns):
+    loss = "".join(t for role, t in turns if role == "assistant")
+    return (len(turns), sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), sha256(loss.encode()).hexdigest())
+
+
+def test_long_conversations_come_in_chunks(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 3 == 0 else i // 40, i, rng.choice(["user", "assistant"]), rng.choice(["é\\", "</s> ", "ab "]) * rng.choice([0, 1, 30, 2000])) for i in range(600)]
+    want = defaultdict(list)
+    for i, _, role, text in rows:
+        want[i].append((role, text))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch, chunk in (("10000", 5000), ("7", 5000), ("7", 1), ("10000", 1 << 22)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            chats = chat.format_chats(rows_of(spark, rows), chunk=chunk)
+            parts, found = chats.collect(), {r.conv_id: r for r in chat.digests(chats).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        pieces = defaultdict(list)
+        for p in sorted(parts, key=lambda p: p.chunk):
+            turns, loss = chat.read_back(p.formatted, p.loss_starts, p.loss_ends)
+            assert loss == "".join(t for role, t in turns if role == "assistant") and p.n_turns == len(turns) and p.chunk == len(pieces[p.conv_id])
+            pieces[p.conv_id].append(turns)
+        assert {i: sum(turns, []) for i, turns in pieces.items()} == want
+        assert {i: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for i, r in found.items()} == {i: digests_of(t) for i, t in want.items()}
+        assert (len(parts) > 50) == (chunk < 10_000)
