@@ -4,11 +4,13 @@ Each language has a tree of byte contexts up to ``order`` bytes with the counts
 the counts, or the escape probability (method C: distinct followers over followers and counts) times what the next shorter context gives
 to the bytes not seen here; below the empty context every byte is equally likely. So the code lengths of a text are exact for a proper distribution.
 
-Counts are frozen after learning, so all of this is worked out once: the contexts of all languages are the states of one automaton, with a row of
+Counts are frozen after learning, so all of this is worked out once: the contexts of a few languages are the states of one automaton, with a row of
 code lengths per state, byte and language. A text's states need no loop over its bytes: ``order`` gathers over the whole Arrow batch lead from
-the empty context to the longest known one at every place at once, and a further gather adds up code lengths of all languages.
+the empty context to the longest known one at every place at once, and a further gather adds up code lengths of these languages.
 
-Learning reads at most ``per_language`` documents of a language (in the order of a hash), a bounded sample; prediction reads every whole text.
+Learning reads at most ``per_language`` documents of a language (in the order of a hash), a bounded sample; prediction reads every whole text. A language
+keeps its ``max_grams`` most frequent byte strings, all single bytes among them, and its ``max_contexts`` most frequent contexts: the bounds are each
+language's own, so one with few rows or among many others loses nothing to these, and memory and time grow in proportion to the number of languages.
 
 ``und``: a text that is null or has no letter, or where nothing could be learned; its score is 0. Ties go to the smaller name. Rows with a null
 doc_id are predicted, not held out, and not learned from. Only ``doc_id, text, lang`` are read; repeated rows stay.
@@ -28,12 +30,14 @@ from shoptide.llm.common import fresh, slices
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
+#: Languages in one automaton, whose tables hold code lengths of all of them for the contexts of each.
+TOGETHER = 4
 
 
 class Model:
-    """Counts of ``order`` + 1 bytes at most, by language. Its size is bounded by ``max_contexts``."""
+    """Counts of ``order`` + 1 bytes at most, by language. A language has at most ``max_contexts`` contexts, their own parts aside."""
 
-    def __init__(self, counts: dict[str, dict[bytes, int]], order: int, max_contexts: int = 10_000):
+    def __init__(self, counts: dict[str, dict[bytes, int]], order: int, max_contexts: int = 2500):
         """``counts``: how often each byte string of 1 to ``order`` + 1 bytes occurs."""
         self.counts, self.order, self.max_contexts = counts, order, max_contexts
         self.languages = sorted(counts)
@@ -42,23 +46,32 @@ class Model:
         return Model, (self.counts, self.order, self.max_contexts)
 
     @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """The automata of ``TOGETHER`` languages each, in order."""
+        return [self._automaton(self.languages[i:i + TOGETHER]) for i in range(0, len(self.languages), TOGETHER)]
+
+    def _contexts(self, language: str) -> set[bytes]:
+        """The most frequent contexts of a language, with what they begin and end with."""
+        totals: dict[bytes, int] = {}
+        for gram, n in self.counts[language].items():
+            if len(gram) > 1:
+                totals[gram[:-1]] = totals.get(gram[:-1], 0) + n
+        chosen = {g for g, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[: self.max_contexts]}
+        chosen |= {g[k:] for g in chosen for k in range(1, len(g))}
+        return chosen | {g[:k] for g in chosen for k in range(1, len(g))}
+
+    def _automaton(self, languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Class of each byte; next state (times classes) and code lengths by state and class; number of classes.
 
-        The last class is the break between texts: it leads to the empty context and costs nothing.
+        The last class is the break between texts: it leads to the empty context and costs nothing. A language's code lengths go by its own contexts, whichever
+        others it shares the automaton with.
         """
-        seen = sorted({g[-1] for counts in self.counts.values() for g in counts})
+        contexts = [self._contexts(language) for language in languages]
+        chosen = set().union(*contexts)
+        seen = sorted({g[-1] for language in languages for g in self.counts[language]})
         other, width = len(seen), len(seen) + 2
         classes = np.full(256, other, dtype=np.uint8 if width < 256 else np.uint16)
         classes[seen] = np.arange(len(seen))
-        totals: dict[bytes, int] = {}
-        for counts in self.counts.values():
-            for gram, n in counts.items():
-                if len(gram) > 1:
-                    totals[gram[:-1]] = totals.get(gram[:-1], 0) + n
-        chosen = {g for g, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[: self.max_contexts]}
-        chosen |= {g[k:] for g in chosen for k in range(1, len(g))}
-        chosen |= {g[:k] for g in chosen for k in range(1, len(g))}
         states = [b"", *sorted(chosen, key=lambda g: (len(g), g))]
         number = {g: i for i, g in enumerate(states)}
         goto = np.zeros((len(states), width), dtype=np.int32)
@@ -71,13 +84,13 @@ class Model:
                     if longer is not None:
                         goto[i, c] = longer
         goto[:, -1] = 0
-        shares = np.zeros((len(states), width, len(self.languages)), dtype=np.float32)
+        shares = np.zeros((len(states), width, len(languages)), dtype=np.float32)
         unseen = max(1, 256 - len(seen))
         base = np.append(np.full(len(seen), 1 / 256), unseen / 256)
-        for n, language in enumerate(self.languages):
+        for n, language in enumerate(languages):
             followers: dict[bytes, list[tuple[int, int]]] = {}
             for gram, count in self.counts[language].items():
-                if gram[:-1] in number:
+                if len(gram) == 1 or gram[:-1] in contexts[n]:
                     followers.setdefault(gram[:-1], []).append((classes[gram[-1]], count))
             own = np.zeros((len(states), width - 1))
             for i, g in enumerate(states):
@@ -96,14 +109,16 @@ class Model:
                 own[i, at] = n_at / (both if left > 0 else n_at.sum())
             own[:, other] /= unseen
             shares[:, :-1, n] = -np.log2(np.maximum(own, 1e-12))
-        return classes, (goto * width).astype(np.int32), shares.reshape(-1, len(self.languages)), width
+        return classes, (goto * width).astype(np.int32), shares.reshape(-1, len(languages)), width
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
         """Bits of each text in each language; text i is ``data[offsets[i]:offsets[i + 1]]``."""
-        classes, goto, costs, width = self.tables
+        return np.concatenate([self._bits(data, offsets, chunk, *table) for table in self.tables], axis=1)
+
+    def _bits(self, data: np.ndarray, offsets: np.ndarray, chunk: int, classes: np.ndarray, goto: np.ndarray, costs: np.ndarray, width: int) -> np.ndarray:
         goto = goto.ravel()
         n = len(offsets) - 1
-        bits = np.zeros((n, len(self.languages)))
+        bits = np.zeros((n, costs.shape[1]))
         starts = (offsets[:-1] - offsets[0]) + np.arange(n)  # each text follows one break
         stream = np.full(int(offsets[-1] - offsets[0]) + n, width - 1, dtype=classes.dtype)
         inside = np.ones(len(stream), dtype=bool)
@@ -135,11 +150,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, order: int = 4, per_language: int = 600, min_count: int = 3, max_contexts: int = 10_000,
-          max_grams: int = 200_000, seed: int = 3) -> Model:
+def learn(docs: DataFrame, order: int = 4, per_language: int = 600, min_count: int = 1, max_contexts: int = 2500,
+          max_grams: int = 50_000, seed: int = 3) -> Model:
     """Counts over a bounded sample of the labelled rows of ``docs (doc_id, text, lang)``: ``per_language`` documents each.
 
-    Byte strings seen less than ``min_count`` times in the sample are left out, beyond ``max_grams`` the rarest; both bound the model.
+    A language keeps its single bytes and, up to ``max_grams``, its most frequent byte strings, of those seen ``min_count`` times in its sample.
+    At most languages times ``max_grams`` counts come to the driver and go to the workers.
     """
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
     labelled = labelled.withColumn("drawn", F.xxhash64(F.col("doc_id"), F.lit(seed)))
@@ -175,7 +191,8 @@ def learn(docs: DataFrame, order: int = 4, per_language: int = 600, min_count: i
     grams = sample.select("lang", "text").repartition(16).mapInArrow(count, "lang string, size int, code long, n long")
     grams = grams.groupBy("lang", "size", "code").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("size") == 1))
     counts: dict[str, dict[bytes, int]] = {lang: {} for lang, _ in sizes}
-    for row in grams.orderBy(F.desc("n"), "lang", "size", "code").limit(max_grams).collect():
+    own = Window.partitionBy("lang").orderBy((F.col("size") == 1).desc(), F.desc("n"), "size", "code")
+    for row in grams.withColumn("place", F.row_number().over(own)).where(F.col("place") <= max_grams).collect():
         counts[row["lang"]][row["code"].to_bytes(row["size"], "big")] = row["n"]
     return Model(counts, order, max_contexts)
 

@@ -54,7 +54,7 @@ def test_code_lengths_are_those_of_the_recursion():
 
 def test_shares_of_a_context_add_up_to_one():
     model = language.Model(COUNTS, 2)
-    classes, _, costs, width = model.tables
+    (classes, _, costs, width), = model.tables
     states = len(costs) // width
     shares = np.exp2(-costs.reshape(states, width, -1).astype(float))
     assert np.allclose(shares[:, classes].sum(axis=1), 1, atol=1e-4)
@@ -88,3 +88,31 @@ def test_the_sample_is_bounded(spark):
     rows = [(i, "abc " * 5, "en", "a") for i in range(400)] + [(7, "abc " * 5, "en", "a")] * 300
     model = language.learn(documents(spark, rows), per_language=20, min_count=1)
     assert model.counts["en"][b"a"] == 20 * 5
+
+
+def test_forty_languages_with_few_rows_each(spark):
+    """Languages of made-up words over one alphabet; one has a hundred times the rows of the others, and takes nothing from them."""
+    rng = np.random.default_rng(11)
+    words = {f"l{i:02}": ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) for _ in range(25)] for i in range(40)}
+    said = lambda lang: " ".join(rng.choice(words[lang], 40))
+    rows = [(i * 1000 + k, said(lang), lang, "a") for i, lang in enumerate(words) for k in range(400 if i == 0 else 4)]
+    model = language.learn(documents(spark, rows))
+    assert model.languages == sorted(words)
+    asked = [(i, said(lang), None, "a") for i, lang in enumerate(words)]
+    found = {r.doc_id: r.lang_pred for r in language.predict(documents(spark, asked), model).collect()}
+    assert np.mean([found[i] == lang for i, lang in enumerate(words)]) >= 0.95
+
+
+def test_code_lengths_do_not_depend_on_the_languages_beside():
+    rng = np.random.default_rng(4)
+    counts = {}
+    for n in range(7):
+        text = bytes(rng.choice(list(b"abcdef"), 400))
+        grams = [text[i:i + k] for k in (1, 2, 3) for i in range(len(text) - k + 1)]
+        counts[f"l{n}"] = {g: grams.count(g) for g in set(grams)}
+    data = np.frombuffer(b"abcabcfedxyz" * 20, dtype=np.uint8)
+    offsets = np.array([0, 100, 100, len(data)])
+    whole = language.Model(counts, 2, max_contexts=9).code_lengths(data, offsets)
+    for n, name in enumerate(counts):
+        alone = language.Model({name: counts[name]}, 2, max_contexts=9).code_lengths(data, offsets)
+        assert np.allclose(whole[:, n], alone[:, 0], rtol=1e-5)
