@@ -8,7 +8,7 @@ A source's target is met by taking all its documents ``floor(target / size)`` ti
 order of a seeded hash, up to the document whose middle passes what is left, so the words taken are within half of one
 document of the target. The order is found by counts of hash buckets: no source is sorted or gathered in one task.
 
-Nulls: a text that is null has size 0, a null source is a source of its own (the last), a null doc_id hashes like an empty one.
+Nulls: a text that is null has size 0, a null source is a source of its own (the last), a row without doc_id is drawn by its text.
 Rows that repeat are rows of their own. A source without words has target 0. An empty table gives no rows. Columns of the input
 beyond the four that are read are kept by ``repeated`` and do not disturb ``mix``.
 """
@@ -28,9 +28,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A seeded hash as hexadecimal text."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A seeded hash as hexadecimal text, of the text where there is no id: else all such rows would stand in one hash bucket."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), text), F.lit(""))).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -82,7 +82,7 @@ def _times(sized: DataFrame, weights, share, max_epochs) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row of ``docs (doc_id, text, source)``."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("drawn"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
     times = _times(sized, weights, share, max_epochs)
     return times.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
@@ -91,12 +91,12 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
              seed: int = 7) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
 
-    The times are joined back by document, size and source, so texts are not sorted; documents alike in all three are taken alike.
+    The times are joined back by draw, document, size and source, so texts are not sorted; rows alike in all four are taken alike.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("drawn"))
-    doc, came, words, often, copy = fresh(docs, "doc", "came", "words", "often", "copy")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
+    doc, came, words, by, often, copy = fresh(docs, "doc", "came", "words", "by", "often", "copy")
     times = _times(sized, weights, share, max_epochs).groupBy(
-        F.col("doc_id").alias(doc), F.col("source").alias(came), F.col("size").alias(words)).agg(F.max("times").alias(often))
+        F.col("doc_id").alias(doc), F.col("source").alias(came), F.col("size").alias(words), F.col("drawn").alias(by)).agg(F.max("times").alias(often))
     kept = docs.join(times.where(F.col(often) > 0), docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(came))
-                     & (word_count(docs["text"]) == F.col(words)))
+                     & (draw(docs["doc_id"], docs["text"], seed) == F.col(by)) & (word_count(docs["text"]) == F.col(words)))
     return kept.select("*", F.explode(F.sequence(F.lit(1), F.col(often))).alias(copy)).select(*docs.columns)

@@ -7,7 +7,7 @@ from shoptide.llm import chat, licences
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('7:' || coalesce(doc_id::VARCHAR, '')) AS drawn
+    md5('7:' || coalesce(doc_id::VARCHAR, ':' || text, '')) AS drawn
   FROM documents
 ), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (

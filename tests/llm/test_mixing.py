@@ -67,3 +67,15 @@ def test_the_mixture_has_each_row_as_often_as_the_mix_takes_it(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     want = Counter({r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.taken})
     assert Counter(r.doc_id for r in mixing.repeated(docs).select("doc_id").collect()) == want
+
+
+def test_rows_without_id_are_drawn_by_text(spark):
+    rows = [(None, f"w{i} " * (1 + i % 9), None, "a") for i in range(3000)] + [(i, "b c d", None, "b") for i in range(3000)]
+    docs = documents(spark, rows)
+    drawn = docs.where("doc_id IS NULL").select(mixing.draw(docs.doc_id, docs.text, 7).substr(1, 4).alias("bucket"))
+    assert drawn.groupBy("bucket").count().agg({"count": "max"}).first()[0] < 10
+    mixed = mixing.mix(docs, share=0.7).collect()
+    goal, = {r.target for r in mixed if r.doc_id is None}
+    assert abs(sum(r.taken for r in mixed if r.doc_id is None) - goal) <= 4.5
+    whole = mixing.repeated(docs, share=0.7).where("doc_id IS NULL")
+    assert whole.select(mixing.F.sum(mixing.word_count(mixing.F.col("text")))).first()[0] == sum(r.taken for r in mixed if r.doc_id is None)
