@@ -180,6 +180,9 @@ SELECT CAST(user_id AS VARCHAR) AS user_id, bool_or(is_first_order) AS is_first_
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_custkey % 2 = 0 FROM customer
 WHERE c_custkey % 7 = 0 AND c_custkey NOT IN (SELECT user_id FROM enriched)""",
     "order_wide": ORDER_WIDE,
+    "wide_rows_clustered": f"""
+WITH {HEADS}, {DETAILS}
+SELECT d.id AS order_detail_id, order_id, province_id, h.create_time, sku_id, sku_num FROM heads h JOIN details d ON h.id = d.order_id""",
     "order_wide_windowed": f"""
 WITH {HEADS}, {DETAILS}
 SELECT DISTINCT h.id AS order_id, d.id AS order_detail_id, user_id, sku_id, sku_num

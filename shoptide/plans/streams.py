@@ -150,6 +150,16 @@ def trademark_amount_windows_stream(spark: SparkSession, folder: str) -> DataFra
     return _money_as_double(w.windows.read().withColumn("window_start", F.col("window_start").cast("string")))
 
 
+def wide_rows_clustered(spark: SparkSession, folder: str) -> DataFrame:
+    """Wide rows appended in waves by order, each in Morton order of time and province, and read back."""
+    shop, w = ShopTables(spark, folder), _warehouse(spark)
+    orders = shop.order_heads().select(F.col("id").alias("order_id"), "province_id", "create_time")
+    details = shop.order_detail().select(F.col("id").alias("order_detail_id"), "order_id", "sku_id", "sku_num")
+    wide = details.join(orders, "order_id").withColumns({"timestamp": F.current_timestamp(), "wave": F.pmod("order_id", F.lit(WAVES))})
+    _run_in_waves(w, [(wide, "dws_order_wide", F.col("wave"))], jobs.wide_archive(w))
+    return w.archive.read("wide").select("order_detail_id", "order_id", "province_id", "create_time", "sku_id", "sku_num")
+
+
 def dau_first_start_stream(spark: SparkSession, folder: str) -> DataFrame:
     """First starts per day and device, over starts in waves by user."""
     w = _started(spark, folder)
@@ -287,4 +297,4 @@ def _run_in_waves(w: Warehouse, inputs: list[tuple[DataFrame, str, Column]], job
 STREAM_QUERIES = {f.__name__: f for f in (
     cdc_route_stream, cdc_quarantine, dim_sync_stream, order_enriched_stream, order_wide_stream, order_wide_outer_stream, order_wide_windowed_stream,
     order_wide_share_stream, unmatched_details, trademark_amount_stream, trademark_amount_once_stream, trademark_amount_windows_stream, dau_first_start_stream, dau_index_stream, dau_bitmap_counts,
-    waiting_in_state)}
+    waiting_in_state, wide_rows_clustered)}

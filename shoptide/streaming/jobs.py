@@ -17,6 +17,7 @@ from shoptide.schemas import (BASE_CATEGORY3, BASE_TRADEMARK, ORDER_DETAIL, ORDE
                               SKU_INFO, SPU_INFO, USER_INFO, ddl, names, only)
 from shoptide.sinks import index, jdbc
 from shoptide.sinks.actives import ActiveDevices
+from shoptide.sinks.clustering import clustered
 from shoptide.sinks.messages import write_batch
 from shoptide.sinks.seen import SeenIds
 from shoptide.sinks.tables import BatchTables, KeyedTable
@@ -72,6 +73,7 @@ class Warehouse:
         self.index = index.index_store(self.spark, f"{self.root}/index")
         self.summed = SeenIds(self.spark, f"{self.root}/ads_summed", folders=self.folders)
         self.actives = ActiveDevices(self.spark, f"{self.root}/actives", folders=self.folders)
+        self.archive = BatchTables(self.spark, f"{self.root}/wide_archive", {"wide": ddl(ORDER_WIDE)})
         self.results = BatchTables(self.spark, f"{self.root}/ads", {"tm_amount": AMOUNTS, "ads_read": READ_UP_TO},
                                    {"tm_amount": ["stat_time", "tm_id"], "ads_read": ["group_id"]})
 
@@ -360,6 +362,21 @@ def trademark_windows(w: Warehouse, width: str = "5 seconds", lateness: str = "1
     return Pipeline(group, "5 seconds", source, each_batch, "update")
 
 
+def wide_archive(w: Warehouse, group: str = "wide_archive", rows_per_file: int = 2_000_000) -> Pipeline:
+    """Wide rows appended to ``w.archive``, those of a batch in Morton order of time and province, so that reads by either skip most of it.
+
+    A batch is there once, however often it is replayed; a wide row sent again in a later batch is there twice, as in any append.
+    """
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        no_default = [(name, kind, None if name == "order_detail_id" else default) for name, kind, default in ORDER_WIDE]
+        with held(parsed(parse_strict(batch, no_default, keep=("value",)), "order_detail_id")) as rows:
+            wide, = w.readable(group, batch_id, (rows, "order_detail_id"))
+            by = {"time": "unix_micros(try_to_timestamp(create_time))", "province": "province_id"}
+            w.archive.commit(batch_id, {"wide": clustered(wide, by, ["order_detail_id"], rows_per_file=rows_per_file)})
+
+    return Pipeline(group, "60 seconds", lambda: w.stream("dws_order_wide"), each_batch)
+
+
 def daily_actives(w: Warehouse, topic: str, zone: str = "UTC", group: str = "dau") -> Pipeline:
     """First start per day and device to the index of the processing day, by device; of several days in a batch the last stays."""
     def each_batch(batch: DataFrame, batch_id: int) -> None:
