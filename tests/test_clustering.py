@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from shoptide.sinks.clustering import CODE, clustered, quantiles, with_code
 from shoptide.sinks.tables import BatchTables
+from shoptide.streaming import jobs
+from shoptide.streaming.jobs import Warehouse
 
 BY = {"time": "at", "province": "province"}
 
@@ -60,3 +62,18 @@ def test_equal_rows_go_over_many_files_and_none_is_fine(spark, folder):
     sizes = [len(p) for p in clustered(same, BY, ["id"], rows_per_file=500).rdd.glom().collect()]
     assert sum(sizes) == 4000 and max(sizes) < 1000
     assert clustered(same.limit(0), BY, ["id"]).count() == 0
+
+
+def test_archive_holds_a_batch_once_and_puts_unreadable_messages_aside(spark, folder):
+    w = Warehouse(spark, f"{folder}/tables", kind="files", path=f"{folder}/messages")
+    job = jobs.wide_archive(w, rows_per_file=50)
+    rows = [('{"order_detail_id":%d,"order_id":%d,"province_id":%d,"create_time":"2021-01-%02d 10:00:00"}' % (i, i // 3, i % 25, i % 28 + 1),) for i in range(200)]
+    rows += [('{"order_detail_id":200,"create_time":"some day"}',), ("no row",), (None,)]
+    batch = spark.createDataFrame(rows, "value string")
+    for batch_id in (0, 0, 1):
+        job.each_batch(batch, batch_id)
+    found = w.archive.read("wide")
+    assert found.groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 201), (1, 201)]
+    assert found.where("batch_id = 0").select("order_detail_id").distinct().count() == 201
+    assert found.where("create_time = 'some day'").count() == 2
+    assert w.quarantine("wide_archive").read("messages").where("batch_id = 0").count() == 2
