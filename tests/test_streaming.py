@@ -1,13 +1,18 @@
 """The jobs on folders of messages: whole way, lateness, replay."""
 
 import json
+from collections import Counter
 from datetime import date
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from shoptide.functions.entities import parse_strict
 from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
+from shoptide.plans import streams
+from shoptide.sinks import files
 from shoptide.sinks.messages import write_batch
 from shoptide.sources.messages import read_topic
 from shoptide.streaming import jobs
@@ -260,3 +265,50 @@ def test_waiting_in_state_is_what_has_not_met(warehouse):
     put(w, "dwd_order_detail", 1, {"id": 12, "order_id": 1})
     drain(w, job)
     assert waiting() == {("order", 2, None)}
+
+
+def test_crowded_waves_of_a_join_in_time_are_cut_further(spark):
+    seconds = [0, 90_000, *range(1000, 1040)]
+    arrivals = spark.createDataFrame([(i, T0 + at) for i, at in enumerate(seconds)], "id bigint, at bigint").select("id", F.timestamp_seconds("at").alias("timestamp"))
+    cut, waves = streams._time_cuts(arrivals, 10)
+    numbered = arrivals.select("id", "timestamp", cut.alias("wave")).orderBy("timestamp").collect()
+    sizes = Counter(row.wave for row in numbered)
+    assert max(sizes.values()) <= 11 and max(sizes) == waves - 1
+    assert [row.wave for row in numbered] == sorted(row.wave for row in numbered)
+    assert streams._time_cuts(arrivals, 1000)[1] == streams.WAVES == streams._time_cuts(arrivals.limit(0))[1] + 2
+
+
+def test_parts_fed_to_one_run_are_joined_across_parts(warehouse):
+    w = warehouse
+    job = jobs.wide_orders_in_time(w, lateness="0 seconds")
+    parts = [lambda: (put(w, "dwd_order_info", 1, {"id": 1, "user_id": 7}, {"id": 2, "user_id": 8}), put(w, "dwd_order_detail", 1, {"id": 11, "order_id": 1})),
+             lambda: (put(w, "dwd_order_detail", 2, {"id": 12, "order_id": 1}, at=T0 + 60), put(w, "dwd_order_info", 2, {"id": 3, "user_id": 9}, at=T0 + 60)),
+             lambda: (put(w, "dwd_order_info", 3, {"id": 4, "user_id": 9}, at=T0 + 90_000), put(w, "dwd_order_detail", 3, {"id": 41, "order_id": 4}, at=T0 + 90_000))]
+    job.feed(w.spark, f"{w.root}/checkpoints", parts, 2)
+    wide = parse_strict(read_topic(w.spark, w.path, "dws_order_wide_in_time"), ORDER_WIDE)
+    assert sorted((r.order_id, r.order_detail_id, r.user_id) for r in wide.collect()) == [(1, 11, 7), (1, 12, 7), (4, 41, 9)]
+    assert sorted(r.order_id for r in w.expired("dws_order_wide_in_time").read("orders").collect()) == [2, 3]
+
+
+def test_state_that_grows_with_all_that_came_is_beside_the_heap(warehouse):
+    w = warehouse
+    job = jobs.wide_orders_in_time(w, retain="4000 days", early="4000 days", lateness="4000 days", large_state=True)
+    put(w, "dwd_order_info", 0, {"id": 1, "user_id": 7}, {"id": 2, "user_id": 8})
+    put(w, "dwd_order_detail", 0, {"id": 11, "order_id": 1}, {"id": 91, "order_id": 9})
+    drain(w, job)
+    put(w, "dws_order_wide", 0, {"order_detail_id": 1, "tm_id": 1, "tm_name": "a", "final_detail_amount": "1.00", "create_time": "2021-01-01 10:00:00"})
+    drain(w, jobs.trademark_windows(w))
+    for group in (job.group, "ads_trademark_windows"):
+        assert "RocksDBStateStoreProvider" in files.get_text(w.spark, f"{w.root}/checkpoints/{group}/offsets/0")
+    waiting = jobs.waiting_in_state(w, f"{w.root}/checkpoints", job.group).collect()
+    assert sorted((r.kind, r.order_id, r.order_detail_id) for r in waiting) == [("detail", 9, 91), ("order", 2, None)]
+    assert [float(r.amount) for r in w.windows.read().collect()] == [1.0]
+
+
+def test_messages_and_rows_are_stored_small(warehouse):
+    w = warehouse
+    put(w, "dwd_order_info", 0, {"id": 1, "user_id": 7})
+    put(w, "dwd_order_detail", 0, {"id": 11, "order_id": 1})
+    drain(w, jobs.wide_orders(w))
+    written = [*Path(w.path).rglob("*.parquet"), *Path(w.root).rglob("*.parquet")]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in written if pq.ParquetFile(f).metadata.num_row_groups} == {"ZSTD"}
