@@ -85,6 +85,14 @@ class BatchTables:
         table's folders, only the folders of its rows are read. Their numbers, no more than there are folders, come to the driver first: run-time pruning does not
         see that a held frame is broadcast, and would read everything.
         """
+        rows = self.matching(name, before, wanted)
+        base, batches = self._committed(before)
+        if len(batches) + (base is not None) > 1:
+            rows = latest(rows, self.keys[name], ["batch_id"])
+        return rows.drop("batch_id")
+
+    def matching(self, name: str, before: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """As :meth:`current`, but the rows of all batches, with a ``batch_id`` column."""
         rows = self._stored(name, before)
         if wanted is not None:
             if name in self.folders and set(self.folders[name][0]) <= set(wanted.columns):
@@ -92,11 +100,7 @@ class BatchTables:
                 if len(touched) < self.folders[name][1]:
                     rows = rows.where(F.col(FOLDER).isin(touched))
             rows = rows.join(wanted, wanted.columns, "left_semi")
-        rows = rows.select(*StructType.fromDDL(self.schemas[name]).names, "batch_id")
-        base, batches = self._committed(before)
-        if len(batches) + (base is not None) > 1:
-            rows = latest(rows, self.keys[name], ["batch_id"])
-        return rows.drop("batch_id")
+        return rows.select(*StructType.fromDDL(self.schemas[name]).names, "batch_id")
 
     def compact(self, upto: int) -> None:
         """Merges the batches up to ``upto`` into one base.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import date
 
@@ -318,19 +319,18 @@ def trademark_amounts(w: Warehouse, group: str = "ads_order_wide", stamp: Callab
         no_default = [(name, kind, None if name == "order_detail_id" else default) for name, kind, default in wanted]
         with held(parsed(parse_strict(batch, no_default, keep=("value",)), "order_detail_id")) as rows:
             wide, = w.readable(group, batch_id, (rows, "order_detail_id"))
-            if once:
-                ids = wide.select(F.col("order_detail_id").alias("id"))
-                wide = wide.join(w.summed.seen(ids, batch_id).withColumnRenamed("id", "order_detail_id"), "order_detail_id", "left_anti")
-            amounts = ads.trademark_amount(wide.dropDuplicates(["order_detail_id"]), stamp and stamp(batch_id))
-            read = w.spark.createDataFrame([(group, batch_id)], READ_UP_TO)
-            if database is None:
-                w.results.commit(batch_id, {"tm_amount": amounts, "ads_read": read})
-            else:
-                jdbc.replace_in_one_transaction(batch_id, [(amounts, database.amounts), (read, database.read_up_to)], database.url,
-                                                database.driver, **database.options)
-            if once:
-                # A batch that fails before this is replayed whole, and still sees only what was noted before it.
-                w.summed.note(wide.select(F.col("order_detail_id").alias("id")), batch_id)
+            key = "order_detail_id"
+            with w.summed.unseen(wide, key, batch_id) if once else nullcontext(wide.dropDuplicates([key])) as wide:
+                amounts = ads.trademark_amount(wide, stamp and stamp(batch_id))
+                read = w.spark.createDataFrame([(group, batch_id)], READ_UP_TO)
+                if database is None:
+                    w.results.commit(batch_id, {"tm_amount": amounts, "ads_read": read})
+                else:
+                    jdbc.replace_in_one_transaction(batch_id, [(amounts, database.amounts), (read, database.read_up_to)], database.url,
+                                                    database.driver, **database.options)
+                if once:
+                    # A batch that fails before this is replayed whole, and still sees only what was noted before it.
+                    w.summed.note(wide.select(F.col(key).alias("id")), batch_id)
 
     return Pipeline(group, "5 seconds", lambda: w.stream("dws_order_wide"), each_batch)
 

@@ -70,3 +70,34 @@ def test_no_starts(spark, folder):
     actives = ActiveDevices(spark, folder)
     actives.add(starts_of(spark, []), 0)
     assert actives.counts("day").count() == 0 and actives.active(starts_of(spark, [("2021-01-03", "a")])).count() == 0
+
+
+def test_rows_of_unseen_ids_are_looked_up_once(spark, folder):
+    known = SeenIds(spark, folder, first=100)
+    rows = lambda numbers: spark.createDataFrame([(n, f"r{n}") for n in numbers], "row bigint, text string")
+    with known.unseen(rows([1, 2, 2]), "row", 0) as new:
+        assert sorted(map(tuple, new.select("row", "text").collect())) == [(1, "r1"), (2, "r2")]
+        known.note(new.select(F.col("row").alias("id")), 0)
+    known.note(spark.range(1000, 1300), 1)
+    with known.unseen(rows([2, 3, 3, 1299, 1300]), "row", 2) as new:
+        assert new.storageLevel.useMemory
+        assert "LeftAnti" not in new.groupBy("text").count()._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+        assert sorted(map(tuple, new.select("row", "text").collect())) == [(3, "r3"), (1300, "r1300")]
+    with known.unseen(rows([1, 1000]), "row", 1) as new:  # a replay sees what was there before
+        assert [r.row for r in new.collect()] == [1000]
+
+
+def test_bits_are_set_where_the_ids_of_a_part_are(spark, folder, monkeypatch):
+    known, plans = SeenIds(spark, folder, first=100), []
+    commit = known.tables.commit
+
+    def seen_plan(batch_id, frames, *more):
+        plans.append(frames["filter"]._jdf.queryExecution().sparkPlan().toString())
+        return commit(batch_id, frames, *more)
+
+    monkeypatch.setattr(known.tables, "commit", seen_plan)
+    known.note(spark.range(50), 0)
+    known.note(spark.range(20, 90), 1)
+    for plan in plans:
+        assert plan.index("bitmap_construct_agg") < plan.index("REPARTITION_BY_COL") and "Generate explode" not in plan[plan.index("REPARTITION_BY_COL"):]
+    assert known.possible(spark.range(90)).count() == 90 == known.seen(spark.range(200)).count()
