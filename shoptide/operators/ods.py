@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tables that are routed, and operations that are kept per envelope.
@@ -69,6 +69,10 @@ def route(rows: DataFrame, ops: list[str]) -> DataFrame:
 
     Only plain inserts of ``order_info`` pass: a changed status must not count as a new order.
     """
-    wanted = F.col("table").isin(TABLES) & F.col("op").isin(ops)
-    order_rule = (F.col("table") != "order_info") | (F.col("op") == "insert")
-    return rows.where(wanted & order_rule).withColumn("topic", F.concat(F.lit("ods_"), "table")).drop("table", "op")
+    return rows.where(wanted(ops)).withColumn("topic", F.concat(F.lit("ods_"), "table")).drop("table", "op")
+
+
+def wanted(ops: list[str]) -> Column:
+    """Whether rows of this ``table`` and ``op`` are routed."""
+    listed = F.col("table").isin(TABLES) & F.col("op").isin(ops)
+    return listed & ((F.col("table") != "order_info") | (F.col("op") == "insert"))

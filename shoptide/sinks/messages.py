@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from shoptide.schemas import MESSAGE
 from shoptide.sinks import files
 from shoptide.sinks.tables import STORED, claim
+from shoptide.streaming.runner import settings
+
+#: Files that a task has open at once, and the size of a row group, which each of them may have in memory.
+OPEN_FILES, ROW_GROUP = 8, 32 << 20
 
 
 def write_batch(messages: DataFrame, batch_id: int, job: str, kind: str = "kafka", path: str | None = None,
@@ -28,12 +32,12 @@ def write_batch(messages: DataFrame, batch_id: int, job: str, kind: str = "kafka
     folder = f"{path}/{job}/batch={batch_id:012d}"
     if files.exists(messages.sparkSession, f"{folder}/_SUCCESS"):
         return
-    _stored_columns(messages, batch_id).write.mode("overwrite").option("compression", STORED).partitionBy("topic").parquet(folder)
+    _write(_stored_columns(messages, batch_id), folder, "topic", mode="overwrite")
 
 
 def stage_waves(messages: DataFrame, path: str, name: str) -> None:
     """Writes messages once, cut by their ``wave`` number; no reader sees a wave before :func:`publish_wave`."""
-    _stored_columns(messages, 0, "wave").write.option("compression", STORED).partitionBy("wave", "topic").parquet(f"{path}/_staged/{name}")
+    _write(_stored_columns(messages, 0, "wave"), f"{path}/_staged/{name}", "wave", "topic")
 
 
 def publish_wave(spark: SparkSession, path: str, name: str, wave: int) -> None:
@@ -42,6 +46,12 @@ def publish_wave(spark: SparkSession, path: str, name: str, wave: int) -> None:
         files.rename(spark, staged, f"{path}/{name}/batch={wave:012d}")
 
 
+def _write(rows: DataFrame, folder: str, *by: str, mode: str = "errorifexists") -> None:
+    """Rows that go to no more than ``OPEN_FILES`` folders are not sorted by them first, which at size would put all messages of a task on disk once more."""
+    with settings(rows.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        rows.write.mode(mode).option("compression", STORED).option("parquet.block.size", str(ROW_GROUP)).partitionBy(*by).parquet(folder)
+
+
 def _stored_columns(messages: DataFrame, batch_id: int, *keep: str) -> DataFrame:
     """Fills the source columns a broker would set: offsets grow with the batch within a partition."""
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

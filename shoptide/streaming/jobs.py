@@ -127,7 +127,8 @@ def route_objects(w: Warehouse, topic: str, group: str = "ods_object") -> Pipeli
 
 def _router(w: Warehouse, topic: str, group: str, kind: str, ops: list[str]) -> Pipeline:
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        with held(ods.read_envelopes(batch, kind, keep=("timestamp",))) as envelopes:
+        envelopes = ods.read_envelopes(batch, kind, keep=("timestamp",))
+        with held(envelopes.where(F.expr("NOT readable") | ods.wanted(ops))) as envelopes:
             w.quarantine(group).commit(batch_id, {"messages": envelopes.where("NOT readable").select(F.col("unread").alias("value"))})
             w.send(ods.route(ods.rows_of(envelopes, kind, keep=("timestamp",)), ops), batch_id, group)
 

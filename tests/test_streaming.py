@@ -2,18 +2,20 @@
 
 import json
 from collections import Counter
+from contextlib import contextmanager
 from datetime import date
 from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from shoptide.functions.entities import parse_strict
 from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from shoptide.plans import streams
 from shoptide.sinks import files
-from shoptide.sinks.messages import write_batch
+from shoptide.sinks.messages import publish_wave, stage_waves, write_batch
 from shoptide.sources.messages import read_topic
 from shoptide.streaming import jobs
 
@@ -312,3 +314,39 @@ def test_messages_and_rows_are_stored_small(warehouse):
     drain(w, jobs.wide_orders(w))
     written = [*Path(w.path).rglob("*.parquet"), *Path(w.root).rglob("*.parquet")]
     assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in written if pq.ParquetFile(f).metadata.num_row_groups} == {"ZSTD"}
+
+
+def test_only_envelopes_that_go_somewhere_are_held(warehouse, monkeypatch):
+    w, sizes, held = warehouse, [], jobs.held
+
+    @contextmanager
+    def counted(batch):
+        with held(batch) as kept:
+            sizes.append(kept.count())
+            yield kept
+
+    monkeypatch.setattr(jobs, "held", counted)
+    put(w, "cdc", 0, cdc("order_info", order(1, 7, "1.00", "1.00")), cdc("order_info", order(2, 7, "1.00", "1.00"), op="update"),
+        cdc("cart_info", order(3, 7, "1.00", "1.00")), cdc("order_detail", detail(11, 1, "1.00"), op="delete"), "no json")
+    drain(w, jobs.route_arrays(w, "cdc"))
+    assert sizes == [2]
+    assert read_topic(w.spark, w.path, "ods_order_info").count() == 1
+    assert [r["value"] for r in w.quarantine("ods_array").read("messages").collect()] == ["no json"]
+
+
+def test_messages_of_few_topics_are_not_sorted(spark, folder, monkeypatch):
+    limits, parquet = [], DataFrameWriter.parquet
+
+    def noted(self, *args, **kwargs):
+        limits.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        return parquet(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rows = spark.range(0, 400, 1, 1).select(F.concat(F.lit("t"), F.col("id") % 20).alias("topic"), F.col("id").cast("string").alias("value"), (F.col("id") % 2).alias("wave"))
+    stage_waves(rows, folder, "in")
+    publish_wave(spark, folder, "in", 0)
+    write_batch(rows.where("wave = 1"), 1, "in", "files", folder)
+    assert limits == ["8", "8"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    # More topics than files may be open.
+    assert all(read_topic(spark, folder, f"t{n}").count() == 20 for n in range(20))
