@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,18 +66,28 @@ class BatchTables:
         """Rows of all committed batches, or of those with an id below ``before``, with a ``batch_id`` column."""
         return self._stored(name, before).drop(FOLDER, RUN)
 
+    def read_batch(self, name: str, batch_id: int) -> DataFrame:
+        """The rows that one batch has committed, none if it has not; for the batch itself, as a merge takes in earlier ones."""
+        mark = f"{self.root}/commits/batch-{batch_id:012d}"
+        folder = json.loads(files.get_text(self.spark, mark)).get(name) if files.exists(self.spark, mark) else None
+        columns = StructType.fromDDL(self.schemas[name]).names
+        return self._rows(name, [folder] if folder else []).select(*columns)
+
     def _folder(self, name: str) -> Column:
         columns, number = self.folders[name]
         return F.pmod(F.xxhash64(*columns), F.lit(number)).cast("int")
 
     def _stored(self, name: str, before: int | None) -> DataFrame:
-        schema = f"{self.schemas[name]}, `batch_id` bigint" + (f", `{FOLDER}` int" if name in self.folders else "")
         base, batches = self._committed(before)
         marks = ([f"base-{base:012d}"] if base is not None else []) + [f"batch-{b:012d}" for b in batches]
         folders = [json.loads(files.get_text(self.spark, f"{self.root}/commits/{m}")).get(name) for m in marks]
-        folders = [f for f in folders if f]
+        return self._rows(name, [f for f in folders if f])
+
+    def _rows(self, name: str, folders: list[str]) -> DataFrame:
+        schema = f"{self.schemas[name]}, `batch_id` bigint" + (f", `{FOLDER}` int" if name in self.folders else "")
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            none = [F.lit(None).cast(field.dataType).alias(field.name) for field in StructType.fromDDL(schema)]
+            return self.spark.range(1).select(*none).where(F.lit(False))  # known to be empty when a plan is made, so that no job runs for it
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/data/{name}").parquet(*folders)
 
     def current(self, name: str, before: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
@@ -173,3 +185,16 @@ class KeyedTable:
     def lookup(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
         """The current rows that match ``wanted``, a frame of some of the table's columns."""
         return self.batches.current("rows", before, wanted)
+
+    @contextmanager
+    def rows_of(self, wanted: DataFrame, batch_id: int) -> Iterator[DataFrame]:
+        """The rows current after the batch, among them all that match ``wanted``, a frame of the key: those the batch itself has written, and of earlier ones only
+        what is wanted and not among these. So what a batch reads of the table is not dealt anew each time, as most of what it asks for came with it.
+        """
+        own = self.batches.read_batch("rows", batch_id)
+        earlier = wanted.join(own.select(*self.keys), self.keys, "left_anti").distinct()
+        earlier.persist()
+        try:
+            yield own.unionByName(self.lookup(earlier, batch_id).select(*self.columns))
+        finally:
+            earlier.unpersist()

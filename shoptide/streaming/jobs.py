@@ -245,30 +245,32 @@ def wide_orders_in_time(w: Warehouse, retain: str = "30 minutes", early: str = "
         streams = w.streams(*entities)
         ids = {"dwd_order_info": [("id", "bigint", None)], "dwd_order_detail": [("id", "bigint", None), ("order_id", "bigint", None)]}
         orders, details = (parse_strict(streams[t], ids[t], keep=("timestamp",)).where("id IS NOT NULL") for t in ids)
-        joined = dws.wide_outer_stream(orders, details, retain=retain, early=early, lateness=lateness)
-        found = joined.select(F.lit(None).cast("string").alias("topic"), *joined.columns, F.lit(None).cast("string").alias("value"),
-                              F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("bigint").alias("offset"))
+        found = dws.wide_outer_stream(orders, details, retain=retain, early=early, lateness=lateness).withColumn("topic", F.lit(None).cast("string"))
         for topic, entity in entities.items():
             rows = parsed(parse_strict(streams[topic], entity, keep=keep), "id")
-            found = found.unionByName(rows.select(F.lit(topic).alias("topic"), *keep, *[F.col(c).alias(f"{topic}.{c}") for c in names(entity)]),
-                                      allowMissingColumns=True)
+            # A row is one value here: held by columns, most of them null, it would take several times the work.
+            found = found.unionByName(rows.select(F.lit(topic).alias("topic"), F.struct(*names(entity), *keep).alias(f"{topic}_row")), allowMissingColumns=True)
         return found
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with held(batch):
-            if batch.count() == 0:  # the watermark moved and nothing was waiting; counting works all of it out at once, unlike a look at the first row
-                return
-            came, lines_came = (batch.where(F.col("topic") == topic).select(*[F.col(f"`{topic}.{c}`").alias(c) for c in names(entity)], *keep)
-                                for topic, entity in entities.items())
-            infos, lines = w.readable(group, batch_id, (came, "id"), (lines_came, "id"))
-            w.timed_orders.upsert(infos, batch_id, NEWEST)
-            w.timed_details.upsert(lines, batch_id, NEWEST)
+            paired = F.col("order_id").isNotNull() & F.col("order_detail_id").isNotNull()
+            kind = F.when(F.col("topic").isNotNull(), "message").when(paired, "pair").otherwise("alone").alias("kind")
+            # Counting works all of it out at once. What a batch has none of isn't written: most batches that only move the watermark have next to nothing.
+            kinds = {row[0] for row in batch.groupBy(kind).count().collect()}
+            if "message" in kinds:
+                came, lines_came = (batch.where(F.col("topic") == topic).select(f"{topic}_row.*") for topic in entities)
+                infos, lines = w.readable(group, batch_id, (came, "id"), (lines_came, "id"))
+                w.timed_orders.upsert(infos, batch_id, NEWEST)
+                w.timed_details.upsert(lines, batch_id, NEWEST)
             pairs, orders, details = dws.outer_kinds(batch.where("topic IS NULL").select("order_id", "owner_id", "order_detail_id"))
-            with held(pairs.dropDuplicates()) as pairs:
-                with held(pairs.select(F.col("order_id").alias("id")).distinct()) as a, held(pairs.select(F.col("order_detail_id").alias("id")).distinct()) as b:
-                    wide = dws.wide_join(w.timed_orders.lookup(a, batch_id + 1), w.timed_details.lookup(b, batch_id + 1))
-                    w.send(to_value(wide.join(pairs, ["order_id", "order_detail_id"], "left_semi"), "dws_order_wide_in_time", "order_detail_id"), batch_id, group)
-            w.expired(group).commit(batch_id, {"orders": orders, "details": details})
+            if "pair" in kinds:
+                with w.timed_orders.rows_of(pairs.select(F.col("order_id").alias("id")), batch_id) as a, \
+                        w.timed_details.rows_of(pairs.select(F.col("order_detail_id").alias("id")), batch_id) as b:
+                    met = b.join(pairs.withColumnRenamed("order_detail_id", "id"), ["id", "order_id"], "left_semi")
+                    w.send(to_value(dws.wide_join(a, met), "dws_order_wide_in_time", "order_detail_id"), batch_id, group)
+            if "alone" in kinds:
+                w.expired(group).commit(batch_id, {"orders": orders, "details": details})
 
     return Pipeline(group, "5 seconds", source, each_batch, large_state=large_state)
 

@@ -16,6 +16,7 @@ from shoptide.schemas import ORDER_DETAIL, ORDER_INFO, ORDER_WIDE
 from shoptide.plans import streams
 from shoptide.sinks import files
 from shoptide.sinks.messages import publish_wave, stage_waves, write_batch
+from shoptide.sinks.tables import KeyedTable
 from shoptide.sources.messages import read_topic
 from shoptide.streaming import jobs
 
@@ -350,3 +351,34 @@ def test_messages_of_few_topics_are_not_sorted(spark, folder, monkeypatch):
     assert limits == ["8", "8"] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     # More topics than files may be open.
     assert all(read_topic(spark, folder, f"t{n}").count() == 20 for n in range(20))
+
+
+def test_a_join_in_time_looks_up_only_what_came_before_its_batch(warehouse, monkeypatch):
+    w, wanted, lookup = warehouse, [], KeyedTable.lookup
+    monkeypatch.setattr(KeyedTable, "lookup", lambda self, ids, before=None: (wanted.extend(sorted(r[0] for r in ids.collect())), lookup(self, ids, before))[1])
+    job = jobs.wide_orders_in_time(w, lateness="0 seconds")
+    first = lambda: (put(w, "dwd_order_info", 1, {"id": 1, "user_id": 7}, {"id": 2, "user_id": 8}), put(w, "dwd_order_detail", 1, {"id": 11, "order_id": 1}, {"id": 21, "order_id": 2}))
+    second = lambda: (put(w, "dwd_order_info", 2, {"id": 3, "user_id": 9}, {"id": 2, "user_id": 18}, at=T0 + 60),
+                      put(w, "dwd_order_detail", 2, {"id": 12, "order_id": 1, "sku_num": 5}, {"id": 22, "order_id": 2}, {"id": 31, "order_id": 3}, at=T0 + 60))
+    for part in (first, second):
+        part()
+        drain(w, job)
+    assert wanted == [1, 21]  # the order of detail 12, and the detail of order 2, which came anew; all others came with their batch
+    wide = parse_strict(read_topic(w.spark, w.path, "dws_order_wide_in_time"), ORDER_WIDE).collect()
+    rows = sorted((r.order_id, r.order_detail_id, r.user_id, r.sku_num) for r in wide)
+    assert [r for r in rows if r[0] != 2] == [(1, 11, 7, 0), (1, 12, 7, 5), (3, 31, 9, 0)]
+    assert {r for r in rows if r[1] == 22} == {(2, 22, 18, 0)}
+
+
+def test_batches_that_only_move_the_watermark_write_no_empty_rows(warehouse):
+    w = warehouse
+    job = jobs.wide_orders_in_time(w, lateness="0 seconds")
+    put(w, "dwd_order_info", 1, {"id": 1})
+    put(w, "dwd_order_detail", 1, {"id": 91, "order_id": 9})
+    drain(w, job)
+    put(w, "dwd_order_info", 2, {"id": 2}, at=T0 + 90_000)
+    put(w, "dwd_order_detail", 2, {"id": 21, "order_id": 2}, at=T0 + 90_000)
+    drain(w, job)
+    expired = w.expired(job.group)
+    assert [r.order_id for r in expired.read("orders").collect()] == [1] and [r.order_detail_id for r in expired.read("details").collect()] == [91]
+    assert len(files.children(w.spark, f"{w.root}/orders_in_time/commits")) == len(files.children(w.spark, f"{w.root}/details_in_time/commits")) == 2
