@@ -19,6 +19,7 @@ from shoptide.sinks.messages import publish_wave, stage_waves, write_batch
 from shoptide.sinks.tables import KeyedTable
 from shoptide.sources.messages import read_topic
 from shoptide.streaming import jobs
+from shoptide.streaming.runner import Pipeline
 
 T0 = 1_609_459_200
 
@@ -382,3 +383,14 @@ def test_batches_that_only_move_the_watermark_write_no_empty_rows(warehouse):
     expired = w.expired(job.group)
     assert [r.order_id for r in expired.read("orders").collect()] == [1] and [r.order_detail_id for r in expired.read("details").collect()] == [91]
     assert len(files.children(w.spark, f"{w.root}/orders_in_time/commits")) == len(files.children(w.spark, f"{w.root}/details_in_time/commits")) == 2
+
+
+def test_state_beside_the_heap_has_a_small_bound(spark, folder):
+    names, found = ["boundedMemoryUsage", "maxMemoryUsageMB", "trackTotalNumberOfRows"], {}
+
+    def source():
+        found.update({name: spark.conf.get(f"spark.sql.streaming.stateStore.rocksdb.{name}", None) for name in names})
+        return spark.readStream.format("rate").load()
+
+    Pipeline("bound", "1 second", source, lambda batch, batch_id: None, large_state=True).start(spark, folder).stop()
+    assert found == {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "200", "trackTotalNumberOfRows": "false"}
