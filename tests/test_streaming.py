@@ -385,6 +385,19 @@ def test_batches_that_only_move_the_watermark_write_no_empty_rows(warehouse):
     assert len(files.children(w.spark, f"{w.root}/orders_in_time/commits")) == len(files.children(w.spark, f"{w.root}/details_in_time/commits")) == 2
 
 
+def test_messages_of_waves_gone_by_take_no_disk(warehouse):
+    w = warehouse
+    rows = lambda text: w.spark.createDataFrame([json.dumps(r) for r in text], "string").select(F.col("value"), F.get_json_object("value", "$.id").cast("int").alias("wave"))
+    orders = rows([{"id": 1, "original_total_amount": "2.00", "final_total_amount": "2.00"}])
+    lines = rows([{"id": i, "order_id": i, "order_price": "2.00", "sku_num": 1} for i in range(3)])
+    now = F.current_timestamp()
+    inputs = [(orders.withColumn("timestamp", now), "dwd_order_info", F.col("wave")), (lines.withColumn("timestamp", now), "dwd_order_detail", F.col("wave"))]
+    streams._run_in_waves(w, inputs, jobs.wide_orders(w), keep=False)
+    assert not list(Path(w.path, "in").rglob("*.parquet")) and not list(Path(w.path, "_staged").rglob("*.parquet"))
+    assert sorted(r.id for r in jobs.unmatched_details(w).collect()) == [0, 2]
+    assert [r.order_detail_id for r in parse_strict(read_topic(w.spark, w.path, "dws_order_wide"), ORDER_WIDE).collect()] == [1]
+
+
 def test_state_beside_the_heap_has_a_small_bound(spark, folder):
     names, found = ["boundedMemoryUsage", "maxMemoryUsageMB", "trackTotalNumberOfRows"], {}
 
