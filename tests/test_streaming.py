@@ -407,3 +407,16 @@ def test_state_beside_the_heap_has_a_small_bound(spark, folder):
 
     Pipeline("bound", "1 second", source, lambda batch, batch_id: None, large_state=True).start(spark, folder).stop()
     assert found == {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "200", "trackTotalNumberOfRows": "false"}
+
+
+def test_a_join_of_ids_reads_only_ids(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def join(orders, details):
+        raise Seen(orders.columns, details.columns)
+
+    monkeypatch.setattr(streams.dws, "wide_outer_stream", join)
+    with pytest.raises(Seen) as seen:
+        streams.order_wide_stream(spark, "/root/testdata/sf0.001")
+    assert seen.value.args == (["timestamp", "id"], ["timestamp", "id", "order_id"])
